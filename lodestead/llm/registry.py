@@ -1,7 +1,7 @@
 """Queries of the training-data operators and the SQL that they are checked against."""
 
-from lodestead.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality_rules, substring_dedup
+from lodestead.llm import byte_bpe, chat_format, decontamination, line_dedup, lm_scoring, ngram_join, quality_rules, substring_dedup, toxicity, url_filters
 
-_MODULES = (decontamination, quality_rules, substring_dedup, line_dedup, byte_bpe, ngram_join)
+_MODULES = (chat_format, decontamination, quality_rules, url_filters, substring_dedup, lm_scoring, line_dedup, toxicity, byte_bpe, ngram_join)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
