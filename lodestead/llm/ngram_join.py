@@ -1,15 +1,21 @@
 """Operator 10, n-gram Jaccard join: adaptive multi-match prefixes, then exact verification of shingle sets.
 
-Sets hold the distinct hashes of word shingles, ordered by hash. Of two sets with Jaccard similarity t or more, the
-prefixes of n - ceil(t n) + l hashes share l of them at least, for every l up to ceil(t n). Each document chooses
+Sets hold the distinct hashes of word shingles, in one order for all: frequent ones (FREQUENT documents or more have
+them in a prefix by hash; at most HOT_MAX of them, which are broadcast) behind the others, else by hash. Of two sets of
+sizes m and n with Jaccard similarity t or more, at least a = ceil(t / (1 + t) (m + n)) hashes are shared, and l of them
+lie in the prefixes of m - a + l and n - a + l hashes, for every l up to a; n - ceil(t n) + l holds these for all m. Each document chooses
 its l among LEVELS by the estimated cost of its candidates (places that its prefix hashes have in other documents,
 and their verification, which a demand of l shared hashes cuts by l): an expensive document gets a longer prefix and
-asks for more shared hashes. A pair is a candidate if its prefixes share as many hashes as the smaller l of the two.
+asks for more shared hashes. A pair is a candidate if its prefixes, as long as the pair's sizes ask for, share as many hashes as the smaller l of the two.
 
 Equal sets are one representative beforehand (by a 128-bit signature and size). A group of near copies isn't
-expanded into pairs: at first, each prefix hash only pairs its smallest document with the others; these links are
-verified and give components. Then all remaining candidates, those between documents of different components, are
-paired and verified, so no link between components is lost.
+expanded into pairs. At first, each prefix hash only pairs its smallest document with the others; these links are
+verified and give components. Then the remaining candidates, those between documents of different components, are
+paired and verified, so no link between components is lost. Hashes that more than FREQUENT documents have in their
+prefix make no such pairs: there every document x is compared with the hash's smallest one, the hub o, by the
+differences d(x) of the sets x and o. As x and y link exactly if d(x) and d(y) differ in no more than
+(1 - t) / (1 + t) (m + n) places, prefixes of the difference sets, which are short among near copies and begin with the
+rarer additions, find the candidates among a hub's documents without loss.
 
 Verification compares the whole texts' shingle sets in Arrow batches. Shingles are compared by 64-bit hashes.
 
@@ -31,6 +37,7 @@ from pyspark.sql import functions as F
 from lodestead.llm.common import components, discard, hash_words, materialize, mix, pieces, ragged, table, text_bytes
 
 LEVELS = (1, 2, 4)
+FREQUENT, HOT_MAX = 64, 100_000
 #: Verifying a candidate costs as much as reading so many places.
 VERIFY_COST = 8.0
 _U = np.uint64
@@ -54,8 +61,9 @@ def shingle_sets(col: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, _U)
 
 
-def _measure(size: int, percent: int):
+def _measure(size: int, percent: int, hot=None):
     def run(batches):
+        late = hot.value if hot else np.zeros(0, _U)
         for whole in batches:
             for b in pieces(whole):
                 n, s1, s2, pre = [], [], [], []
@@ -64,6 +72,9 @@ def _measure(size: int, percent: int):
                     n.append(len(x))
                     s1.append(np.sum(mix(x * _SALTS[40]), dtype=_U))
                     s2.append(np.sum(mix(x * _SALTS[41]), dtype=_U))
+                    if len(late):
+                        on = late[np.minimum(np.searchsorted(late, x), len(late) - 1)] == x
+                        x = np.concatenate([x[~on], x[on]])
                     pre.append(x[: len(x) - need + min(LEVELS[-1], need)].view(np.int64))
                 starts = np.cumsum([0, *map(len, pre)])
                 yield pa.RecordBatch.from_arrays(
@@ -87,18 +98,71 @@ def _verify(size: int, percent: int):
     return run
 
 
+def _differ(size: int, percent: int, hot=None):
+    """Whether hub and document link, and the first of their sets' differences: additions, frequent ones behind, then losses."""
+
+    def run(batches):
+        late = hot.value if hot else np.zeros(0, _U)
+        for whole in batches:
+            for b in pieces(whole):
+                linked, far, n, toks = [], [], [], []
+                for x, o in zip(shingle_sets(b.column("text"), size), shingle_sets(b.column("other"), size), strict=True):
+                    more, less = np.setdiff1d(x, o, assume_unique=True), np.setdiff1d(o, x, assume_unique=True)
+                    if len(late):
+                        on = late[np.minimum(np.searchsorted(late, more), len(late) - 1)] == more
+                        more = np.concatenate([more[~on], more[on]])
+                    d, both = len(more) + len(less), len(x) - len(more)
+                    linked.append(100 * both >= percent * (len(x) + len(less)))
+                    far.append(d)
+                    n.append(len(x))
+                    most = (100 - percent) * (len(x) + 100 * len(x) // percent + 1) // (100 + percent) + 1
+                    toks.append(np.concatenate([more, mix(less + _SALTS[42])])[:most].view(np.int64))
+                starts = np.cumsum([0, *map(len, toks)])
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(n, pa.int64()), pa.array(far, pa.int64()), pa.array(linked, pa.bool_()), ragged(np.concatenate(toks), starts)], ["hub", "doc", "n", "d", "linked", "toks"])
+
+    return run
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts meet the threshold. texts: doc, text."""
+    return _with_texts(pairs, texts).mapInArrow(_verify(size, percent), "a long, b long")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     d = pairs.join(texts.selectExpr("doc b", "text"), "b")
     d = d.join(texts.selectExpr("doc a", "text other"), "a")
-    return d.select("a", "b", "text", "other").mapInArrow(_verify(size, percent), "a long, b long")
+    return d.select("a", "b", "text", "other")
+
+
+def _beside(differ: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs among the documents of a hub, from their differences to it."""
+    sides = [differ.selectExpr("hub", f"doc {x}", f"n n{x}", f"d d{x}", f"component c{x}", "toks") for x in "ab"]
+    room = f"({100 - percent} * (na + nb) div {100 + percent})"
+    share = f"greatest(0, ceil((da + db - {room}) / 2))"
+    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    rows = [d.select("*", F.posexplode("toks").alias(f"i{x}", "tok")).drop("toks") for d, x in zip(sides, "ab", strict=True)]
+    mixed = rows[0].groupBy("hub", "tok").agg(F.min("ca").alias("c0"), F.max("ca").alias("c1")).where("c0 < c1").select("hub", "tok")
+    met = rows[0].join(mixed, ["hub", "tok"]).join(rows[1], ["hub", "tok"]).where(f"ca < cb AND {fits} AND ia <= da - {share} AND ib <= db - {share}")
+    # differences so small that nothing need be shared: compared by size classes, whose number the set sizes bound
+    small = [d.groupBy("hub", f"n{x}", f"d{x}").agg(F.min(f"c{x}").alias(f"c0{x}"), F.max(f"c{x}").alias(f"c1{x}")) for d, x in zip(sides, "ab", strict=True)]
+    close = small[0].join(small[1], "hub").where(f"da + db <= {room} AND {fits} AND (c0a < c1b OR c0b < c1a)").select("hub", "na", "da", "nb", "db")
+    bare = [d.drop("toks") for d in sides]
+    close = bare[0].join(close, ["hub", "na", "da"]).join(bare[1], ["hub", "nb", "db"]).where("ca < cb")
+    return met.select("a", "b").unionByName(close.select("a", "b")).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
 
 
 def links(docs: DataFrame, size: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(sets, classes): sets has doc, n (set size), rep (smallest document with an equal set);
     classes has node, component for each representative that links with another."""
     t = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = materialize(t.mapInArrow(_measure(size, percent), "doc long, n long, s1 long, s2 long, prefix array<long>"), "sets")
+    form = "doc long, n long, s1 long, s2 long, prefix array<long>"
+    sets = materialize(t.mapInArrow(_measure(size, percent), form), "sets")
+    hot = sets.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") >= FREQUENT).orderBy(F.desc("df"), "tok").limit(HOT_MAX).toPandas()
+    late = None
+    if len(hot):
+        discard(sets)
+        late = docs.sparkSession.sparkContext.broadcast(np.sort(hot["tok"].to_numpy().view(_U)))
+        sets = materialize(t.mapInArrow(_measure(size, percent, late), form), "sets")
     some = sets.where("n > 0")
     reps = some.groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"), F.any_value("prefix").alias("prefix"))
     tokens = reps.select("doc", "n", F.posexplode("prefix").alias("i", "tok"))
@@ -107,34 +171,45 @@ def links(docs: DataFrame, size: int = 4, percent: int = 85, text: str = "text",
     shared = materialize(tokens.join(often, "tok").select("doc", "n", "i", "tok", "df"), "prefix")
 
     within = lambda level: F.col("i") < F.col("n") - need + F.least(F.lit(level), need)
-    places = [F.sum(F.when(within(x), F.col("df") - 1).otherwise(0)).alias(f"c{x}") for x in LEVELS]
+    alike = lambda level: F.col("i") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + level  # noqa: E731  what partners of the same size ask for
+    places = [F.sum(F.when(alike(x), F.col("df") - 1).otherwise(0)).alias(f"c{x}") for x in LEVELS]
     cost = F.array_sort(F.array(*[F.struct((F.col(f"c{x}") * (1 + VERIFY_COST / x)).alias("cost"), F.lit(x).alias("level")) for x in LEVELS]))
-    level = shared.groupBy("doc").agg(*places).select("doc", F.get(cost, F.lit(0))["level"].alias("level"))
+    level = shared.groupBy("doc").agg(*places, F.max("df").alias("most"))
+    level = level.select("doc", F.when(F.col("most") > FREQUENT, 1).otherwise(F.get(cost, F.lit(0))["level"]).alias("level"))
     level = shared.join(level, "doc").withColumn("level", F.least("level", need)).where(within(1) | (F.col("i") < F.col("n") - need + F.col("level")))
-    chosen = materialize(level.select("tok", "doc", "n", "level"), "chosen")
+    chosen = materialize(level.select("tok", "doc", "n", F.col("level").cast("int").alias("level"), "i", (F.col("df") > FREQUENT).alias("hot")), "chosen")
     discard(shared)
 
-    fits = "100 * least(na, nb) >= {p} * greatest(na, nb)".format(p=percent)
-    hub = chosen.groupBy("tok").agg(F.min("doc").alias("a"), F.min_by("n", "doc").alias("na"), F.min_by("level", "doc").alias("la"))
-    star = chosen.selectExpr("tok", "doc b", "n nb", "level lb").join(hub, "tok").where("a < b").where(fits)
-    star = star.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l").select("a", "b")
+    both = f"ceil({percent} * (na + nb) / {100 + percent})"
+    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND ia < na - {both} + least(la, lb) AND ib < nb - {both} + least(la, lb)"
+    # the first hash that a pair shares lies within the prefixes of l = 1
+    counted = [F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l"), F.min(F.expr(f"greatest(ia - na, ib - nb) + {both}")).alias("first")]
+    cold = chosen.where("NOT hot")
+    hub = cold.groupBy("tok").agg(F.min("doc").alias("a"), *[F.min_by(x, "doc").alias(y) for x, y in (("n", "na"), ("level", "la"), ("i", "ia"))])
+    star = cold.selectExpr("tok", "doc b", "n nb", "level lb", "i ib").join(hub, "tok").where("a < b").where(fits)
+    star = star.groupBy("a", "b").agg(*counted).where("c >= l AND first < 1").select("a", "b")
     star = materialize(star, "star")
     near = materialize(_linked(star, t, size, percent), "near")
+    hubs = chosen.where("hot").groupBy("tok").agg(F.min("doc").alias("a"))
+    hubs = materialize(chosen.where("hot").selectExpr("tok", "doc b").join(hubs, "tok").where("a < b").select("a", "b").distinct(), "hubs")
+    form = "hub long, doc long, n long, d long, linked boolean, toks array<long>"
+    differ = materialize(_with_texts(hubs, t).mapInArrow(_differ(size, percent, late), form), "differ")
+    near = near.unionByName(differ.where("linked").selectExpr("hub a", "doc b"))
     cc = components(near, "cc")
 
-    named = chosen.join(cc.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    named = materialize(named, "named")
-    mixed = named.groupBy("tok").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("tok")
-    open_ = named.join(mixed, "tok")
-    rest = open_.selectExpr("tok", "doc a", "n na", "level la", "component ca").join(open_.selectExpr("tok", "doc b", "n nb", "level lb", "component cb"), "tok").where("ca < cb").where(fits)
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l").selectExpr("least(a, b) a", "greatest(a, b) b")
-    rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    named = lambda d: d.join(cc.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    open_ = materialize(named(cold), "named")
+    mixed = open_.groupBy("tok").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("tok")
+    open_ = open_.join(mixed, "tok")
+    rest = open_.selectExpr("tok", "doc a", "n na", "level la", "i ia", "component ca").join(open_.selectExpr("tok", "doc b", "n nb", "level lb", "i ib", "component cb"), "tok").where("ca < cb").where(fits)
+    rest = rest.groupBy("a", "b").agg(*counted).where("c >= l AND first < 1").selectExpr("least(a, b) a", "greatest(a, b) b")
+    beside = _beside(materialize(named(differ), "named"), percent)
+    rest = materialize(rest.unionByName(beside).distinct().join(star, ["a", "b"], "left_anti"), "rest")
     far = materialize(_linked(rest, t, size, percent), "far")
-    both = components(near.unionByName(far).distinct(), "cc")
+    final = components(near.unionByName(far).distinct(), "cc")
     sets = sets.select("doc", "n", "s1", "s2")
     ids = some.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
-    discard(chosen, named, star, rest)
-    return sets.join(ids, ["s1", "s2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")).distinct(), both
+    return sets.join(ids, ["s1", "s2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")).distinct(), final
 
 
 def classes(docs: DataFrame, size: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
