@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import pieces, ragged, table
+from lodestead.llm.common import pieces, ragged, small_batches, table
 
 LONGEST = 512
 #: Encoded matches that a Python worker remembers; beyond it, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -194,6 +194,7 @@ def _coder(shared, pattern: str) -> Coder:
 
 
 def _share(docs: DataFrame, path: str):
+    small_batches(docs.sparkSession)
     data = Path(path).read_bytes()
     if len(data) > 64 << 20:
         raise ValueError(f"{path} is too large to broadcast as a vocabulary")

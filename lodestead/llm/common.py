@@ -17,15 +17,24 @@ from pyspark.sql import functions as F
 #: White space of the word rule, as a Java/RE2 character class body.
 WS = r"\x20\x09-\x0D"
 WORD = f"[^{WS}]+"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has the default of 10,000: whole texts are wide rows, and a batch
+    lies in the memory of the JVM and of a Python worker at once."""
+    if spark.conf.get(_BATCH, None) == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers find this package even where the driver's working folder is another
     spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,6 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     rather than kept until the driver collects its garbage.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
     if before is not None:
