@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import same
@@ -253,17 +254,18 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, data):
         first[a] = min([first[b] for b in link], default=a)
     bench = [re.findall(r"[^\W_]+", r.text.lower()) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
 
+    code: dict[str, int] = {}
+    number = lambda words: np.array([code.setdefault(w, len(code)) for w in words])
+
     def leaks(words):
+        text, j = number(words), np.arange(len(words) + 1)
         for item in bench:
-            row = [0] * (len(words) + 1)
-            if len(item) < 5 or len(set(item) & set(words)) < 0.5 * len(set(item)):
-                continue
-            for k, x in enumerate(item):
-                new = [k + 1]
-                for j, y in enumerate(words):
-                    new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
-                row = new
-            if min(row) <= int(0.2 * len(item)):
+            row = np.zeros(len(words) + 1, int)
+            for x in number(item):
+                new = row + 1
+                new[1:] = np.minimum(new[1:], row[:-1] + (text != x))
+                row = np.minimum.accumulate(new - j) + j
+            if len(item) >= 5 and row.min() <= int(0.2 * len(item)):
                 return True
         return False
 
