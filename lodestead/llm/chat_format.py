@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import table, words
+from lodestead.llm.common import materialize, table, words
 
 BUDGET, HISTORY, OVERHEAD, BLOCK = 512, 128, 2, 1024
 _MARKS = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t"))
@@ -128,7 +128,7 @@ TRICKY = "\\### Assistant: </turn> ok"
 def op1_chat_format(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
-    return digests(windows(rows.unionByName(extra)))
+    return digests(materialize(windows(rows.unionByName(extra)), "windows"))
 
 
 _ESC = "replace(replace(replace({}, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t')"
