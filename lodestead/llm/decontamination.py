@@ -127,17 +127,17 @@ def find(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         start = np.flatnonzero(count[np.minimum(np.arange(len(h)) + reach, len(h))] - count[:-1] >= need)
         if not len(start):
             continue
-        pad = np.concatenate([h, np.zeros(lo * 3 + 2, _U)])
-        near = np.unique(np.concatenate([start, start]))
         # only what the walks can read is embedded: the stretches behind the starts, one behind another
+        where, own_at = _stretches(start, 2 * min(lo, 64))
+        some_h = np.concatenate([h, np.zeros(2 * min(lo, 64), _U)])[where]
         cand = []
         for seed, wanted, keys, order in draws:
-            own = _embed_near(pad, near, int(wanted.max()) + 1, seed, wanted)
+            own = embed(some_h, own_at, int(wanted.max()) + 1, seed, wanted)
             a, z = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
             hit = np.flatnonzero(z > a)
             size = (z - a)[hit]
             pos = np.repeat(a[hit] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            cand.append(np.stack([order[pos], np.repeat(near[hit], size)], 1))
+            cand.append(np.stack([order[pos], np.repeat(start[hit], size)], 1))
         cand = np.unique(np.concatenate(cand), axis=0)
         if not len(cand):
             continue
@@ -166,13 +166,11 @@ def find(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def _embed_near(h: np.ndarray, at: np.ndarray, steps: int, seed: int, wanted: np.ndarray) -> np.ndarray:
-    """embed(), but hashing only the words that the walks from `at` can reach."""
-    cover = np.zeros(len(h) + 1, np.int32)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, np.minimum(at + steps, len(h)), -1)
-    on = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-    return embed(h[on], np.searchsorted(on, at), steps, seed, wanted)
+def _stretches(at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places from each of the ascending starts to `reach` behind it, without repeats, and the starts' numbers among them."""
+    n = np.minimum(np.diff(at, append=at[-1] + reach), reach)
+    first = np.cumsum(n) - n
+    return np.repeat(at - first, n) + np.arange(n.sum()), first
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
