@@ -6,8 +6,8 @@
    state). Another word has, in addition, its share of the remaining counts, so the model gives every text a probability.
 3. Training is truncated backpropagation through windows of WINDOW tokens with the state carried on, by Adam, in every
    partition of the training documents; after each round the partitions' weights are averaged by Spark, weighted by
-   tokens. Each round learns from whole texts of a share TRAIN_SHARE of the training documents (another one each
-   round), so what is learned from grows with the corpus. Output weights start at zero and biases at the log shares of
+   tokens. Each round learns from whole texts of another share of the training documents, and the rounds together from
+   every token of them all, in partitions of any size. Output weights start at zero and biases at the log shares of
    the words, so that the model begins as the unigram model.
 4. Scoring runs all texts of a batch side by side, longest first; the state goes on from window to window to the end.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lodestead.llm.common import hash_words, materialize, pieces, ragged, table, text_bytes
 
 HEAD, VOCABULARY, CLASSES, HIDDEN = 131_072, 2046, 32, 16
-WINDOW, LANES, RATE, ROUNDS, TRAIN_SHARE = 32, 64, 0.01, 2, 1 / 16
+WINDOW, LANES, RATE, ROUNDS = 32, 64, 0.01, 2
 #: Tokens that are scored side by side, at most, unless a text alone has more.
 SIDE_BY_SIDE = 3_000_000
 END = 0x5EED_0E4D  # stands for the end among word hashes
@@ -165,17 +165,22 @@ class Gru:
         return out, ds
 
     def learn(self, stream: np.ndarray) -> None:
-        """Truncated backpropagation through a stream of ids, cut into lanes; the end resets a lane's state."""
-        lanes = max(1, min(LANES, len(stream) // (WINDOW + 1)))
-        steps = len(stream) // lanes
-        if steps < 2:
+        """Truncated backpropagation through a stream of ids, cut into lanes; the end resets a lane's state.
+
+        Each id but the first is predicted once; lanes that end early are filled up, and what fills them isn't learned.
+        """
+        n = len(stream) - 1
+        if n < 1:
             return
-        lane = stream[: lanes * steps].reshape(lanes, steps).T
+        lanes = max(1, min(LANES, n // WINDOW))
+        steps = -(-n // lanes)
+        fill = np.zeros(lanes * steps - n, stream.dtype)
+        given, wanted = (np.append(x, fill).reshape(lanes, steps).T for x in (stream[:-1], stream[1:]))
+        real = (np.arange(lanes * steps) < n).reshape(lanes, steps).T
         s, h, p = np.zeros((lanes, HIDDEN), _F), HIDDEN, self.p
         m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-        for a in range(0, steps - 1, WINDOW):
-            x, y = lane[a : a + WINDOW], lane[a + 1 : a + 1 + WINDOW]
-            x = x[: len(y)]
+        for a in range(0, steps, WINDOW):
+            x, y, learned = given[a : a + WINDOW], wanted[a : a + WINDOW], real[a : a + WINDOW]
             emb = p["emb"][x]
             gate = emb @ p["wx"] + p["bx"]
             kept, states = [], np.empty((len(y), lanes, h), _F)
@@ -186,8 +191,8 @@ class Gru:
                 kept.append((was, z, r, c, an, on))
                 states[i] = s
             g = {k: np.zeros_like(w) for k, w in p.items()}
-            _, ds = self.log_p(states.reshape(-1, h), y.reshape(-1), g)
-            ds = ds.reshape(len(y), lanes, h)
+            ds = np.zeros_like(states)
+            _, ds[learned] = self.log_p(states[learned], y[learned], g)
             dgate, back = np.empty_like(gate), np.zeros((lanes, h), _F)
             for i in range(len(y) - 1, -1, -1):
                 was, z, r, c, an, on = kept[i]
@@ -206,7 +211,7 @@ class Gru:
             t += 1
             rate = RATE * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * min(1.0, t / 20)
             for k, w in p.items():
-                d = g[k] / _F(y.size)
+                d = g[k] / _F(learned.sum())
                 m[k] += _F(0.1) * (d - m[k])
                 v[k] += _F(0.001) * (d * d - v[k])
                 w -= _F(rate) * m[k] / (np.sqrt(v[k]) + _F(1e-6))
@@ -266,7 +271,7 @@ def _train(shared):
                 if n > 400_000:
                     gru.learn(np.concatenate(stream))
                     stream, n, learned = [np.zeros(1, np.int32)], 0, learned + n
-        if n > 200:
+        if n:
             gru.learn(np.concatenate(stream))
             learned += n
         if learned:
@@ -344,7 +349,7 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", learn_
     words = Words(head["word"].to_numpy().view(np.uint64), head["c"].to_numpy(), total, distinct, ends)
     flat = np.zeros(0, _F)
     for k in range(ROUNDS):
-        part = F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit("share")), F.lit(round(1 / TRAIN_SHARE))) == k
+        part = F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit("share")), F.lit(ROUNDS)) == k
         shared = spark.sparkContext.broadcast(_dump(words, flat))
         rows = train.where(part).select("text").mapInArrow(_train(shared), "w array<float>, n long")
         rows = rows.select("n", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x"))

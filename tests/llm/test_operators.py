@@ -177,6 +177,37 @@ def test_gru_probabilities_sum_to_one_and_training_helps():
     assert np.allclose(together, alone, atol=1e-3)
 
 
+def test_language_model_learns_from_every_training_document(spark, tmp_path, monkeypatch):
+    def note(shared):
+        def run(batches):
+            import uuid
+
+            (tmp_path / uuid.uuid4().hex).write_text("\n".join(t for b in batches for t in b.column("text").to_pylist()))
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(lm_scoring, "_train", note)
+    docs = spark.range(300).selectExpr("id doc_id", "concat('text ', id) text")
+    kept = {r.doc_id for r in lm_scoring.score_texts(docs).where("NOT held_out").collect()}
+    assert Counter(t for f in tmp_path.iterdir() for t in f.read_text().split("\n") if t) == Counter(f"text {i}" for i in kept)
+
+
+def test_language_model_learns_small_partitions_and_ends_of_streams():
+    from types import SimpleNamespace
+
+    words = lm_scoring.Words(np.arange(1, 41).astype(np.uint64), np.arange(1, 41), 900, 41, 80)
+    shared = SimpleNamespace(value=lm_scoring._dump(words, np.zeros(0, "f4")))
+    out = list(lm_scoring._train(shared)([pa.RecordBatch.from_arrays([pa.array(["one small text"])], ["text"])]))
+    assert out[0].column("n").to_pylist() == [4] and not np.array_equal(out[0].column("w")[0].values.to_numpy(), lm_scoring.Gru(words).flat())
+    ends = []
+    for last in (5, 9):
+        gru = lm_scoring.Gru(words)
+        gru.learn(np.append(np.full(lm_scoring.LANES * 40, 7), np.full(lm_scoring.LANES - 1, last)).astype(np.int32))
+        ends.append(gru.flat())
+    assert not np.array_equal(*ends)
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
