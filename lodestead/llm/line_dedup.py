@@ -1,11 +1,12 @@
 """Operator 7, line dedup: winnowed line fingerprints are joined, extended both ways, and later repeated runs deleted.
 
-A line is a \\n-split piece with at least one word; lines are compared without outer white space. Every run of
-`window` consecutive lines selects its smallest line hash (leftmost of equals) as its fingerprint, so two places that
-share such a run share a fingerprint. Fingerprints that occur at one place only are dropped; around the others the
-match is extended to both sides, over the whole run, and the extended runs are joined with their first place. Runs
-that start earlier elsewhere (smaller doc_id, or same document and earlier line) are deleted; a longer repeated
-passage is covered by its overlapping runs, so it goes as a whole.
+A line is a \\n-split piece with at least one word; lines are compared without outer white space. Runs are those of
+`window` consecutive lines, and those of fewer lines, down to one, that hold `long_words` words. Every run selects its
+smallest line hash (leftmost of equals) as its fingerprint, so two places that share such a run share a fingerprint.
+Fingerprints that occur at one place only are dropped; around the others the match is extended to both sides, over the
+whole run, and the extended runs are joined with their first place. Runs that start earlier elsewhere (smaller doc_id,
+or same document and earlier line) are deleted; a longer repeated passage is covered by its overlapping runs, so it goes
+as a whole.
 
 Only DataFrame functions. A hot line costs one row per run, never a pair of places: places meet their group's
 minimum, which is pre-aggregated, in joins whose hot keys Spark can split.
@@ -23,27 +24,34 @@ from pyspark.sql import functions as F
 
 from lodestead.llm.common import WS, table
 
-WINDOW = 3
+WINDOW, LONG_WORDS = 3, 50
 _STRIP = " \t\n\x0b\f\r"
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row (doc, from_line, to_line) for each run of `window` lines with an earlier twin; line numbers from 0."""
+def repeated_runs(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", long_words: int = LONG_WORDS) -> DataFrame:
+    """One row (doc, from_line, to_line) for each run of `window` lines, or fewer with `long_words` words, with an earlier
+    twin; line numbers from 0."""
     d = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.split(F.coalesce(text, F.lit("")), "\n").alias("raw"))
     d = d.select("doc", F.filter(F.transform("raw", lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(_STRIP)).alias("x"))), lambda s: s["x"] != "").alias("l"))
-    d = d.where(F.size("l") >= window).select("doc", "l", F.transform("l", lambda s: F.xxhash64(s["x"])).alias("h"))
-    d = d.select("doc", "l", "h", F.explode(F.sequence(F.lit(0), F.size("h") - window)).alias("s"))
-    run = F.slice("l", F.col("s") + 1, window)
-    low = F.array_min(F.slice("h", F.col("s") + 1, window))
+    d = d.where(F.size("l") > 0).select("doc", "l", F.transform("l", lambda s: F.xxhash64(s["x"])).alias("h"), F.transform("l", lambda s: F.size(F.split(s["x"], f"[{WS}]+"))).alias("w"))
+    starts = F.sequence(F.lit(0), F.size("h") - 1)
+    runs = [F.transform(F.filter(starts, lambda s: s + window <= F.size("h")), lambda s: F.struct(s.alias("s"), F.lit(window).alias("m")))]
+    for m in range(1, window):
+        some = F.filter(starts, lambda s: (s + m <= F.size("h")) & (sum((F.get("w", s + k) for k in range(1, m)), F.get("w", s)) >= long_words))  # noqa: B023
+        runs.append(F.transform(some, lambda s: F.struct(s.alias("s"), F.lit(m).alias("m"))))  # noqa: B023
+    d = d.select("doc", "l", "h", F.explode(F.concat(*runs)).alias("r")).select("doc", "l", "h", "r.s", "r.m")
+    run = F.slice("l", F.col("s") + 1, F.col("m"))
+    hashes = F.slice("h", F.col("s") + 1, F.col("m"))
+    low = F.array_min(hashes)
     d = d.select(
-        "doc", "s", low.alias("fp"), (F.array_position(F.slice("h", F.col("s") + 1, window), low) - 1).cast("int").alias("off"),
+        "doc", "s", "m", low.alias("fp"), (F.array_position(hashes, low) - 1).cast("int").alias("off"),
         F.xxhash64(F.transform(run, lambda s: s["x"])).alias("r1"), F.hash(F.transform(run, lambda s: s["x"])).alias("r2"),
-        F.get("l", F.col("s"))["i"].alias("from_line"), F.get("l", F.col("s") + (window - 1))["i"].alias("to_line"),
+        F.get("l", F.col("s"))["i"].alias("from_line"), F.get("l", F.col("s") + F.col("m") - 1)["i"].alias("to_line"),
     )
     at = F.col("s") + F.col("off")
     places = d.groupBy("fp").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(at).alias("p0"), F.max(at).alias("p1"))
     joined = d.join(places.where("d0 < d1 OR p0 < p1").select("fp"), "fp")
-    run_key = ["fp", "off", "r1", "r2"]
+    run_key = ["m", "fp", "off", "r1", "r2"]
     first = joined.groupBy(*run_key).agg(F.min("doc").alias("d0"), F.min_by("s", F.struct("doc", "s")).alias("s0"), F.count("*").alias("n")).where("n > 1")
     return joined.join(first.drop("n"), run_key).where("doc > d0 OR (doc = d0 AND s > s0)").select("doc", "from_line", "to_line")
 

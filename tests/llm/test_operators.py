@@ -47,6 +47,28 @@ def test_line_dedup_on_odd_input(spark, odd, none):
     assert sorted((r.doc_id or 0, r.text) for r in line_dedup.drop_repeated_lines(d).collect()) == [(0, "a\nb\nc"), (1, "a\nb\nc\nd"), (2, "x\ny"), (2, "x\ny")]
 
 
+def test_line_dedup_finds_long_passages_of_one_or_two_lines(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(999)) for _ in range(n))
+    pool = [line(n) for n in (60, 50, 49, 30, 25, 20, 5, 5)]
+    texts = {i: "\n".join(rng.choice(["", "  "]) + (rng.choice(pool) if rng.random() < 0.6 else line(8)) for _ in range(rng.randint(1, 6))) for i in range(20, 140)}
+    texts |= {1: pool[0], 2: pool[0], 3: pool[2], 4: pool[2], 5: f"{pool[3]}\n{pool[5]}", 6: f"x\n{pool[3]}\n\n{pool[5]}\ny", 7: f"{pool[4]}\n{pool[5]}", 8: f"{pool[4]}\n{pool[5]}"}
+    seen, want = set(), {}
+    for i, t in sorted(texts.items()):
+        raw = t.split("\n")
+        at, gone = [k for k, x in enumerate(raw) if x.strip()], set()
+        for p in range(len(at)):
+            for m in range(1, 4):
+                run = tuple(raw[k].strip() for k in at[p : p + m])
+                if len(run) == m and (m == 3 or len(" ".join(run).split()) >= 50):
+                    if run in seen:
+                        gone |= set(range(at[p], at[p + m - 1] + 1))
+                    seen.add(run)
+        want[i] = "\n".join(x for k, x in enumerate(raw) if k not in gone)
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want and got[2] == "" and got[4] == pool[2] and got[6] == "x\ny" and got[8] == texts[8]
+
+
 def test_substring_dedup_on_odd_input(odd, none):
     got = {(r.doc_id, r.n_words): r.n_removed for r in substring_dedup.remove_repeats(odd).collect()}
     assert got[(1, 0)] == got[(2, 0)] == got[(3, 0)] == got[(5, 2)] == 0 and got[(None, 60)] == 0
