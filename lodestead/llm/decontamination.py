@@ -5,10 +5,10 @@ an item if some stretch of it is within floor(MAX_EDITS * item length) word edit
 
 The random walk of Chakraborty, Goldenberg and Koucky maps a word sequence to a longer one: at each step it writes the
 current word and then moves on or not by a random bit of the step and the word, so sequences within few edits get
-embeddings at a small Hamming distance. Each of REPEATS repetitions has a walk of its own, samples SAMPLED positions of
-the embedding, and takes windows and items that agree on all of them for candidates. REPEATS follows from the recall
-asked for: 1 - (1 - (1 - far) ** SAMPLED) ** REPEATS >= RECALL, where `far` is the share of positions in which the
-embeddings of a window and an item at the largest allowed distance differ. Candidates are verified by the exact edit
+embeddings at a small Hamming distance. Each repetition has a walk of its own, samples SAMPLED positions of
+the embedding, and takes windows and items that agree on all of them for candidates. The number of repetitions is
+measured for each length class: as many as find RECALL of random items with exactly the allowed number of mixed edits,
+by the same walks and positions. Candidates are verified by the exact edit
 distance between the item and the best stretch around the window.
 
 Windows are embedded where they can lie within the distance at all: one edit breaks at most two of an item's word
@@ -23,7 +23,7 @@ drop_contaminated; repeated rows are each reported; other columns pass through;
 
 from __future__ import annotations
 
-import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from lodestead.llm.common import hash_words, materialize, mix, pieces, table, text_bytes
 
 MAX_EDITS, MIN_WORDS, MAX_ITEMS = 0.2, 5, 20_000
-SAMPLED, FAR, RECALL = 2, 0.5, 0.995
-REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - FAR) ** SAMPLED))
+SAMPLED, RECALL, TRIALS, REPEATS = 2, 0.995, 4000, 19
 #: Documents that are dropped through a broadcast of their ids, at most; beyond, through a shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -79,6 +78,44 @@ def embed(h: np.ndarray, at: np.ndarray, steps: int, seed: int, wanted: np.ndarr
     return out
 
 
+def positions(lo: int, rep: int) -> np.ndarray:
+    """The sampled steps of a length class in a repetition."""
+    return np.random.Generator(np.random.PCG64([lo, rep])).choice(min(lo, 64) * 2 - 2, SAMPLED, replace=False)
+
+
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """The words after so many inserts, deletes and replacements, mixed, at random places."""
+    x = words.tolist()
+    for kind, new in zip(rng.integers(0, 3, edits), rng.integers(1, 2**63, edits), strict=True):
+        p = int(rng.integers(0, len(x)))
+        x[p : p + 1] = [[], [int(new)], [x[p], int(new)]][kind]
+    return np.array(x, _U)
+
+
+@lru_cache(maxsize=None)
+def repeats(lo: int, n: int, edits: int) -> int:
+    """Repetitions that find RECALL of the items of n words after so many edits, in the class whose shortest has lo words.
+
+    At least REPEATS. Half of the loss that RECALL grants is used, since the trials are a sample.
+    """
+    rng = np.random.Generator(np.random.PCG64([lo, n, edits]))
+    reach = 2 * min(lo, 64)
+    item = np.zeros((TRIALS, n + reach), _U)
+    item[:, :n] = rng.integers(1, 2**63, (TRIALS, n)).astype(_U)
+    text = rng.integers(1, 2**63, (TRIALS, n + edits + reach)).astype(_U)
+    for own, words in zip(text, item, strict=True):
+        x = edited(words[:n], edits, rng)
+        own[: len(x)] = x
+    item, text, rep = item[:, :reach], text[:, :reach], 0
+    while len(item) > TRIALS * (1 - RECALL) / 2:
+        wanted = positions(lo, rep)
+        at, steps = np.arange(len(item)) * reach, int(wanted.max()) + 1
+        rep += 1
+        lost = embed(item.ravel(), at, steps, rep, wanted) != embed(text.ravel(), at, steps, rep, wanted)
+        item, text = item[lost], text[lost]
+    return max(rep, REPEATS)
+
+
 class Items:
     """The benchmark's items by length class, with their sampled embeddings."""
 
@@ -100,8 +137,9 @@ class Items:
             draws = []
             flat = np.concatenate([np.concatenate([x[2], np.zeros(2 * hi, _U)]) for x in some])
             starts = np.cumsum([0, *[x[0] + 2 * hi for x in some]])[:-1]
-            for rep in range(REPEATS):
-                wanted = np.random.Generator(np.random.PCG64([lo, rep])).choice(min(lo, 64) * 2 - 2, SAMPLED, replace=False)
+            n = max((x[0] for x in some), key=lambda n: edits_allowed(n, share) / n)
+            for rep in range(repeats(lo, n, edits_allowed(n, share))):
+                wanted = positions(lo, rep)
                 keys = embed(flat, starts, int(wanted.max()) + 1, rep + 1, wanted)
                 order = np.argsort(keys, kind="stable")
                 draws.append((rep + 1, wanted, keys[order], order))

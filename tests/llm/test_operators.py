@@ -126,6 +126,24 @@ def test_decontamination_finds_every_planted_item(spark):
     assert decontamination.matches(docs, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [50, 64, 80])
+def test_decontamination_recall_at_the_largest_distance(n):
+    rng, found = np.random.Generator(np.random.PCG64(n)), 0
+    slack = decontamination.edits_allowed(n, decontamination.MAX_EDITS)
+    for _ in range(3):
+        items = [rng.integers(1, 2**40, n) for _ in range(400)]
+        x = decontamination.Items(list(range(400)), [" ".join(map(str, w)) for w in items], decontamination.MAX_EDITS)
+        texts = []
+        for w in items:
+            y = w.tolist()
+            for kind in rng.integers(0, 3, slack):
+                p, new = int(rng.integers(0, len(y))), int(rng.integers(1, 2**40))
+                y[p : p + 1] = [[], [new], [y[p], new]][kind]
+            texts.append(" ".join(map(str, [*rng.integers(1, 2**40, 20), *y, *rng.integers(1, 2**40, 20)])))
+        found += len({(d, i) for d, i, *_ in decontamination.find(x, pa.array(texts)) if d == i})
+    assert found >= 0.993 * 1200
+
+
 def test_bpe_equals_tiktoken(spark, data, odd, none):
     import public_tokenizers as P
     import tiktoken
