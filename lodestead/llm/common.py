@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -23,21 +24,39 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 1,000 rows where the session has the default of 10,000: whole texts are wide rows, and a batch
-    lies in the memory of the JVM and of a Python worker at once."""
+    lies in the memory of the JVM and of a Python worker at once. Also ships the package."""
+    ship(spark)
     if spark.conf.get(_BATCH, None) == "10000":
         spark.conf.set(_BATCH, "1000")
 
 
-_ROOT = str(Path(__file__).resolve().parents[2])
+_ROOT = Path(__file__).resolve().parents[2]
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which needn't have it: once a session, as a zip file through Spark."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED and (_ROOT / "lodestead").is_dir():
+        _SHIPPED.add(app)
+        folder = tempfile.mkdtemp(prefix="lodestead-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/lodestead.zip", "w") as z:
+            for f in sorted((_ROOT / "lodestead").rglob("*.py")):
+                z.write(f, f.relative_to(_ROOT))
+        spark.sparkContext.addPyFile(f"{folder}/lodestead.zip")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers find this package even where the driver's working folder is another
-    spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def words(text: str | Column) -> Column:
     """Words of a text, in order; a null text has none."""
     col = F.col(text) if isinstance(text, str) else text
@@ -45,15 +64,20 @@ def words(text: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="lodestead-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+_MADE: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
@@ -71,18 +95,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     finally:
         if before is not None:
             spark.conf.set(_CLEAN, before)
+    if not _MADE:
+        atexit.register(clear)
+    _MADE[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestead_path = path
     return out
 
 
+def _delete(path: str, spark: SparkSession) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no later result reads."""
     for df in tables:
-        if path := getattr(df, "_lodestead_path", None):
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        if (path := getattr(df, "_lodestead_path", None)) and (spark := _MADE.pop(path, None)):
+            _delete(path, spark)
+
+
+def clear() -> None:
+    """Delete all materialized tables; callers do so once their results are written, and the driver's exit does."""
+    for path in list(_MADE):
+        spark = _MADE.pop(path)
+        if spark.sparkContext._jsc is not None:
+            _delete(path, spark)
+
+
+def anew(df: DataFrame, *keys: str) -> DataFrame:
+    """df with its integer keys computed anew. What an aggregate has dealt out by a key is joined in place, and then Spark
+    can't split the other side's hot key; if both sides are dealt out for the join, it can."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0)) for k in keys})
 
 
 # ---------------------------------------------------------------- word hashing in numpy
@@ -186,20 +230,21 @@ def ragged(values: np.ndarray, starts: np.ndarray, kind: pa.DataType | None = No
 
 
 # ---------------------------------------------------------------- connected components
-def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b: long): one row (node, component: its smallest node) for each node with an edge.
 
     Alternating large-star and small-star contractions (Kiveris et al., 2014); each round is written to the
-    shared folder. Nodes are never gathered: a node's neighbours only meet in a pre-aggregated minimum.
+    shared folder. Nodes are never gathered: a node's neighbours only meet in a pre-aggregated minimum, in joins that
+    can split a hot node. Every round that changes anything makes an edge's nodes smaller, so the rounds end.
     """
     now = materialize(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), name)
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.selectExpr("b a", "a b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
-        large = both.join(least, "a").where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
+        large = both.join(anew(least, "a"), "a").where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").selectExpr("b a", "m b").unionByName(least.selectExpr("a", "m b")).where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
+        small = large.join(anew(least, "a"), "a").selectExpr("b a", "m b").unionByName(least.selectExpr("a", "m b")).where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
         after = materialize(small, name)
         sign = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
@@ -207,4 +252,3 @@ def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
         if sign == before:
             return now.selectExpr("a node", "b component").unionByName(now.selectExpr("b node", "b component").distinct())
         before = sign
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -11,11 +11,16 @@ asks for more shared hashes. A pair is a candidate if its prefixes, as long as t
 Equal sets are one representative beforehand (by a 128-bit signature and size). A group of near copies isn't
 expanded into pairs. At first, each prefix hash only pairs its smallest document with the others; these links are
 verified and give components. Then the remaining candidates, those between documents of different components, are
-paired and verified, so no link between components is lost. Hashes that more than FREQUENT documents have in their
-prefix make no such pairs: there every document x is compared with the hash's smallest one, the hub o, by the
-differences d(x) of the sets x and o. As x and y link exactly if d(x) and d(y) differ in no more than
-(1 - t) / (1 + t) (m + n) places, prefixes of the difference sets, which are short among near copies and begin with the
-rarer additions, find the candidates among a hub's documents without loss.
+paired and verified, so no link between components is lost.
+
+Hot prefix hashes, which more than FREQUENT documents have, make no pairs; what they may add to a pair's shared hashes
+counts as shared. Their documents are compared with a hub: every document x with the one o that has the most hot hashes,
+by the differences d(x) of the sets x and o. As x and y link exactly if d(x) and d(y) differ in no more than r =
+(1 - t) / (1 + t) (m + n) places, (1) documents with |d(x)| + |d(y)| <= r link, and all such are linked with the one
+closest to the hub; (2) others share a difference in prefixes of d(x) and d(y), which are short among near copies and
+begin with the rarer additions. Differences that more than FREQUENT documents share, of different components, make a
+group with a hub of its own, the one closest to the former hub, and so on; each such group is smaller than the one it
+comes from, as it lacks its hub. So every link is found, and no pairs are made that grow with the square of a group.
 
 Verification compares the whole texts' shingle sets in Arrow batches. Shingles are compared by 64-bit hashes.
 
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import components, discard, hash_words, materialize, mix, pieces, ragged, table, text_bytes
+from lodestead.llm.common import anew, components, discard, hash_words, materialize, mix, named, pieces, ragged, table, text_bytes
 
 LEVELS = (1, 2, 4)
 FREQUENT, HOT_MAX = 64, 100_000
@@ -105,8 +110,8 @@ def _differ(size: int, percent: int, hot=None):
         late = hot.value if hot else np.zeros(0, _U)
         for whole in batches:
             for b in pieces(whole):
-                linked, far, n, toks = [], [], [], []
-                for x, o in zip(shingle_sets(b.column("text"), size), shingle_sets(b.column("other"), size), strict=True):
+                linked, far, n, toks, paths = [], [], [], [], []
+                for x, o, path in zip(shingle_sets(b.column("text"), size), shingle_sets(b.column("other"), size), b.column("path").to_pylist(), strict=True):
                     more, less = np.setdiff1d(x, o, assume_unique=True), np.setdiff1d(o, x, assume_unique=True)
                     if len(late):
                         on = late[np.minimum(np.searchsorted(late, more), len(late) - 1)] == more
@@ -117,8 +122,11 @@ def _differ(size: int, percent: int, hot=None):
                     n.append(len(x))
                     most = (100 - percent) * (len(x) + 100 * len(x) // percent + 1) // (100 + percent) + 1
                     toks.append(np.concatenate([more, mix(less + _SALTS[42])])[:most].view(np.int64))
+                    # one hub's several texts are told apart
+                    paths.append(mix(np.sum(mix(o * _SALTS[43]), keepdims=True, dtype=_U) + np.array([path]).view(_U) * _SALTS[44]))
                 starts = np.cumsum([0, *map(len, toks)])
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(n, pa.int64()), pa.array(far, pa.int64()), pa.array(linked, pa.bool_()), ragged(np.concatenate(toks), starts)], ["hub", "doc", "n", "d", "linked", "toks"])
+                path = np.concatenate(paths).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(path), b.column("a"), b.column("b"), pa.array(n, pa.int64()), pa.array(far, pa.int64()), pa.array(linked, pa.bool_()), ragged(np.concatenate(toks), starts)], ["path", "hub", "doc", "n", "d", "linked", "toks"])
 
     return run
 
@@ -130,25 +138,39 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     d = pairs.join(texts.selectExpr("doc b", "text"), "b")
-    d = d.join(texts.selectExpr("doc a", "text other"), "a")
-    return d.select("a", "b", "text", "other")
-
-
-def _beside(differ: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs among the documents of a hub, from their differences to it."""
-    sides = [differ.selectExpr("hub", f"doc {x}", f"n n{x}", f"d d{x}", f"component c{x}", "toks") for x in "ab"]
-    room = f"({100 - percent} * (na + nb) div {100 + percent})"
-    share = f"greatest(0, ceil((da + db - {room}) / 2))"
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    rows = [d.select("*", F.posexplode("toks").alias(f"i{x}", "tok")).drop("toks") for d, x in zip(sides, "ab", strict=True)]
-    mixed = rows[0].groupBy("hub", "tok").agg(F.min("ca").alias("c0"), F.max("ca").alias("c1")).where("c0 < c1").select("hub", "tok")
-    met = rows[0].join(mixed, ["hub", "tok"]).join(rows[1], ["hub", "tok"]).where(f"ca < cb AND {fits} AND ia <= da - {share} AND ib <= db - {share}")
-    # differences so small that nothing need be shared: compared by size classes, whose number the set sizes bound
-    small = [d.groupBy("hub", f"n{x}", f"d{x}").agg(F.min(f"c{x}").alias(f"c0{x}"), F.max(f"c{x}").alias(f"c1{x}")) for d, x in zip(sides, "ab", strict=True)]
-    close = small[0].join(small[1], "hub").where(f"da + db <= {room} AND {fits} AND (c0a < c1b OR c0b < c1a)").select("hub", "na", "da", "nb", "db")
-    bare = [d.drop("toks") for d in sides]
-    close = bare[0].join(close, ["hub", "na", "da"]).join(bare[1], ["hub", "nb", "db"]).where("ca < cb")
-    return met.select("a", "b").unionByName(close.select("a", "b")).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+    return d.join(texts.selectExpr("doc a", "text other"), "a")
+
+
+def _beside(differ: DataFrame, cc: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare among the documents of each hub, from their differences to it.
+
+    Returns candidate pairs (a, b) of groups with at most FREQUENT documents, and the rows (path, tok, doc, d) of larger
+    groups, for a hub of their own. Documents of the hub's component ("own") only meet others, so their prefix is the
+    shorter one that a partner with at least the others' smallest difference asks for.
+    """
+    d = _named(differ, cc).join(cc.selectExpr("node hub", "component at"), "hub", "left").withColumn("own", F.expr("component = coalesce(at, hub)")).drop("at")
+    d = materialize(d, "named")
+    about = d.groupBy("path").agg(F.min(F.when(~F.col("own"), F.col("d"))).alias("least"), F.max("n").alias("top")).where("least IS NOT NULL")
+    d = d.join(anew(about, "path"), "path")
+    room = f"({100 - percent} * (n + top) div {100 + percent})"
+    d = d.withColumns({"short": F.expr(f"(d - least + {room}) div 2"), "long": F.expr(f"(d + {room}) div 2")})
+    d = d.select("path", "doc", "n", "d", "component", "own", "short", F.posexplode(F.expr("slice(toks, 1, greatest(0, int(if(own, short, long)) + 1))")).alias("i", "tok"))
+    rows = materialize(d.withColumn("brief", F.expr("i <= short")), "beside")
+    lone = [F.when(F.expr("NOT own AND brief"), x) for x in (F.col("component"), F.lit(1))]
+    sizes = rows.groupBy("path", "tok").agg(F.count_if("own").alias("near"), F.count_if(~F.col("own")).alias("rest"), F.count(lone[1]).alias("brief"), F.min(lone[0]).alias("c0"), F.max(lone[0]).alias("c1"))
+    sizes = sizes.select("path", "tok", F.expr("near > 0 AND rest > 0").alias("two"), F.expr("brief > 1 AND c0 < c1").alias("one"), F.expr(f"near + rest > {FREQUENT}").alias("much"), F.expr(f"brief > {FREQUENT}").alias("many")).where("two OR one")
+    met = rows.join(anew(sizes, "path", "tok"), ["path", "tok"])
+    more = met.where("(two AND much) OR (one AND many AND NOT own AND brief)").select("path", "tok", "doc", "d")
+    few = met.where("(two AND NOT much) OR (one AND NOT many AND NOT own AND brief)")
+    x, y = (few.selectExpr("path", "tok", f"doc {k}", f"n n{k}", f"d d{k}", f"i i{k}", f"component c{k}", f"own o{k}", f"brief b{k}", f"(two AND NOT much) t{k}", f"(one AND NOT many) u{k}") for k in "ab")
+    share = f"greatest(0, ceil((da + db - ({100 - percent} * (na + nb) div {100 + percent})) / 2))"
+    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND ia <= da - {share} AND ib <= db - {share}"
+    pairs = x.join(y, ["path", "tok"]).where(f"ca <> cb AND {fits} AND ((ta AND oa AND NOT ob) OR (ua AND NOT oa AND NOT ob AND ba AND bb AND ca < cb))")
+    return pairs.selectExpr("least(a, b) a", "greatest(a, b) b"), more
+
+
+def _named(d: DataFrame, cc: DataFrame) -> DataFrame:
+    return d.join(cc.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
 def links(docs: DataFrame, size: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -164,52 +186,69 @@ def links(docs: DataFrame, size: int = 4, percent: int = 85, text: str = "text",
         late = docs.sparkSession.sparkContext.broadcast(np.sort(hot["tok"].to_numpy().view(_U)))
         sets = materialize(t.mapInArrow(_measure(size, percent, late), form), "sets")
     some = sets.where("n > 0")
-    reps = some.groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"), F.any_value("prefix").alias("prefix"))
+    reps = materialize(some.groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"), F.any_value("prefix").alias("prefix")), "reps")
     tokens = reps.select("doc", "n", F.posexplode("prefix").alias("i", "tok"))
     often = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     need = F.ceil(F.col("n") * percent / 100)
-    shared = materialize(tokens.join(often, "tok").select("doc", "n", "i", "tok", "df"), "prefix")
+    shared = materialize(tokens.join(anew(often, "tok"), "tok").select("doc", "n", "i", "tok", "df"), "prefix")
 
     within = lambda level: F.col("i") < F.col("n") - need + F.least(F.lit(level), need)
     alike = lambda level: F.col("i") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + level  # noqa: E731  what partners of the same size ask for
-    places = [F.sum(F.when(alike(x), F.col("df") - 1).otherwise(0)).alias(f"c{x}") for x in LEVELS]
-    cost = F.array_sort(F.array(*[F.struct((F.col(f"c{x}") * (1 + VERIFY_COST / x)).alias("cost"), F.lit(x).alias("level")) for x in LEVELS]))
-    level = shared.groupBy("doc").agg(*places, F.max("df").alias("most"))
-    level = level.select("doc", F.when(F.col("most") > FREQUENT, 1).otherwise(F.get(cost, F.lit(0))["level"]).alias("level"))
-    level = shared.join(level, "doc").withColumn("level", F.least("level", need)).where(within(1) | (F.col("i") < F.col("n") - need + F.col("level")))
-    chosen = materialize(level.select("tok", "doc", "n", F.col("level").cast("int").alias("level"), "i", (F.col("df") > FREQUENT).alias("hot")), "chosen")
+    often = F.col("df") > FREQUENT
+    places = [F.sum(F.when(alike(x) & ~often, F.col("df") - 1).otherwise(0)).alias(f"c{x}") for x in LEVELS] + [F.count_if(within(x) & often).alias(f"h{x}") for x in LEVELS]
+    cost = F.array_sort(F.array(*[F.struct((F.col(f"c{x}") * (1 + VERIFY_COST / x)).alias("cost"), F.lit(x).alias("level"), F.col(f"h{x}").alias("h")) for x in LEVELS]))
+    level = shared.groupBy("doc").agg(*places).select("doc", "h1", F.get(cost, F.lit(0)).alias("best")).select("doc", "h1", "best.level", "best.h")
+    chosen = shared.join(level, "doc").withColumn("level", F.least("level", need)).where(within(1) | (F.col("i") < F.col("n") - need + F.col("level")))
+    chosen = materialize(chosen.select("tok", "doc", "n", F.col("level").cast("int").alias("level"), "i", often.alias("hot"), "h", "h1", within(1).alias("first")), "chosen")
     discard(shared)
 
     both = f"ceil({percent} * (na + nb) / {100 + percent})"
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND ia < na - {both} + least(la, lb) AND ib < nb - {both} + least(la, lb)"
-    # the first hash that a pair shares lies within the prefixes of l = 1
-    counted = [F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l"), F.min(F.expr(f"greatest(ia - na, ib - nb) + {both}")).alias("first")]
+    # the first hash that a pair shares lies within the prefixes of l = 1; hot ones, met at a hub, may be among those it shares
+    counted = [F.count("*").alias("c"), F.min(F.least("la", "lb") - F.least("ha", "hb")).alias("l"), F.min(F.expr(f"greatest(ia - na, ib - nb) + {both}")).alias("first")]
     cold = chosen.where("NOT hot")
-    hub = cold.groupBy("tok").agg(F.min("doc").alias("a"), *[F.min_by(x, "doc").alias(y) for x, y in (("n", "na"), ("level", "la"), ("i", "ia"))])
-    star = cold.selectExpr("tok", "doc b", "n nb", "level lb", "i ib").join(hub, "tok").where("a < b").where(fits)
-    star = star.groupBy("a", "b").agg(*counted).where("c >= l AND first < 1").select("a", "b")
-    star = materialize(star, "star")
+    sides = [cold.selectExpr("tok", f"doc {k}", f"n n{k}", f"level l{k}", f"i i{k}", f"h h{k}") for k in "ab"]
+    hub = cold.groupBy("tok").agg(F.min(F.struct("doc", "n", "level", "i", "h")).alias("o")).selectExpr("tok", "o.doc a", "o.n na", "o.level la", "o.i ia", "o.h ha")
+    star = sides[1].join(hub, "tok").where("a < b").where(fits)
+    star = materialize(star.groupBy("a", "b").agg(*counted).where("c >= l AND first < 1").select("a", "b"), "star")
     near = materialize(_linked(star, t, size, percent), "near")
-    hubs = chosen.where("hot").groupBy("tok").agg(F.min("doc").alias("a"))
-    hubs = materialize(chosen.where("hot").selectExpr("tok", "doc b").join(hubs, "tok").where("a < b").select("a", "b").distinct(), "hubs")
-    form = "hub long, doc long, n long, d long, linked boolean, toks array<long>"
-    differ = materialize(_with_texts(hubs, t).mapInArrow(_differ(size, percent, late), form), "differ")
-    near = near.unionByName(differ.where("linked").selectExpr("hub a", "doc b"))
-    cc = components(near, "cc")
-
-    named = lambda d: d.join(cc.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = materialize(named(cold), "named")
+
+    # hot hashes: each one's documents are compared with a hub, the one among them with the most hot hashes
+    form = "path long, hub long, doc long, n long, d long, linked boolean, toks array<long>"
+    groups = chosen.where("hot AND first").select(F.lit(0).cast("long").alias("path"), "tok", "doc", (-F.col("h1")).alias("d"))
+    edges, first, rest = near, None, []
+    while True:
+        hubs = groups.groupBy("path", "tok").agg(F.min(F.struct("d", "doc"))["doc"].alias("a"))
+        pairs = groups.join(anew(hubs, "path", "tok"), ["path", "tok"]).where("a <> doc").select(F.xxhash64("path", "a").alias("path"), "a", F.col("doc").alias("b")).distinct()
+        pairs = materialize(pairs, "hubs")
+        if pairs.isEmpty():
+            break
+        differ = materialize(_with_texts(pairs, t).mapInArrow(_differ(size, percent, late), form), "differ")
+        # two documents whose differences to the hub are together small enough link; so all of them link with the closest one
+        slack = F.expr(f"{100 + percent} * d - {100 - percent} * n")
+        closest = differ.groupBy("path").agg(F.min(F.struct(slack.alias("s"), F.col("doc"))).alias("o")).selectExpr("path", "o.s s", "o.doc a")
+        close = differ.join(anew(closest, "path"), "path").where(slack + F.col("s") <= 0).where("a <> doc").selectExpr("a", "doc b")
+        edges = edges.unionByName(differ.where("linked").selectExpr("hub a", "doc b")).unionByName(close)
+        cc = components(edges, "cc")
+        first = cc if first is None else first
+        found, groups = _beside(differ, cc, percent)
+        rest.append(found)
+        groups = materialize(groups, "groups")
+    first = components(near, "cc") if first is None else first
+
+    # the other candidates of cold hashes: those of different components
+    open_ = materialize(_named(cold, first), "named")
     mixed = open_.groupBy("tok").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("tok")
     open_ = open_.join(mixed, "tok")
-    rest = open_.selectExpr("tok", "doc a", "n na", "level la", "i ia", "component ca").join(open_.selectExpr("tok", "doc b", "n nb", "level lb", "i ib", "component cb"), "tok").where("ca < cb").where(fits)
-    rest = rest.groupBy("a", "b").agg(*counted).where("c >= l AND first < 1").selectExpr("least(a, b) a", "greatest(a, b) b")
-    beside = _beside(materialize(named(differ), "named"), percent)
-    rest = materialize(rest.unionByName(beside).distinct().join(star, ["a", "b"], "left_anti"), "rest")
-    far = materialize(_linked(rest, t, size, percent), "far")
-    final = components(near.unionByName(far).distinct(), "cc")
-    sets = sets.select("doc", "n", "s1", "s2")
-    ids = some.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
-    return sets.join(ids, ["s1", "s2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")).distinct(), final
+    sides = [open_.selectExpr("tok", f"doc {k}", f"n n{k}", f"level l{k}", f"i i{k}", f"h h{k}", f"component c{k}") for k in "ab"]
+    far = sides[0].join(sides[1], "tok").where("ca < cb").where(fits).groupBy("a", "b").agg(*counted).where("c >= l AND first < 1").selectExpr("least(a, b) a", "greatest(a, b) b")
+    for found in rest:
+        far = far.unionByName(found)
+    far = materialize(far.distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    far = materialize(_linked(far, t, size, percent), "far")
+    final = components(edges.unionByName(far).distinct(), "cc")
+    ids = reps.select("s1", "s2", "n", F.col("doc").alias("rep"))
+    return sets.select("doc", "n", "s1", "s2").join(ids, ["s1", "s2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")).distinct(), final
 
 
 def classes(docs: DataFrame, size: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -222,7 +261,7 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 85, text: str = "text
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without those that have a near copy with a smaller doc_id in their group; rows with a null doc_id stay."""
     gone = classes(docs, size, percent, text, key).where("doc <> component").selectExpr(f"doc `{key}`")
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    return docs.join(gone, key, "left_anti").select(*named(docs.columns))
 
 
 def op10_ngram_join(spark, sf_dir) -> DataFrame:
