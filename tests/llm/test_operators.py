@@ -104,6 +104,66 @@ def test_ngram_join_finds_all_links_of_a_group_of_near_copies(spark):
     assert got == {i: root(i) for i in sets}
 
 
+def _components(rows, size, percent):
+    sets = {i: {tuple(t.split()[k : k + size]) for k in range(len(t.split()) - size + 1)} for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize(("size", "percent", "frequent"), [(4, 85, 64), (5, 80, 8)])
+def test_ngram_join_of_clusters_within_clusters(spark, monkeypatch, size, percent, frequent):
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    rng = random.Random(frequent)
+    base = [f"t{i}" for i in range(100)]
+    kinds = [base]
+    for k in range(1, 9):  # each a variant of an earlier one, some of other lengths
+        x = list(rng.choice(kinds))
+        for _ in range(rng.randint(1, 5)):
+            p = rng.randrange(len(x))
+            x[p : p + rng.choice([0, 1, 3])] = [f"k{k}_{rng.randrange(40)}" for _ in range(rng.randint(0, 6))]
+        kinds.append(x)
+    rows = []
+    for i in range(160):
+        e = rng.choice([0, 0.005, 0.01, 0.02, 0.04])
+        rows.append((i, " ".join(w if rng.random() >= e else f"n{rng.randrange(60)}" for w in rng.choice(kinds))))
+    want = _components(rows, size, percent)
+    assert len(set(want.values())) > 10
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc"]: r["component"] for r in ngram_join.classes(d, size, percent).collect()} == want
+
+
+def test_ngram_join_makes_pairs_in_proportion_to_a_group_of_near_copies(spark, monkeypatch):
+    made, write = Counter(), ngram_join.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        made[name] += out.count() if name in ("star", "hubs", "rest") else 0
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    rng = random.Random(6)
+    base = [f"t{i}" for i in range(120)]
+    rows = [(i, " ".join(w if rng.random() > e else f"n{rng.randrange(10**6)}" for w in base)) for i in range(600) for e in [rng.choice([0.005, 0.01, 0.02, 0.03])]]
+    got = {r["doc"]: r["component"] for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _components(rows, 4, 85) and len(set(got.values())) > 100 and made.total() < 3 * 600
+
+
+def test_ngram_join_keeps_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4)], "doc_id long, text string, `a.b` int, component int")
+    assert [tuple(r) for r in ngram_join.keep_one_of_each(d).collect()] == [(1, "a b c d e f", 1, 2)]
+
+
 def test_decontamination_finds_every_planted_item(spark):
     rng = random.Random(3)
     vocab = [f"v{i}" for i in range(300)]
