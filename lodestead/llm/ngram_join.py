@@ -18,9 +18,9 @@ counts as shared. Their documents are compared with a hub: every document x with
 by the differences d(x) of the sets x and o. As x and y link exactly if d(x) and d(y) differ in no more than r =
 (1 - t) / (1 + t) (m + n) places, (1) documents with |d(x)| + |d(y)| <= r link, and all such are linked with the one
 closest to the hub; (2) others share a difference in prefixes of d(x) and d(y), which are short among near copies and
-begin with the rarer additions. Differences that more than FREQUENT documents share, of different components, make a
-group with a hub of its own, the one closest to the former hub, and so on; each such group is smaller than the one it
-comes from, as it lacks its hub. So every link is found, and no pairs are made that grow with the square of a group.
+begin with the rarer additions. Where the documents that share a difference would make more than FREQUENT pairs each,
+they are a group with a hub of its own, the one closest to the former hub, and so on; each such group is smaller than the
+one it comes from, as it lacks its hub. So every link is found, and no pairs are made that grow with the square of a group.
 
 Verification compares the whole texts' shingle sets in Arrow batches. Shingles are compared by 64-bit hashes.
 
@@ -144,28 +144,26 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _beside(differ: DataFrame, cc: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """What is left to compare among the documents of each hub, from their differences to it.
 
-    Returns candidate pairs (a, b) of groups with at most FREQUENT documents, and the rows (path, tok, doc, d) of larger
-    groups, for a hub of their own. Documents of the hub's component ("own") only meet others, so their prefix is the
-    shorter one that a partner with at least the others' smallest difference asks for.
+    Returns candidate pairs (a, b), and the rows (path, tok, doc, d) of groups that would make more than FREQUENT pairs a
+    row, for a hub of their own. Of a pair, the document with fewer differences meets the other in a short prefix (at most
+    half the room that linked documents' differences have), the other in a long one. Documents of the hub's component ("own") only meet others.
     """
     d = _named(differ, cc).join(cc.selectExpr("node hub", "component at"), "hub", "left").withColumn("own", F.expr("component = coalesce(at, hub)")).drop("at")
     d = materialize(d, "named")
     about = d.groupBy("path").agg(F.min(F.when(~F.col("own"), F.col("d"))).alias("least"), F.max("n").alias("top")).where("least IS NOT NULL")
-    d = d.join(anew(about, "path"), "path")
-    room = f"({100 - percent} * (n + top) div {100 + percent})"
-    d = d.withColumns({"short": F.expr(f"(d - least + {room}) div 2"), "long": F.expr(f"(d + {room}) div 2")})
-    d = d.select("path", "doc", "n", "d", "component", "own", "short", F.posexplode(F.expr("slice(toks, 1, greatest(0, int(if(own, short, long)) + 1))")).alias("i", "tok"))
-    rows = materialize(d.withColumn("brief", F.expr("i <= short")), "beside")
-    lone = [F.when(F.expr("NOT own AND brief"), x) for x in (F.col("component"), F.lit(1))]
-    sizes = rows.groupBy("path", "tok").agg(F.count_if("own").alias("near"), F.count_if(~F.col("own")).alias("rest"), F.count(lone[1]).alias("brief"), F.min(lone[0]).alias("c0"), F.max(lone[0]).alias("c1"))
-    sizes = sizes.select("path", "tok", F.expr("near > 0 AND rest > 0").alias("two"), F.expr("brief > 1 AND c0 < c1").alias("one"), F.expr(f"near + rest > {FREQUENT}").alias("much"), F.expr(f"brief > {FREQUENT}").alias("many")).where("two OR one")
+    d = d.join(anew(about, "path"), "path").withColumn("room", F.expr(f"{100 - percent} * (n + top) div {100 + percent}"))
+    d = d.withColumn("reach", F.expr("(d - if(own, least, 0) + room) div 2"))
+    d = d.select("path", "doc", "n", "d", "component", "own", "room", F.posexplode(F.expr("slice(toks, 1, greatest(0, int(reach) + 1))")).alias("i", "tok"))
+    rows = materialize(d.withColumn("brief", F.expr("i <= room div 2")).drop("room"), "beside")
+    n = lambda x: F.count_if(F.expr(x))
+    sizes = rows.groupBy("path", "tok").agg(F.count("*").alias("all"), n("own").alias("near"), n("own AND brief").alias("s0"), n("NOT own AND brief").alias("s1"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    sizes = sizes.where("c0 < c1").withColumn("pairs", F.expr("s1 * all + s0 * (all - near)")).where("pairs > 0").select("path", "tok", F.expr(f"pairs > {FREQUENT} * all").alias("many"))
     met = rows.join(anew(sizes, "path", "tok"), ["path", "tok"])
-    more = met.where("(two AND much) OR (one AND many AND NOT own AND brief)").select("path", "tok", "doc", "d")
-    few = met.where("(two AND NOT much) OR (one AND NOT many AND NOT own AND brief)")
-    x, y = (few.selectExpr("path", "tok", f"doc {k}", f"n n{k}", f"d d{k}", f"i i{k}", f"component c{k}", f"own o{k}", f"brief b{k}", f"(two AND NOT much) t{k}", f"(one AND NOT many) u{k}") for k in "ab")
+    more, few = met.where("many").select("path", "tok", "doc", "d"), met.where("NOT many")
+    x, y = (few.selectExpr("path", "tok", f"doc {k}", f"n n{k}", f"d d{k}", f"i i{k}", f"component c{k}", f"own o{k}", f"brief s{k}") for k in "ab")
     share = f"greatest(0, ceil((da + db - ({100 - percent} * (na + nb) div {100 + percent})) / 2))"
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND ia <= da - {share} AND ib <= db - {share}"
-    pairs = x.join(y, ["path", "tok"]).where(f"ca <> cb AND {fits} AND ((ta AND oa AND NOT ob) OR (ua AND NOT oa AND NOT ob AND ba AND bb AND ca < cb))")
+    pairs = x.where("sa").join(y, ["path", "tok"]).where(f"(da < db OR (da = db AND a < b)) AND ca <> cb AND NOT (oa AND ob) AND {fits}")
     return pairs.selectExpr("least(a, b) a", "greatest(a, b) b"), more
 
 
