@@ -49,41 +49,44 @@ def _ordered(conv: DataFrame) -> DataFrame:
         F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("k"), F.col("conv_id").isNull().alias("nil"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    d = d.withColumn("tokens", F.size(words("text")) + OVERHEAD).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
-    own = Window.partitionBy("k", "nil", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    d = d.withColumn("i", F.row_number().over(own).cast("long"))
-    system = d.where("role = 'system'").groupBy("k", "nil").agg(F.min(F.struct(F.col("block"), F.col("i"), F.col("tokens"))).alias("s"))
-    blocks = d.groupBy("k", "nil", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("k", "nil").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("k", "nil", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    d = d.withColumn("tokens", (F.size(words("text")) + OVERHEAD).cast("long")).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
     keys = ["k", "nil"]
-    d = d.join(system, keys, "left").join(blocks, [*keys, "block"])
-    first = (F.col("block") == F.col("s.block")) & (F.col("i") == F.col("s.i"))
-    d = d.withColumn("is_system", F.coalesce(first, F.lit(False))).withColumn("room_taken", F.coalesce(F.col("s.tokens"), F.lit(0)))
-    d = d.withColumn("counted", F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("tokens")).cast("long"))
-    sums = d.groupBy("k", "nil", "block").agg(F.sum("counted").alias("c"))
-    sums = sums.select("k", "nil", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
-    run = Window.partitionBy("k", "nil", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("c1", F.sum("counted").over(run)).join(sums, [*keys, "block"])
-    return d.select(*keys, (F.col("n0") + F.col("i")).alias("ord"), "role", "text", "is_system", "room_taken", (F.col("c0") + F.col("c1") - F.col("counted")).alias("start"), (F.col("c0") + F.col("c1")).alias("end"))
+    own = Window.partitionBy(*keys, "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    d = d.withColumn("i", F.row_number().over(own).cast("long"))
+    d = d.withColumn("sum", F.sum("tokens").over(Window.partitionBy(*keys, "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = d.groupBy(*keys, "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("c"), F.min(F.when(F.col("role") == "system", F.struct("i", "tokens"))).alias("s"))
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    system = F.min(F.when(F.col("s").isNotNull(), F.struct("block", "s.i", "s.tokens"))).over(Window.partitionBy(*keys))
+    blocks = blocks.select(*keys, "block", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(y) for x, y in (("n", "n0"), ("c", "c0"))], system.alias("s"))
+    d = d.join(blocks, [*keys, "block"])
+    first = F.coalesce((F.col("block") == F.col("s.block")) & (F.col("i") == F.col("s.i")), F.lit(False))
+    # the system turn isn't counted in the sums of the turns behind it
+    behind = F.coalesce((F.col("block") > F.col("s.block")) | ((F.col("block") == F.col("s.block")) & (F.col("i") > F.col("s.i"))), F.lit(False))
+    d = d.withColumn("is_system", first).withColumn("room_taken", F.coalesce(F.col("s.tokens"), F.lit(0)))
+    d = d.withColumn("end", F.col("c0") + F.col("sum") - F.when(first | behind, F.col("room_taken")).otherwise(0))
+    start = F.col("end") - F.when(first, F.lit(0)).otherwise(F.col("tokens"))
+    return d.select(*keys, (F.col("n0") + F.col("i")).alias("ord"), "role", "text", "is_system", "room_taken", start.alias("start"), "end")
 
 
 def windows(conv: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row per window: conv_id, first_turn (place of its first new turn), text, turns (place and kind of each turn in
     the text; kinds: system or history, repeated, and new) and mask (first character, characters of each target)."""
     room = F.greatest(F.lit(1), F.lit(budget - history) - F.col("room_taken"))
-    d = _ordered(conv).withColumns({"s0": F.floor(F.col("start") / room), "s1": F.floor(F.greatest(F.col("end") - 1, F.col("start")) / room)})
-    turn = F.concat(F.lit("### "), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"), escape(F.col("text")), F.lit(_END))
-    d = d.withColumn("piece", turn).withColumn("body", F.length(escape(F.col("text")))).withColumn("target", F.col("role") == "assistant")
+    d = materialize(_ordered(conv), "turns").withColumns({"s0": F.floor(F.col("start") / room), "s1": F.floor(F.greatest(F.col("end") - 1, F.col("start")) / room)})
+    # windows are made of turns' numbers; their texts join at the end
     keys = ["k", "nil"]
-    span = d.groupBy(*keys, "s0", "s1").agg(F.min("start").alias("from"), F.min("ord").alias("head"), F.max("is_system").alias("own"))
-    new = d.select(*keys, "s0", "s1", (~F.col("is_system")).cast("int").alias("late"), "ord", F.lit("new").alias("kind"), "piece", "body", "target")
-    sys = d.where("is_system").select(*keys, "ord", "piece", "body").join(span.where("NOT own").select(*keys, "s0", "s1"), keys)
-    sys = sys.select(*keys, "s0", "s1", F.lit(0).alias("late"), "ord", F.lit("system").alias("kind"), "piece", "body", F.lit(False).alias("target"))
-    at = d.where("NOT is_system").select(*keys, "ord", "piece", "body", "start", "end", F.explode(F.array(F.floor(F.col("start") / history), F.floor(F.col("start") / history) + 1)).alias("h"))
+    at = d.select(*keys, "ord", "is_system", "start", "end", "s0", "s1")
+    span = at.groupBy(*keys, "s0", "s1").agg(F.min("start").alias("from"), F.min("ord").alias("head"), F.max("is_system").alias("own"))
+    new = at.select(*keys, "s0", "s1", (~F.col("is_system")).cast("int").alias("late"), "ord", F.lit("new").alias("kind"))
+    sys = at.where("is_system").select(*keys, "ord").join(span.where("NOT own").select(*keys, "s0", "s1"), keys)
+    sys = sys.select(*keys, "s0", "s1", F.lit(0).alias("late"), "ord", F.lit("system").alias("kind"))
+    at = at.where("NOT is_system").select(*keys, "ord", "start", "end", F.explode(F.array(F.floor(F.col("start") / history), F.floor(F.col("start") / history) + 1)).alias("h"))
     old = at.join(span.withColumn("h", F.floor(F.col("from") / history)), [*keys, "h"]).where((F.col("start") >= F.col("from") - history) & (F.col("end") <= F.col("from")) & (F.col("ord") < F.col("head")))
-    old = old.select(*keys, "s0", "s1", F.lit(1).alias("late"), "ord", F.lit("history").alias("kind"), "piece", "body", F.lit(False).alias("target"))
-    rows = new.unionByName(sys).unionByName(old).groupBy(*keys, "s0", "s1").agg(F.sort_array(F.collect_list(F.struct("late", "ord", "kind", "piece", "body", "target"))).alias("t"))
+    old = old.select(*keys, "s0", "s1", F.lit(1).alias("late"), "ord", F.lit("history").alias("kind"))
+    turn = F.concat(F.lit("### "), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"), escape(F.col("text")), F.lit(_END))
+    piece = d.select(*keys, "ord", turn.alias("piece"), F.length(escape(F.col("text"))).alias("body"), (F.col("role") == "assistant").alias("target"))
+    rows = new.unionByName(sys).unionByName(old).join(piece, [*keys, "ord"]).withColumn("target", F.col("target") & (F.col("kind") == "new"))
+    rows = rows.groupBy(*keys, "s0", "s1").agg(F.sort_array(F.collect_list(F.struct("late", "ord", "kind", "piece", "body", "target"))).alias("t"))
     rows = rows.withColumn("size", F.transform("t", lambda x: F.length(x["piece"])))
     ends = F.transform("t", lambda x, i: F.struct((F.aggregate(F.slice("size", 1, i + 1), F.lit(0), lambda a, y: a + y) - len(_END) - x["body"]).alias("from"), x["body"].alias("chars"), x["ord"].alias("ord"), x["target"].alias("target")))
     mask = F.transform(F.filter(ends, lambda x: x["target"]), lambda x: F.struct(x["from"].alias("from"), x["chars"].alias("chars"), x["ord"].alias("ord")))
@@ -107,19 +110,17 @@ def read_targets(win: DataFrame) -> DataFrame:
     return d.select("conv_id", F.col("m.ord").alias("ord"), unescape(F.col("text").substr(F.col("m.from") + 1, F.col("m.chars"))).alias("text"))
 
 
-def _joined(rows: DataFrame, text: Column, chars: Column, to: str, n: str) -> DataFrame:
-    d = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("ord", text.alias("s")))).alias("a"), F.sum(chars).alias("chars"), F.count("*").alias(n))
-    return d.select("conv_id", n, "chars", F.sha2(F.array_join(F.transform("a", lambda x: x["s"]), "").cast("binary"), 256).alias(to))
-
-
 def digests(win: DataFrame) -> DataFrame:
     """What the windows hold, read back, as one row per conversation; a digest needs its conversation's text in one row."""
-    turns = _joined(read_turns(win), F.concat("role", F.lit("\n"), "text", F.lit("\n")), F.lit(0), "turns_sha256", "n_turns").drop("chars")
-    loss = _joined(read_targets(win), F.col("text"), F.length("text"), "loss_sha256", "n").select(F.col("conv_id").alias("c"), F.col("chars").alias("loss_chars"), "loss_sha256")
-    size = win.groupBy("conv_id").agg(F.sum(F.length("text")).alias("formatted_chars"), F.count("*").alias("n_windows")).withColumnRenamed("conv_id", "d")
-    out = turns.join(size, F.col("conv_id").eqNullSafe(F.col("d"))).join(loss, F.col("conv_id").eqNullSafe(F.col("c")), "left")
-    nothing = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of no bytes
-    return out.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "turns_sha256", F.coalesce("loss_chars", F.lit(0)).cast("long").alias("loss_chars"), F.coalesce("loss_sha256", F.lit(nothing)).alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"), F.col("n_windows").cast("long").alias("n_windows"))
+    turn = F.struct("ord", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("s"))
+    none = F.lit(None).cast("struct<ord: bigint, s: string>")
+    rows = read_turns(win).select("conv_id", turn.alias("turn"), none.alias("loss"), F.lit(0).alias("chars"))
+    rows = rows.unionByName(read_targets(win).select("conv_id", none.alias("turn"), F.struct("ord", F.col("text").alias("s")).alias("loss"), F.lit(0).alias("chars")))
+    rows = rows.unionByName(win.select("conv_id", none.alias("turn"), none.alias("loss"), F.length("text").alias("chars")))
+    both = [F.sort_array(F.collect_list(x)).alias(x) for x in ("turn", "loss")]
+    d = rows.groupBy("conv_id").agg(*both, F.count("turn").alias("n_turns"), F.sum(F.length("loss.s")).alias("lost"), F.sum("chars").alias("formatted_chars"), F.count_if(F.col("turn").isNull() & F.col("loss").isNull()).alias("n_windows"))
+    digest = lambda x: F.sha2(F.array_join(F.transform(x, lambda y: y["s"]), "").cast("binary"), 256)
+    return d.select("conv_id", "n_turns", digest("turn").alias("turns_sha256"), F.coalesce("lost", F.lit(0)).cast("long").alias("loss_chars"), digest("loss").alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"), "n_windows")
 
 
 TRICKY = "\\### Assistant: </turn> ok"
