@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import discard, hash_words, materialize, mix, pieces, spans, table, text_bytes
+from lodestead.llm.common import anew, discard, hash_words, materialize, mix, pieces, spans, table, text_bytes
 
 LENGTH, SEED = 20, 6
 _U = np.uint64
@@ -120,7 +120,7 @@ _ROW = "doc long, lo int, hi int, g long, c long, again boolean"
 
 def _later(rows: DataFrame, first: DataFrame) -> DataFrame:
     """The extents of rows that repeat an earlier occurrence of their sequence."""
-    met = rows.where("NOT again").join(first.where("n > 1").select("g", "c", "d0"), ["g", "c"]).where("doc > d0")
+    met = rows.where("NOT again").join(anew(first.where("n > 1").select("g", "c", "d0"), "g", "c"), ["g", "c"]).where("doc > d0")
     return met.select("doc", "lo", "hi").unionByName(rows.where("again").select("doc", "lo", "hi"))
 
 
@@ -133,11 +133,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str =
     t = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     all_ = materialize(t.mapInArrow(_anchors(length, seed), _ROW), "anchors")
     often = all_.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    some = materialize(all_.join(often, "g"), "anchors")
+    some = materialize(all_.join(anew(often, "g"), "g"), "anchors")
     discard(all_)
     first = materialize(_first(some), "contexts")
     met = first.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
-    wanted = first.join(met, "g").groupBy("d0").agg(F.collect_set("g").alias("wanted")).withColumnRenamed("d0", "doc")
+    wanted = first.join(anew(met, "g"), "g").groupBy("d0").agg(F.collect_set("g").alias("wanted")).withColumnRenamed("d0", "doc")
     near = t.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_windows(length, seed), _ROW)
     near = materialize(near, "windows")
     out = _later(some, first).unionByName(_later(near, _first(near)))
