@@ -2,8 +2,8 @@
 
 A text is split by the vocabulary's pattern; each distinct match is encoded once for many texts. Matches of like length
 lie in one padded matrix of ids. In each round every row merges its leftmost pair of least rank, found in a hash table
-of pairs, and rows without a pair leave. Matches beyond LONGEST bytes merge the same way over a heap, since a matrix row
-costs the square of its length. Decoding gathers the ids' bytes.
+of pairs, and rows without a pair leave. A match beyond LONGEST bytes is a matrix of one row; there a round merges its pair wherever it
+occurs, as one place a round would cost the square of the length. Decoding gathers the ids' bytes.
 
 Results on odd input: a null or empty text has no ids and decodes to an empty text; very long texts are encoded whole;
 other columns aren't read; repeated rows each give a row; an empty table gives an empty table; null ids decode to nothing.
@@ -12,7 +12,6 @@ other columns aren't read; repeated rows each give a row; an empty table gives a
 from __future__ import annotations
 
 import base64
-import heapq
 from pathlib import Path
 
 import numpy as np
@@ -39,7 +38,6 @@ class Coder:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.pairs = pairs
         keys = np.array([a << 32 | b for a, b in pairs], np.uint64)
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
         self.keys, self.vals = np.full(1 << self.bits, 2**64 - 1, np.uint64), np.full(1 << self.bits, _NONE, np.int32)
@@ -111,24 +109,30 @@ class Coder:
             ranks[left, best[left] - 1] = self.rank(ids[left, best[left] - 1], ids[left, best[left]])
         return out
 
-    def merge_long(self, text: bytes) -> np.ndarray:
-        """The same merges over a linked list, least rank and leftmost first from a heap."""
-        ids = self.byte[np.frombuffer(text, np.uint8)].tolist()
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= len(ids) or ids[j] != b:
-                continue  # one of the two has merged meanwhile
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < len(ids) and (s := self.pairs.get((ids[x], ids[y]))) is not None:
-                    heapq.heappush(heap, (s, x, ids[x], ids[y]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+    def merge_row(self, text: bytes) -> np.ndarray:
+        """The ids of one long byte string: a round merges the pair of least rank wherever it occurs, leftmost first.
+
+        A merge that makes a pair of still lower rank ends its round, so the merges and their order are those of one pair a round.
+        """
+        ids = self.byte[np.frombuffer(text, np.uint8)]
+        ranks = self.rank(ids[:-1], ids[1:])
+        while len(ranks) and (low := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == low)
+            first = np.flatnonzero(np.diff(at, prepend=-2) > 1)  # of places side by side, every other one merges
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))) % 2 == 0]
+            left = np.where(np.diff(at, prepend=-3) == 2, low, ids[np.maximum(at - 1, 0)])
+            left[at == 0] = -1
+            right = np.append(ids, [-1, -1])[at + 2]
+            made = np.minimum(self.rank(left, np.full(len(at), low, np.int32)), self.rank(np.full(len(at), low, np.int32), right))
+            at = at[: int(np.argmax(made < low)) + 1] if (made < low).any() else at
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids[at] = low
+            ids, ranks = ids[keep], np.append(ranks, _NONE)[keep][:-1]
+            new = at - np.arange(len(at))
+            for x in (new[new > 0] - 1, new[new < len(ranks)]):
+                ranks[x] = self.rank(ids[x], ids[x + 1])
+        return ids
 
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
@@ -143,7 +147,7 @@ class Coder:
             if (r := self.ranks.get(t)) is not None:
                 out[k] = np.array([r], np.int32)
             elif len(t) > LONGEST:
-                out[k] = self.merge_long(t)
+                out[k] = self.merge_row(t)
             else:
                 buckets.setdefault(-(-len(t) // 4) if len(t) <= 32 else 8 + len(t).bit_length(), []).append(k)
         for ks in buckets.values():
