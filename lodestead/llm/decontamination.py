@@ -14,11 +14,11 @@ distance between the item and the best stretch around the window.
 Windows are embedded where they can lie within the distance at all: one edit breaks at most two of an item's word
 pairs, so a window with too few word pairs of any item can be left out without loss.
 
-The items' words are broadcast, behind a check of their size (MAX_ITEMS); a larger benchmark is worked off in blocks.
+The items' words are broadcast, behind a check of their size (MAX_CHARS); a larger benchmark is worked off in blocks.
 
 Results on odd input: null and empty texts match nothing; items with fewer than MIN_WORDS words, or null, are left
-out, since a few words can't identify an item; rows with a null doc_id are reported with it, but never dropped by
-drop_contaminated; repeated rows are each reported; other columns pass through; empty tables give no matches.
+out, since a few words can't identify an item, and so are items with a null id; several texts under one item id are
+several items; rows with a null doc_id are reported with it, but never dropped by drop_contaminated; repeated rows are each reported; other columns pass through; empty tables give no matches.
 """
 
 from __future__ import annotations
@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import hash_words, materialize, mix, pieces, table, text_bytes
+from lodestead.llm.common import hash_words, materialize, mix, named, pieces, table, text_bytes
 
-MAX_EDITS, MIN_WORDS, MAX_ITEMS = 0.2, 5, 20_000
+MAX_EDITS, MIN_WORDS = 0.2, 5
+#: Characters of items that are broadcast at once, at most, unless one item alone has more.
+MAX_CHARS = 4_000_000
 SAMPLED, FAR, RECALL = 2, 0.5, 0.995
 REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - FAR) ** SAMPLED))
 #: Documents that are dropped through a broadcast of their ids, at most; beyond, through a shuffle.
@@ -175,9 +177,9 @@ def _stretches(at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
 
 def matches(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """One row (key, item_id, first_word, n_words, n_edits) for each document and item that it holds, its best stretch."""
-    rows = benchmark.where(F.col("text").isNotNull()).select(F.col(item).cast("long").alias("i"), normal("text").alias("t")).where("length(t) > 0").distinct()
-    n = rows.count()
-    blocks = -(-n // MAX_ITEMS) or 1
+    rows = benchmark.select(F.col(item).cast("long").alias("i"), normal("text").alias("t")).where("i IS NOT NULL AND length(t) > 0").distinct()
+    chars = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    blocks = -(-chars // MAX_CHARS) or 1
     kind, out = dict(docs.dtypes)[key], None
     d = docs.select(F.col(key).alias("key"), normal(text).alias("text"))
     for k in range(blocks):
@@ -202,7 +204,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float =
     gone = materialize(matches(docs, benchmark, max_edits, text, key).select(key).where(F.col(key).isNotNull()).distinct(), "contaminated")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    return docs.join(gone, key, "left_anti").select(*named(docs.columns))
 
 
 def op2_decontamination(spark, sf_dir) -> DataFrame:

@@ -197,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_FROM) -> tuple[t
     """(terms, their log odds, clean words near them, terms not to be sought misspelled) and the regression's weights, from at most `rows` labelled documents."""
     y = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    d = docs.join(F.broadcast(y), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).persist()
+    d = docs.join(F.broadcast(y), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).persist()
     try:
         total = {r.toxic: r.n for r in d.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         pos, neg = total.get(1, 0), total.get(0, 0)

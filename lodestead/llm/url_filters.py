@@ -11,7 +11,8 @@ broadcast if there are at most BROADCAST_ROWS of them; a larger list is joined b
 
 Results on odd input: a null or hostless URL and a null fetch day match nothing; list events with a null pattern or day
 are ignored, other actions than `add` end an interval; of an addition and a removal on one day the removal wins;
-repeated events and captures are harmless; other columns of captures pass through; an empty list blocks nothing.
+repeated events and captures are harmless; other columns of captures pass through, but those named host, blocked,
+pattern or since are replaced by the results; an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", at: str = "f
         d = d.join(own, (F.col(f"k{i}") == F.col(f"p{i}")) & (F.col("day") >= F.col(f"s{i}")) & (F.col(f"e{i}").isNull() | (F.col("day") < F.col(f"e{i}"))), "left")
     pattern = F.coalesce(*[F.col(f"p{i}") for i in range(len(keys))], F.lit(None).cast("string"))
     since = F.coalesce(*[F.col(f"s{i}") for i in range(len(keys))], F.lit(None).cast("date"))
-    return d.select("row.*", "host", pattern.isNotNull().alias("blocked"), pattern.alias("pattern"), since.alias("since"))
+    new = {"host": F.col("host"), "blocked": pattern.isNotNull(), "pattern": pattern, "since": since}
+    return d.select(*[F.col("row")[c].alias(c) for c in captures.columns if c not in new], *[x.alias(c) for c, x in new.items()])
 
 
 def listed(pages: DataFrame) -> DataFrame:
