@@ -4,11 +4,12 @@
 2. The model's vocabulary is the VOCABULARY most frequent words, the end and "another word". Each word belongs to a
    class (about equal shares of the square root of the counts), and P(word | state) = P(class | state) * P(word | class,
    state). Another word has, in addition, its share of the remaining counts, so the model gives every text a probability.
-3. Training is truncated backpropagation through windows of WINDOW tokens with the state carried on, by Adam, in every
-   partition of the training documents; after each round the partitions' weights are averaged by Spark, weighted by
-   tokens. Each round learns from whole texts of another share of the training documents, and the rounds together from
-   every token of them all, in partitions of any size. Output weights start at zero and biases at the log shares of
-   the words, so that the model begins as the unigram model.
+3. Texts are read once more and become ids. Training documents are dealt into shards of about SHARD_TOKENS tokens by a
+   hash of their ids, so their number grows with the input, and each shard trains a model: truncated backpropagation through windows of
+   WINDOW tokens with the state carried on, by Adam. After each of ROUNDS rounds, which take a share of the documents
+   each and all of them together, Spark averages the shards' weights by their tokens. Shards and their order depend on
+   the documents alone, not on partitions. Output weights start at zero and biases at the log shares of the words,
+   so that the model begins as the unigram model.
 4. Scoring runs all texts of a batch side by side, longest first; the state goes on from window to window to the end.
 
 Counts of the most frequent words (at most HEAD) and the model (its size is fixed by parameters) are broadcast; rarer words meet
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import hash_words, materialize, pieces, ragged, table, text_bytes
+from lodestead.llm.common import discard, hash_words, materialize, pieces, ragged, table, text_bytes
 
 HEAD, VOCABULARY, CLASSES, HIDDEN = 131_072, 2046, 32, 16
-WINDOW, LANES, RATE, ROUNDS = 32, 64, 0.01, 2
+WINDOW, LANES, UPDATES, RATE, ROUNDS = 32, 128, 200, 0.02, 2
+#: Tokens of a shard, about; a shard with fewer than EPOCH_TOKENS a round is learned again, EPOCHS times at most.
+SHARD_TOKENS, EPOCH_TOKENS, EPOCHS = 2_000_000, 500_000, 4
 #: Tokens that are scored side by side, at most, unless a text alone has more.
 SIDE_BY_SIDE = 3_000_000
 END = 0x5EED_0E4D  # stands for the end among word hashes
@@ -131,84 +134,101 @@ class Gru:
     def log_p(self, s: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of words y in states s; with grads, also the loss's derivative by s."""
         p, k = self.p, self.cls[y]
+        order = np.argsort(k.astype(np.int16), kind="stable")  # a class's words lie together
+        ends = np.searchsorted(k, np.arange(CLASSES + 1), sorter=order)
+        s, k, y = s[order], k[order], y[order]
+        i = np.arange(len(y))
         logit = s @ p["wc"] + p["bc"]
         logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
+        own = logit[i, k]
+        e = np.exp(logit, out=logit)
         total = e.sum(1)
-        i = np.arange(len(y))
-        out, ds = logit[i, k] - np.log(total), None
+        out, ds = own - np.log(total), None
         if grads is not None:
             d = e / total[:, None]
             d[i, k] -= 1
             grads["wc"] += s.T @ d
             grads["bc"] += d.sum(0)
             ds = d @ p["wc"].T
-        order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             a, z = self.starts[c], self.starts[c + 1]
             if z - a < 2 or ends[c] == ends[c + 1]:
                 continue  # a class of one word adds nothing
-            at = order[ends[c] : ends[c + 1]]
-            own, w = s[at], p["ww"][a:z]
-            logit = own @ w.T + p["bw"][a:z]
+            at = slice(ends[c], ends[c + 1])
+            w, j = p["ww"][a:z], i[: ends[c + 1] - ends[c]]
+            logit = s[at] @ w.T + p["bw"][a:z]
             logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
-            total, j = e.sum(1), np.arange(len(at))
-            out[at] += logit[j, y[at] - a] - np.log(total)
+            own = logit[j, y[at] - a]
+            e = np.exp(logit, out=logit)
+            total = e.sum(1)
+            out[at] += own - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
-                d[j, y[at] - a] -= 1
-                grads["ww"][a:z] += d.T @ own
-                grads["bw"][a:z] += d.sum(0)
-                ds[at] += d @ w
-        return out, ds
+                e /= total[:, None]
+                e[j, y[at] - a] -= 1
+                grads["ww"][a:z] += e.T @ s[at]
+                grads["bw"][a:z] += e.sum(0)
+                ds[at] += e @ w
+        back = np.empty_like(order)
+        back[order] = i
+        return out[back], None if ds is None else ds[back]
+
+    def loss_and_grads(self, x: np.ndarray, y: np.ndarray, learned: np.ndarray, s: np.ndarray) -> tuple[float, dict, np.ndarray]:
+        """Of one window: the negative log probability of the learned words y after the inputs x (steps by lanes), its
+        derivatives, and the last state. s: the state before; an end among the inputs resets it."""
+        h, p, lanes = HIDDEN, self.p, x.shape[1]
+        emb = p["emb"][x]
+        gate = emb @ p["wx"] + p["bx"]
+        kept, states = [], np.empty((len(y), lanes, h), gate.dtype)
+        for i in range(len(y)):
+            on = (x[i] != 0).astype(gate.dtype)[:, None]
+            was = s * on
+            s, z, r, c, an = self.step(gate[i], was)
+            kept.append((was, z, r, c, an, on))
+            states[i] = s
+        g = {k: np.zeros_like(w) for k, w in p.items()}
+        ds = np.zeros_like(states)
+        lp, ds[learned] = self.log_p(states[learned], y[learned], g)
+        dgate, da, back = np.empty_like(gate), np.empty((lanes, 3 * h), gate.dtype), np.zeros((lanes, h), gate.dtype)
+        before, after = np.empty_like(states), np.empty_like(gate)
+        for i in range(len(y) - 1, -1, -1):
+            was, z, r, c, an, on = kept[i]
+            d = ds[i] + back
+            dc = d * (1 - z) * (1 - c * c)
+            da[:, :h] = d * (was - c) * z * (1 - z)
+            da[:, h : 2 * h] = dc * an * r * (1 - r)
+            dgate[i, :, : 2 * h] = da[:, : 2 * h]
+            dgate[i, :, 2 * h :] = dc
+            da[:, 2 * h :] = dc * r
+            before[i], after[i] = was, da
+            back = (d * z + da @ p["u"].T) * on
+        flat = dgate.reshape(-1, 3 * h)
+        g["u"] += before.reshape(-1, h).T @ after.reshape(-1, 3 * h)
+        g["wx"] += emb.reshape(-1, h).T @ flat
+        g["bx"] += flat.sum(0)
+        order = np.argsort(x.reshape(-1), kind="stable")
+        words, first = np.unique(x.reshape(-1)[order], return_index=True)
+        g["emb"][words] = np.add.reduceat((flat @ p["wx"].T)[order], first)
+        return float(-lp.sum()), g, s
 
     def learn(self, stream: np.ndarray) -> None:
         """Truncated backpropagation through a stream of ids, cut into lanes; the end resets a lane's state.
 
         Each id but the first is predicted once; lanes that end early are filled up, and what fills them isn't learned.
+        A short stream gets fewer lanes, so that it makes enough steps.
         """
         n = len(stream) - 1
         if n < 1:
             return
-        lanes = max(1, min(LANES, n // WINDOW))
+        lanes = max(1, min(LANES, n // (WINDOW * UPDATES)))
         steps = -(-n // lanes)
         fill = np.zeros(lanes * steps - n, stream.dtype)
         given, wanted = (np.append(x, fill).reshape(lanes, steps).T for x in (stream[:-1], stream[1:]))
         real = (np.arange(lanes * steps) < n).reshape(lanes, steps).T
-        s, h, p = np.zeros((lanes, HIDDEN), _F), HIDDEN, self.p
-        m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-        for a in range(0, steps, WINDOW):
-            x, y, learned = given[a : a + WINDOW], wanted[a : a + WINDOW], real[a : a + WINDOW]
-            emb = p["emb"][x]
-            gate = emb @ p["wx"] + p["bx"]
-            kept, states = [], np.empty((len(y), lanes, h), _F)
-            for i in range(len(y)):
-                on = (x[i] != 0).astype(_F)[:, None]
-                was = s * on
-                s, z, r, c, an = self.step(gate[i], was)
-                kept.append((was, z, r, c, an, on))
-                states[i] = s
-            g = {k: np.zeros_like(w) for k, w in p.items()}
-            ds = np.zeros_like(states)
-            _, ds[learned] = self.log_p(states[learned], y[learned], g)
-            dgate, back = np.empty_like(gate), np.zeros((lanes, h), _F)
-            for i in range(len(y) - 1, -1, -1):
-                was, z, r, c, an, on = kept[i]
-                d = ds[i] + back
-                dc = d * (1 - z) * (1 - c * c)
-                dz = d * (was - c) * z * (1 - z)
-                dr = dc * an * r * (1 - r)
-                da = np.concatenate([dz, dr, dc * r], 1)
-                dgate[i] = np.concatenate([dz, dr, dc], 1)
-                g["u"] += was.T @ da
-                back = (d * z + da @ p["u"].T) * on
-            flat = dgate.reshape(-1, 3 * h)
-            g["wx"] += emb.reshape(-1, h).T @ flat
-            g["bx"] += flat.sum(0)
-            np.add.at(g["emb"], x.reshape(-1), flat @ p["wx"].T)
-            t += 1
+        s, p = np.zeros((lanes, HIDDEN), _F), self.p
+        m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+        for t, a in enumerate(range(0, steps, WINDOW), 1):
+            learned = real[a : a + WINDOW]
+            _, g, s = self.loss_and_grads(given[a : a + WINDOW], wanted[a : a + WINDOW], learned, s)
             rate = RATE * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * min(1.0, t / 20)
             for k, w in p.items():
                 d = g[k] / _F(learned.sum())
@@ -257,84 +277,106 @@ def _load(data: bytes) -> tuple[Words, Gru]:
     return w, Gru(w, x["flat"] if len(x["flat"]) else None)
 
 
-def _train(shared):
-    def run(batches):
-        words, gru = _load(shared.value)
-        stream, n, learned = [np.zeros(1, np.int32)], 0, 0
-        for whole in batches:
-            for b in pieces(whole):
-                h, first = hash_words(*text_bytes(b.column("text")), lower=True)
-                at, ok = words.find(h)
-                ids = np.where(ok, words.ids[at], 1).astype(np.int32)
-                stream.append(np.insert(ids, first[1:], 0))
-                n += len(stream[-1])
-                if n > 400_000:
-                    gru.learn(np.concatenate(stream))
-                    stream, n, learned = [np.zeros(1, np.int32)], 0, learned + n
-        if n:
-            gru.learn(np.concatenate(stream))
-            learned += n
-        if learned:
-            yield pa.RecordBatch.from_arrays([ragged(gru.flat(), np.array([0, len(gru.flat())]), pa.float32()), pa.array([learned], pa.int64())], ["w", "n"])
-
-    return run
-
+def _read(shared):
+    """Texts become ids; what the counts give is worked out at once, so that the texts are read no more."""
 
-def _score(shared):
     def run(batches):
-        words, gru = _load(shared.value)
+        words, _ = _load(shared.value)
         denominator = words.total + 0.5 * (words.distinct + 1)
         own = np.log10((words.counts + 0.5) / denominator)
         end = np.log10((words.ends + 0.5) / denominator)
         inside = np.log10((words.counts + 0.5) / words.rest)
-        todo, texts, n = [], [], 0
-
-        def flush():
-            model = gru.score(texts) / np.log(10)
-            for b, n_tokens, known, base, extra, tail, starts, k in todo:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("key"), b.column("held_out"), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(model[k : k + b.num_rows] + extra), ragged(tail.view(np.int64), starts)],
-                    ["key", "held_out", "n_tokens", "known", "base", "score", "tail"],
-                )
-
         for whole in batches:
             for b in pieces(whole):
                 h, first = hash_words(*text_bytes(b.column("text")), lower=True)
                 at, ok = words.find(h)
                 doc = np.repeat(np.arange(b.num_rows), np.diff(first))
                 if len(words.words):
-                    ids = np.where(ok, words.ids[at], 1).astype(np.int32)
-                    add = lambda x, on: np.bincount(doc[on], x[at[on]], b.num_rows)
+                    ids = np.where(ok, words.ids[at], 1)
+                    add = lambda x, on: np.bincount(doc[on], x[at[on]], b.num_rows).astype(float)  # noqa: B023, E731
                     base, extra = add(own, ok) + end, add(inside, ok & (ids == 1))
                 else:
-                    ids, base, extra = np.ones(len(h), np.int32), np.zeros(b.num_rows) + end, np.zeros(b.num_rows)
+                    ids, base, extra = np.ones(len(h), np.int64), np.zeros(b.num_rows) + end, np.zeros(b.num_rows)
                 known = np.bincount(doc[ok], minlength=b.num_rows) + int(words.ends > 0)
                 starts = np.concatenate([[0], np.cumsum(np.bincount(doc[~ok], minlength=b.num_rows))])
-                # slim: the batch's texts aren't kept until its scores are out
-                slim = pa.RecordBatch.from_arrays([b.column("key"), b.column("held_out")], ["key", "held_out"])
-                todo.append((slim, np.diff(first) + 1, known, base, extra, h[~ok], starts, len(texts)))
-                texts += np.split(ids, first[1:-1])
-                n += len(h)
-                if n > SIDE_BY_SIDE:
-                    yield from flush()
-                    todo, texts, n = [], [], 0
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("key"), b.column("held_out"), b.column("deal"), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(extra), ragged(ids.astype(np.int16), first, pa.int16()), ragged(h[~ok].view(np.int64), starts)],
+                    ["key", "held_out", "deal", "n_tokens", "known", "base", "extra", "ids", "tail"],
+                )
+
+    return run
+
+
+def _train(shared):
+    """A model for each shard from its rows, which lie together and in one order; its weights and tokens."""
+
+    def run(batches):
+        words, gru = _load(shared.value)
+        now, stream, given = None, [], gru.flat()
+
+        def learned():
+            ids = np.concatenate([np.zeros(1, np.int32), *stream])
+            own = Gru(words, given)
+            for _ in range(min(EPOCHS, -(-EPOCH_TOKENS // len(ids)))):
+                own.learn(ids)
+            yield pa.RecordBatch.from_arrays([ragged(own.flat(), np.array([0, len(given)]), pa.float32()), pa.array([len(ids) - 1], pa.int64())], ["w", "n"])
+
+        for b in batches:
+            shard, at = b.column("shard").to_numpy(), b.column("ids").offsets.to_numpy()
+            ids = b.column("ids").values.to_numpy()
+            for k in range(b.num_rows):
+                if shard[k] != now and stream:
+                    yield from learned()
+                    stream = []
+                now = shard[k]
+                stream.append(np.append(ids[at[k] : at[k + 1]], 0).astype(np.int32))
+        if stream:
+            yield from learned()
+
+    return run
+
+
+def _score(shared):
+    def run(batches):
+        _, gru = _load(shared.value)
+        todo, texts, n = [], [], 0
+
+        def flush():
+            model = gru.score(texts) / np.log(10)
+            k = 0
+            for b in todo:
+                extra = b.column("extra").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _SLIM), pa.array(model[k : k + b.num_rows] + extra)], [*_SLIM, "score"])
+                k += b.num_rows
+
+        for b in batches:
+            at, ids = b.column("ids").offsets.to_numpy(), b.column("ids").values.to_numpy().astype(np.int32)
+            texts += [ids[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+            todo.append(pa.RecordBatch.from_arrays([b.column(c) for c in [*_SLIM, "extra"]], [*_SLIM, "extra"]))
+            n += int(at[-1] - at[0])
+            if n > SIDE_BY_SIDE:
+                yield from flush()
+                todo, texts, n = [], [], 0
         if todo:
             yield from flush()
 
     return run
 
 
+_SLIM = ["key", "held_out", "n_tokens", "known", "base", "tail", "row"]
+
+
 def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows with the largest counts, at most so many: whole classes of the counts' logarithm, so nothing is sorted in
-    one place and only the classes' sizes come to the driver beforehand."""
+    """The rows with the largest counts, about `most`: whole classes of the counts' logarithm and, of the next one, an even
+    share by the words' hash. So nothing is sorted in one place and only the classes' sizes come to the driver beforehand."""
     grade = F.floor(F.log2("c") * 16)
-    least, have = 1 << 20, 0
+    least, next_, have, part = 1 << 20, 1 << 20, 0, 0
     for r in counts.groupBy(grade.alias("g")).agg(F.count("*").alias("n")).orderBy(F.desc("g")).collect():
-        have += r.n
-        if have > most:
+        if have + r.n > most:
+            next_, part = r.g, int((most - have) / r.n * 2**20)
             break
-        least = r.g
-    return counts.where(grade >= least)
+        have, least = have + r.n, r.g
+    return counts.where((grade >= least) | ((grade == next_) & (F.pmod(F.xxhash64("word"), F.lit(2**20)) < part)))
 
 
 def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", learn_from: Column | None = None) -> DataFrame:
@@ -342,27 +384,35 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", learn_
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     out = held_out(key) if learn_from is None else ~learn_from
     d = docs.select(F.col(key).alias("key"), out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    train = d.where("NOT held_out").select("key", "text")
-    counts = materialize(train.select("text").mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "counts")
+    counts = materialize(d.where("NOT held_out").select("text").mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "counts")
     total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
     head = _most_frequent(counts.where(F.col("word") != END), HEAD).toPandas()
     words = Words(head["word"].to_numpy().view(np.uint64), head["c"].to_numpy(), total, distinct, ends)
     flat = np.zeros(0, _F)
+    shared = spark.sparkContext.broadcast(_dump(words, flat))
+    form = f"key {kind}, held_out boolean, deal long, n_tokens long, known long, base double, extra double, ids array<short>, tail array<long>"
+    deal = F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit("deal"))
+    rows = materialize(d.withColumn("deal", deal).mapInArrow(_read(shared), form).withColumn("row", F.monotonically_increasing_id()), "ids")
+
+    # shards are dealt by the documents' ids and trained in an order of their own, so the model doesn't depend on partitions
+    shards = -(-int(total) // SHARD_TOKENS) or 1
+    train = rows.where("NOT held_out").select((F.pmod(F.shiftrightunsigned("deal", 32), F.lit(shards))).cast("int").alias("shard"), F.pmod("deal", F.lit(ROUNDS)).alias("round"), "deal", "ids")
     for k in range(ROUNDS):
-        part = F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit("share")), F.lit(ROUNDS)) == k
         shared = spark.sparkContext.broadcast(_dump(words, flat))
-        rows = train.where(part).select("text").mapInArrow(_train(shared), "w array<float>, n long")
-        rows = rows.select("n", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x"))
-        got = rows.toPandas().sort_values("i")["x"].to_numpy().astype(_F)
+        part = train.where(F.col("round") == k).repartition(shards, "shard").sortWithinPartitions("shard", "deal", "ids")
+        models = part.select("shard", "ids").mapInArrow(_train(shared), "w array<float>, n long")
+        got = models.select("n", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x"))
+        got = got.toPandas().sort_values("i")["x"].to_numpy().astype(_F)
         flat = got if len(got) else flat
     shared = spark.sparkContext.broadcast(_dump(words, flat))
-    name = "key {}, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>".format(kind)
-    rows = materialize(d.mapInArrow(_score(shared), name).withColumn("row", F.monotonically_increasing_id()), "scores")
+    slim = f"key {kind}, held_out boolean, n_tokens long, known long, base double, tail array<long>, row long, score double"
+    scored = materialize(rows.mapInArrow(_score(shared), slim), "scores")
+    discard(rows)
     # words beyond the head: their counts come by a join, one row for each document and word
-    rare = rows.where("size(tail) > 0").select("row", F.explode("tail").alias("word"))
+    rare = scored.where("size(tail) > 0").select("row", F.explode("tail").alias("word"))
     rare = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("s"), F.count("c").alias("k"))
     n = F.size("tail")
-    d = rows.join(rare, "row", "left")
+    d = scored.join(rare, "row", "left")
     more = F.coalesce("s", F.lit(0.0))
     return d.select(
         F.col("key").alias(key), "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
