@@ -214,6 +214,7 @@ def test_bpe_equals_tiktoken(spark, data, odd, none):
     rng = random.Random(1)
     parts = ["a", "b", "the", " ", "\n", "é", "ß", "日本", "🙂", "\x1c", "1", "'s", "!", "\t", "aaaa"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["a" * 3000, "é" * 700, " " * 900]
+    texts += ["".join(rng.choice(["a", "b", "th", "e", "in", "é", "日", "zz"]) for _ in range(rng.randint(400, 6000))) for _ in range(30)] + ["ab" * 4001, "aab" * 900]
     ids, at = byte_bpe.Coder(ranks, P.PATTERN).encode(texts)
     assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)] == [enc.encode_ordinary(t) for t in texts]
     got = {r.doc_id: r for r in byte_bpe.op9_byte_bpe(spark, data).collect()}
@@ -282,24 +283,28 @@ def test_language_model_learns_from_every_training_document(spark, tmp_path, mon
         def run(batches):
             import uuid
 
-            (tmp_path / uuid.uuid4().hex).write_text("\n".join(t for b in batches for t in b.column("text").to_pylist()))
+            (tmp_path / uuid.uuid4().hex).write_text("\n".join(str(x[1]) for b in batches for x in b.column("ids").to_pylist()))
             yield from ()
 
         return run
 
     monkeypatch.setattr(lm_scoring, "_train", note)
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 90)
     docs = spark.range(300).selectExpr("id doc_id", "concat('text ', id) text")
-    kept = {r.doc_id for r in lm_scoring.score_texts(docs).where("NOT held_out").collect()}
-    assert Counter(t for f in tmp_path.iterdir() for t in f.read_text().split("\n") if t) == Counter(f"text {i}" for i in kept)
+    kept = [r.doc_id for r in lm_scoring.score_texts(docs).where("NOT held_out").collect()]
+    seen = [x for f in tmp_path.iterdir() for x in f.read_text().split("\n") if x]
+    assert len(seen) == len(set(seen)) == len(kept)
 
 
-def test_language_model_learns_small_partitions_and_ends_of_streams():
+def test_language_model_learns_small_shards_and_ends_of_streams():
     from types import SimpleNamespace
 
     words = lm_scoring.Words(np.arange(1, 41).astype(np.uint64), np.arange(1, 41), 900, 41, 80)
     shared = SimpleNamespace(value=lm_scoring._dump(words, np.zeros(0, "f4")))
-    out = list(lm_scoring._train(shared)([pa.RecordBatch.from_arrays([pa.array(["one small text"])], ["text"])]))
-    assert out[0].column("n").to_pylist() == [4] and not np.array_equal(out[0].column("w")[0].values.to_numpy(), lm_scoring.Gru(words).flat())
+    rows = pa.RecordBatch.from_arrays([pa.array([3, 3, 5], pa.int32()), pa.array([[2, 3], [], [4]], pa.list_(pa.int16()))], ["shard", "ids"])
+    out = list(lm_scoring._train(shared)([rows]))
+    assert [x.column("n").to_pylist() for x in out] == [[4], [2]]
+    assert all(not np.array_equal(x.column("w")[0].values.to_numpy(), lm_scoring.Gru(words).flat()) for x in out)
     ends = []
     for last in (5, 9):
         gru = lm_scoring.Gru(words)
@@ -308,6 +313,46 @@ def test_language_model_learns_small_partitions_and_ends_of_streams():
     assert not np.array_equal(*ends)
 
 
+def test_gru_gradients_equal_differences():
+    rng = np.random.default_rng(3)
+    words = lm_scoring.Words(rng.integers(0, 2**63, 60).astype(np.uint64), np.arange(1, 61), 2000, 61, 80)
+    gru = lm_scoring.Gru(words)
+    gru.p = {k: w.astype(float) + rng.normal(0, 0.2, w.shape) for k, w in gru.p.items()}
+    x, y = rng.integers(0, 62, (7, 3)), rng.integers(0, 62, (7, 3))
+    learned = np.ones((7, 3), bool)
+    learned[5:, 2] = False
+    s = rng.normal(size=(3, lm_scoring.HIDDEN))
+    loss = lambda: gru.loss_and_grads(x, y, learned, s)[0]
+    g = gru.loss_and_grads(x, y, learned, s)[1]
+    for k, w in gru.p.items():
+        for i in rng.choice(w.size, 8, replace=False):
+            at = np.unravel_index(i, w.shape)
+            was, d = w[at], []
+            for e in (1e-5, -1e-5):
+                w[at] = was + e
+                d.append(loss())
+            w[at] = was
+            assert math.isclose((d[0] - d[1]) / 2e-5, g[k][at], rel_tol=1e-4, abs_tol=1e-5), k
+
+
+def test_held_out_texts_score_above_the_base_in_any_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    scores = []
+    for n in (1, 4, 8):
+        got = lm_scoring.score_texts(docs.repartition(n)).where("held_out").collect()
+        tokens = sum(r.n_tokens for r in got)
+        assert sum(r.score for r in got) / tokens > sum(r.base_score for r in got) / tokens + 0.1
+        assert sum(r.score > r.base_score for r in got) > 0.9 * len(got)
+        scores.append({r.doc_id: r.score for r in got})
+    assert all(math.isclose(scores[0][i], x[i], rel_tol=1e-4) for x in scores[1:] for i in x)
+
+
+def test_head_of_words_that_occur_once(spark):
+    counts = spark.range(50_000).selectExpr("id word", "if(id < 3, 9L, 1L) c")
+    assert 900 < lm_scoring._most_frequent(counts, 1000).count() < 1100 and lm_scoring._most_frequent(counts, 1000).where("c = 9").count() == 3
+    assert lm_scoring._most_frequent(counts, 60_000).count() == 50_000 and lm_scoring._most_frequent(counts.limit(0), 9).count() == 0
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -365,14 +410,16 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, data):
     kept = {r.doc_id for r in quality_rules.op3_quality_rules(spark, data).where("kept").collect()}
     texts, seen = {}, {}
     rows = sorted((r.doc_id, r.text.split("\n")) for r in docs.collect() if r.doc_id in kept)
-    for i, raw in rows:  # runs of three lines that were seen before go
+    for i, raw in rows:  # runs of three lines, or of fewer with 50 words, that were seen before go
         at = [k for k, x in enumerate(raw) if x.strip(" \t\n\x0b\f\r")]
         gone = set()
-        for p in range(len(at) - 2):
-            run = tuple(raw[k].strip(" \t\n\x0b\f\r") for k in at[p : p + 3])
-            if run in seen:
-                gone |= set(range(at[p], at[p + 2] + 1))
-            seen.setdefault(run, i)
+        for p in range(len(at)):
+            for m in range(1, 4):
+                run = tuple(raw[k].strip(" \t\n\x0b\f\r") for k in at[p : p + m])
+                if len(run) == m and (m == 3 or len(" ".join(run).encode().split()) >= 50):
+                    if run in seen:
+                        gone |= set(range(at[p], at[p + m - 1] + 1))
+                    seen.setdefault(run, i)
         texts[i] = "\n".join(x for k, x in enumerate(raw) if k not in gone)
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
