@@ -35,19 +35,25 @@ WINDOW, LONG_WORDS = 3, 50
 _STRIP = " \t\n\x0b\f\r"
 
 
-def _lines(docs: DataFrame, window: int, text: str, key: str, long_words: int) -> DataFrame:
-    """One row per document with a run: doc, its lines' numbers (at) and two hashes of each (h, g), its runs (s, m: first
-    line and lines) and the places that they select."""
+def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """One row per document with a line: doc, its lines' numbers (at), two hashes (h, g) and the words (w) of each."""
     d = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.split(F.coalesce(text, F.lit("")), "\n").alias("raw"))
     d = d.select("doc", F.filter(F.transform("raw", lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(_STRIP)).alias("x"))), lambda s: s["x"] != "").alias("l"))
-    d = d.where(F.size("l") > 0).select("doc", *[F.transform("l", f).alias(n) for n, f in (("at", lambda s: s["i"]), ("h", lambda s: F.xxhash64(s["x"])), ("g", lambda s: F.hash(s["x"])), ("w", lambda s: F.size(F.split(s["x"], f"[{WS}]+"))))])
+    parts = F.transform("l", lambda s: F.struct(s["i"].alias("at"), F.xxhash64(s["x"]).alias("h"), F.hash(s["x"]).alias("g"), F.size(F.split(s["x"], f"[{WS}]+")).alias("w")))
+    return d.select("doc", parts.alias("l")).where(F.size("l") > 0).select("doc", *[F.col(f"l.{c}").alias(c) for c in ("at", "h", "g", "w")])
+
+
+def _runs(lines: DataFrame, window: int, long_words: int) -> DataFrame:
+    """lines with the runs (s, m: first line and lines) of each document and the places that they select.
+
+    lines is a table: were its arrays still to be computed, a function over their places would compute them for each place.
+    """
     starts = F.sequence(F.lit(0), F.size("h") - 1)
     runs = [F.transform(F.filter(starts, lambda s: s + window <= F.size("h")), lambda s: F.struct(s.alias("s"), F.lit(window).alias("m")))]
     for m in range(1, window):
         some = F.filter(starts, lambda s: (s + m <= F.size("h")) & (sum((F.get("w", s + k) for k in range(1, m)), F.get("w", s)) >= long_words))  # noqa: B023
         runs.append(F.transform(some, lambda s: F.struct(s.alias("s"), F.lit(m).alias("m"))))  # noqa: B023
-    d = d.select("doc", "at", "h", "g", F.concat(*runs).alias("runs")).where(F.size("runs") > 0)
-    return d.withColumn("selected", F.array_distinct(F.transform("runs", lambda r: _selected(r["s"], r["m"]))))
+    return lines.select("doc", "at", "h", "g", F.concat(*runs).alias("runs"))
 
 
 def _selected(s: Column, m: Column) -> Column:
@@ -69,10 +75,11 @@ def _later(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", long_words: int = LONG_WORDS) -> DataFrame:
     """Rows (doc, from_line, to_line), line numbers from 0, that together cover all runs with an earlier twin."""
-    lines = materialize(_lines(docs, window, text, key, long_words), "lines")
+    lines = _runs(materialize(_lines(docs, text, key), "lines"), window, long_words)
     p, n = F.col("p"), F.size("h")
     lo, hi = F.greatest(F.lit(0), p - window + 1), F.least(n, p + window)
-    d = lines.select("doc", "at", "h", "g", F.explode("selected").alias("p"))
+    selected = F.array_distinct(F.transform("runs", lambda r: _selected(r["s"], r["m"])))
+    d = lines.select("doc", "at", "h", "g", F.explode(selected).alias("p"))
     c1, c2 = _part(lo, hi - lo)
     d = d.select("doc", "p", F.get("h", p).alias("fp"), c1.alias("c1"), c2.alias("c2"), (p - lo).alias("off"), F.get("at", lo).alias("from_line"), F.get("at", hi - 1).alias("to_line"))
     d = materialize(d, "fingerprints")
