@@ -36,14 +36,18 @@ WARRANTY = [
     r"\bclaim\s+(?:\w+\s+){0,2}?under\s+(?:the\s+)?warranty\b",
     r"\breplace\s+(?:it|this|my\s+\w+)\s+under\s+warranty\b",
 ]
+# Assent, refusal, and the names of models.
 YES = [r"\b(yes|yep|yeah|proceed|confirm|confirmed|sure|ok|okay|go\s+ahead|do\s+it)\b"]
 NO = [r"\b(no|cancel|stop|abort|don'?t|do\s+not|nevermind|never\s+mind|skip)\b"]
 MODELS = [("Pro", [r"\b(r5\s*pro|n5\s*pro|pro\s+gateway|pro\s+node)\b"]), ("R1", [r"\b(r1|r1\s*router|main\s*router)\b"]), ("N1", [r"\b(n1|n1\s*node|satellite\s*node|satellite)\b"])]
+# Words that are no secret.
 CONTINUATIONS = (
-    "wrong incorrect invalid correct working changed missing different still also already probably definitely there here what that this case sensitive "
-    "blank empty hidden visible forgotten unknown broken expired right fine okay gone same secure insecure weak strong safe long short required needed "
-    "does doesn isn wasn didn don won shouldn couldn wouldn really very actually always never sometimes"
-).split()
+    "wrong", "incorrect", "invalid", "correct", "working", "changed", "missing", "different", "still", "also", "already", "probably", "definitely", "there",
+    "here", "what", "that", "this", "case", "sensitive", "blank", "empty", "hidden", "visible", "forgotten", "unknown", "broken", "expired", "right", "fine",
+    "okay", "gone", "same", "secure", "insecure", "weak", "strong", "safe", "long", "short", "required", "needed", "does", "doesn", "isn", "wasn", "didn",
+    "don", "won", "shouldn", "couldn", "wouldn", "really", "very", "actually", "always", "never", "sometimes",
+)
+# Forms of keys and what names a secret.
 API_KEY = r"(?i)(?:sk-[A-Za-z0-9]{20,}|Bearer\s+[A-Za-z0-9._-]{20,})"
 _NAMES = r"password|passcode|passphrase|wifi\s*key|network\s+key|wpa2?(?:\s+(?:key|passphrase))?|pwd|secret"
 _SECRET = "[A-Za-z0-9!@#$%^&*()_+=\\-]"

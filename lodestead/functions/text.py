@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 # The function words that lexical search leaves out.
 STOP_WORDS = (
-    "a an the and or but if then than this that these those there here i you he she we they it me us them my your his her its our their "
-    "is are was were be been being am do does did doing have has had having will would can could should shall may might must "
-    "of to in on for with at by from as about into what which who whom when where why how all any both each some such so too very just now please "
-    "s t m d ll re ve don didn doesn isn aren wasn weren won wouldn couldn shouldn hasn haven hadn ain"
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "than", "this", "that", "these", "those", "there", "here", "i", "you", "he", "she", "we", "they", "it",
+    "me", "us", "them", "my", "your", "his", "her", "its", "our", "their", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does", "did",
+    "doing", "have", "has", "had", "having", "will", "would", "can", "could", "should", "shall", "may", "might", "must", "of", "to", "in", "on", "for", "with",
+    "at", "by", "from", "as", "about", "into", "what", "which", "who", "whom", "when", "where", "why", "how", "all", "any", "both", "each", "some", "such",
+    "so", "too", "very", "just", "now", "please", "s", "t", "m", "d", "ll", "re", "ve", "don", "didn", "doesn", "isn", "aren", "wasn", "weren", "won", "wouldn",
+    "couldn", "shouldn", "hasn", "haven", "hadn", "ain",
+)
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
-def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
+def tokens(text: Column, stop_words: tuple[str, ...] | None = None) -> Column:
     """Lower-case word tokens without stop words, in order, repeated ones kept."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda x: ~x.isin(STOP_WORDS if stop_words is None else stop_words))
+    return F.filter(found, lambda x: ~x.isin(list(STOP_WORDS if stop_words is None else stop_words)))
 
 
 def strip(text: Column) -> Column:
@@ -52,3 +54,8 @@ def any_match(text: Column, patterns: list[str]) -> Column:
     for p in patterns:
         out = out | F.coalesce(text, F.lit("")).rlike(f"(?i){p}")
     return out
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestead.functions.text import section_hash, section_id, strip
@@ -57,3 +57,58 @@ def stats(status: DataFrame) -> DataFrame:
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """stored with incoming rows put in place of those with the same keys; the last wins is the caller's to decide."""
     return stored.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
+
+
+DNS = "6ba7b8109dad11d180b400c04fd430c8"
+
+
+def point_id(name: Column) -> Column:
+    """The name-based (SHA-1) UUID of a name in the DNS namespace."""
+    h = F.sha1(F.concat(F.unhex(F.lit(DNS)), name.cast("binary")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def payload(rows: DataFrame) -> DataFrame:
+    """Section rows as they are stored: a point id and defaults for what is null or empty."""
+    default = lambda c, x: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(x))
+    return rows.withColumns({"point_id": point_id(F.col("section_id")), "product_line": default("product_line", "All"), "version": default("version", ""), "effective_date": default("effective_date", "")})
+
+
+def ingest(stored: DataFrame, incoming: DataFrame, manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the index after taking in the incoming sections, its statistics row). Rows hold source_id, section_id and more.
+
+    Stale rows and orphans go, existing ones stay as they are, new ones come in; of repeated incoming rows one counts. An
+    empty input changes nothing and counts nothing.
+    """
+    keys = ["source_id", "section_id"]
+    once = incoming.dropDuplicates(keys)
+    status = reconcile(stored, once, manifest)
+    some = once.limit(1).agg((F.count("*") > 0).alias("some"))  # one row
+    status = status.join(F.broadcast(some)).withColumn("status", F.when(~F.col("some") & F.col("status").isin("orphan", "stale"), "kept").otherwise(F.col("status"))).drop("some")
+    keep = stored.join(status.where("status IN ('existing', 'kept')").select(*keys), keys, "left_semi")
+    new = once.join(status.where("status = 'new'").select(*keys), keys, "left_semi")
+    return keep.unionByName(new.select(*stored.columns)), stats(status)
+
+
+def meta_row(spark, fingerprint: str, version: str, floors: DataFrame) -> DataFrame:
+    """The index's one metadata row. floors: one row (dense_floor, sparse_floor)."""
+    return floors.select(F.lit(fingerprint).alias("fingerprint"), F.lit(version).alias("manifest_version"), "dense_floor", "sparse_floor")
+
+
+def fingerprint(model: str, dimension: int) -> str:
+    return f"{model}:{dimension}"
+
+
+def floors(meta: DataFrame, dense: float, sparse: float) -> DataFrame:
+    """One row (dense_floor, sparse_floor): the stored ones, or the defaults where none, or zero, is stored."""
+    pick = lambda c, x: F.coalesce(F.nullif(F.max(c), F.lit(0.0)), F.lit(x)).alias(c)
+    return meta.agg(pick("dense_floor", dense), pick("sparse_floor", sparse))
+
+
+def checked(rows: DataFrame, meta: DataFrame, own: str) -> DataFrame:
+    """rows, which fail to be read if the index was made with another embedder than `own`; an index without a mark passes."""
+    mark = F.broadcast(meta.agg(F.max("fingerprint").alias("_mark")))  # one row
+    d = rows.join(mark)
+    ok = F.coalesce(F.col("_mark") == own, F.lit(True))
+    return d.where(F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("the index was made with "), F.col("_mark"))).cast("boolean"))).drop("_mark")

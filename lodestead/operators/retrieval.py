@@ -38,15 +38,30 @@ def top(rows: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFra
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def document_text(title: Column, locator: Column, body: Column) -> Column:
+    """What lexical search reads of a section: its text, and its heading and title once more."""
+    return F.concat_ws(" ", body, locator, title)
+
+
+def lexical_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, doc_len and its tokens: what BM25 needs of the texts, which are read once. Written as a table (write_version), any
+    number of query sets can be answered from it."""
+    return docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 4, keep: Column | None = None, query_key: str = "item_id") -> DataFrame:
-    """qid, doc, score, rank. Query terms are counted first, so a repeated one multiplies rather than repeating rows;
-    postings meet them in an equi-join on the term. keep: filters the documents that may be found, not the statistics."""
-    tf = term_freq(docs)
-    stats = corpus_stats(docs)
-    q = queries.select(F.col(query_key).alias("qid"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    """qid, doc, score, rank. keep: filters the documents that may be found, not the statistics."""
     allowed = docs.where(keep).select(F.col("doc_id").alias("doc")) if keep is not None else None
+    return search(lexical_index(docs), queries, k, allowed, query_key)
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 4, allowed: DataFrame | None = None, query_key: str = "item_id") -> DataFrame:
+    """qid, doc, score, rank over a lexical index. Query terms are counted first, so a repeated one multiplies rather than
+    repeating rows; only places of their terms are counted, and these meet the queries in an equi-join on the term."""
+    stats = index.agg(F.count("*").alias("n_docs"), (F.coalesce(F.sum("doc_len"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_doc_len"))
+    q = queries.select(F.col(query_key).alias("qid"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     wanted = q.select("term").distinct()
-    post = tf.join(wanted, "term", "left_semi")
+    post = index.select("doc", "doc_len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "doc_len", "term").agg(F.count("*").alias("tf"))
     weights = doc_freq(post).join(F.broadcast(stats)).select("term", idf(F.col("df"), F.col("n_docs")).alias("idf"), "avg_doc_len")  # one row of statistics
     if allowed is not None:
         post = post.join(allowed, "doc", "left_semi")
@@ -55,6 +70,46 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 4, keep: Column | None =
     return top(hits.where("score > 0"), ["qid"], "score", "doc", k).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
 
 
+def line_of(model: Column) -> Column:
+    """The product line that a session's model asks for; null: any."""
+    m = F.lower(F.coalesce(model, F.lit("")))
+    return F.when(m.contains("pro"), "Pro").when(m.contains("r1") | m.contains("n1"), "Standard")
+
+
+def wants_archive(message: Column) -> Column:
+    m = F.lower(F.coalesce(message, F.lit("")))
+    return m.contains("archive") | m.contains("superseded")
+
+
+def permitted(hits: DataFrame, queries: DataFrame, docs: DataFrame, lexical: bool) -> DataFrame:
+    """hits (qid, doc, score) that a query may see: archived documents only if it asks for them (archive), and of a product
+    line (line: Standard or Pro) that line's and those for All; lexical hits of documents without a line as well.
+
+    queries: qid, line, archive; docs: doc, product_line, is_archived.
+    """
+    own = F.col("product_line").isin("All") | (F.col("product_line") == F.col("line"))
+    own = F.coalesce(own, F.lit(lexical))
+    d = hits.join(docs.select("doc", "product_line", "is_archived"), "doc").join(queries.select("qid", "line", "archive"), "qid")
+    filtered = F.coalesce(F.col("line").isin("Standard", "Pro"), F.lit(False))
+    return d.where((F.col("archive") | ~F.coalesce("is_archived", F.lit(False))) & (~filtered | own)).select(*hits.columns)
+
+
+def hybrid(dense_hits: DataFrame, lexical_hits: DataFrame, queries: DataFrame, docs: DataFrame, dense_floor: float, lexical_floor: float, k: int = 4, threshold: float = 0.015) -> DataFrame:
+    """Hybrid retrieval of hydrated rows: qid, rank, score and the documents' columns.
+
+    Both tracks (qid, doc, score) are filtered by what each query may see, cut to 3 k and ranked; a query whose best scores
+    lie below both floors gets nothing; the others' lists are fused by reciprocal ranks, cut at the threshold and k, and
+    joined with their documents.
+    """
+    tracks = []
+    for hits, lexical in ((dense_hits, False), (lexical_hits, True)):
+        d = permitted(hits.select("qid", "doc", "score"), queries, docs, lexical)
+        tracks.append(top(d, ["qid"], "score", "doc", 3 * k))
+    silent = abstain(*tracks, dense_floor, lexical_floor).where("abstains").select("qid")
+    fused = rrf(tracks, k, threshold).join(silent, "qid", "left_anti")
+    return fused.join(docs, "doc")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

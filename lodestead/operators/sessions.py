@@ -57,6 +57,109 @@ def expire(sessions: DataFrame, now: Column, ttl_days: float = 30, at: str = "up
     return sessions.where(F.col(at) >= now - ttl_days * 86400)
 
 
+#: Columns of a stored session, and what a new one holds in them.
+DEFAULTS = {
+    "attempted_steps": "cast(array() AS array<string>)", "turns_count": "0", "version": "1", "is_resolved": "false", "is_escalated": "false",
+    "facts": "cast(map() AS map<string,boolean>)", "identified_model": "cast(NULL AS string)", "pending_confirmation": "cast(NULL AS string)",
+}
+
+
+def get_or_create(requests: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
+    """One row per requested session: the stored one, or a new one with the defaults, made now."""
+    d = requests.select("session_id").distinct().join(stored, "session_id", "left")
+    d = d.withColumn("created", F.col("created_at").isNull()).withColumns({c: F.coalesce(F.col(c), F.expr(x)) for c, x in DEFAULTS.items() if c in stored.columns})
+    return d.withColumns({c: F.coalesce(F.col(c), now) for c in ("created_at", "updated_at") if c in stored.columns})
+
+
+def newest_first(sessions: DataFrame) -> DataFrame:
+    return sessions.orderBy(F.desc("created_at"), "session_id")
+
+
+def save(stored: DataFrame, updates: DataFrame) -> DataFrame:
+    """stored with the updates (a row per session) in place: version goes up by one, created_at stays, new sessions come in."""
+    old = stored.select("session_id", F.col("version").alias("_v"), F.col("created_at").alias("_c"))
+    new = updates.join(old, "session_id", "left").withColumns({"version": F.coalesce(F.col("_v"), F.lit(0)) + 1, "created_at": F.coalesce("_c", "created_at")}).drop("_v", "_c")
+    return stored.join(updates.select("session_id"), "session_id", "left_anti").unionByName(new.select(*stored.columns))
+
+
+def clear(stored: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """stored without the sessions of ids, or without any."""
+    return stored.limit(0) if ids is None else stored.join(ids.select("session_id"), "session_id", "left_anti")
+
+
+def update_slots(sessions: DataFrame, slots: DataFrame) -> DataFrame:
+    """sessions after slots (session_id, model, pending, set_pending): a null model changes nothing, pending is set, to null
+    too, if set_pending says so."""
+    d = sessions.join(slots, "session_id", "left")
+    pending = F.when(F.coalesce("set_pending", F.lit(False)), F.col("pending")).otherwise(F.col("pending_confirmation"))
+    return d.withColumns({"identified_model": F.coalesce("model", "identified_model"), "pending_confirmation": pending}).select(*sessions.columns)
+
+
+def prompt_context(sessions: DataFrame) -> DataFrame:
+    """What a prompt says of a session."""
+    model = F.coalesce("identified_model", F.lit("Unknown"))
+    return sessions.select("session_id", F.struct(model.alias("model"), "attempted_steps", "facts", "turns_count").alias("context"))
+
+
+def lifecycle(action: Column) -> Column:
+    """struct(is_resolved, is_escalated) of an action."""
+    a = F.coalesce(action, F.lit(""))
+    return F.struct((a == "resolved").alias("is_resolved"), (a == "escalate").alias("is_escalated"))
+
+
+def encode_row(sessions: DataFrame) -> DataFrame:
+    """Sessions as flat rows for a relational store: nested values as JSON, flags as 0 and 1."""
+    return sessions.withColumns({"attempted_steps": F.to_json("attempted_steps"), "facts": F.to_json("facts"), "is_resolved": F.col("is_resolved").cast("int"), "is_escalated": F.col("is_escalated").cast("int")})
+
+
+def decode_row(rows: DataFrame) -> DataFrame:
+    """Flat rows of a relational store as sessions; nulls and unreadable JSON become the defaults."""
+    d = rows.withColumns({"attempted_steps": F.from_json("attempted_steps", "array<string>"), "facts": F.from_json("facts", "map<string,boolean>"), "is_resolved": F.col("is_resolved") == 1, "is_escalated": F.col("is_escalated") == 1})
+    return d.withColumns({c: F.coalesce(F.col(c), F.expr(x)) for c, x in DEFAULTS.items() if c in rows.columns})
+
+
+def valid_requests(requests: DataFrame) -> DataFrame:
+    """Requests (session_id, message) with a message; a blank session gets an id of its own."""
+    own = F.concat(F.lit("web-"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8))
+    blank = F.length(F.trim(F.coalesce("session_id", F.lit("")))) == 0
+    return requests.where(F.length(F.coalesce("message", F.lit(""))) > 0).withColumn("session_id", F.when(blank, own).otherwise(F.col("session_id")))
+
+
+def fixture_key(messages: Column) -> Column:
+    """SHA-256 of messages (array of role and content) as JSON with sorted keys, a blank behind commas and colons."""
+    quoted = lambda x: F.regexp_replace(F.to_json(F.struct(x.alias("a"))), r'(?s)^\{"a":(.*)\}$', "$1")
+    one = lambda m: F.concat(F.lit('{"content": '), quoted(m["content"]), F.lit(', "role": '), quoted(m["role"]), F.lit("}"))
+    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(messages, one), ", "), F.lit("]")).cast("binary"), 256)
+
+
+def record(fixtures: DataFrame, answers: DataFrame) -> DataFrame:
+    """fixtures (key, model, envelope) with the answers of keys that weren't recorded yet."""
+    return fixtures.unionByName(answers.dropDuplicates(["key"]).join(fixtures.select("key"), "key", "left_anti"))
+
+
+def replay(prompts: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """prompts (id, key) with their recorded envelope; a prompt without one is an error that names its key."""
+    d = prompts.join(fixtures.select("key", "envelope", F.lit(True).alias("_hit")), "key", "left")
+    missing = F.raise_error(F.concat(F.lit("no fixture is recorded for "), F.col("key")))
+    return d.withColumn("envelope", F.when(F.col("_hit"), F.col("envelope")).otherwise(missing.cast(d.schema["envelope"].dataType))).drop("_hit")
+
+
+def answer(mode: str, prompts: DataFrame, fixtures: DataFrame | None = None, model=None) -> DataFrame:
+    """prompts (id, key, ...) with an envelope by the mode: mock (model is DataFrame -> DataFrame with an envelope), replay or record."""
+    if mode == "replay":
+        return replay(prompts, fixtures)
+    if mode in ("mock", "record"):
+        return model(prompts)
+    raise ValueError(f"unknown mode {mode!r}: mock, replay and record are known")
+
+
+def response_lines(answers: DataFrame) -> DataFrame:
+    """Answers (session_id, envelope) as JSON lines; one without an envelope becomes an escalation."""
+    fixed = F.struct(F.lit("An internal error occurred; please contact support.").alias("response"), F.array().cast("array<struct<source_id:string,locator:string>>").alias("citations"), F.lit("escalate").alias("action"))
+    e = F.coalesce("envelope", fixed)
+    return answers.select(F.to_json(F.struct("session_id", e["response"].alias("response"), e["citations"].alias("citations"), e["action"].alias("action"))).alias("value"))
+
+
 def events(turns: DataFrame) -> DataFrame:
     """Assistant texts as a stream of events: start, a delta for each word, done."""
     d = turns.where("role = 'assistant'").select("conv_id", "turn", F.split(F.coalesce("text", F.lit("")), " ").alias("w"))
@@ -72,10 +175,10 @@ def prompt(turns: DataFrame) -> DataFrame:
     return d.select("conv_id", F.array_join(F.transform("m", line), "\n").alias("prompt"))
 
 
-def recall_at_k(hits: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+def recall_at_k(right: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """One row: queries, those with a right hit among the first k, the share, and the mean reciprocal rank.
-    hits: qid, doc, rank; truth: qid, doc."""
-    best = truth.join(hits, ["qid", "doc"]).groupBy("qid").agg(F.min("rank").alias("r"))
-    d = truth.select("qid").distinct().join(best, "qid", "left")
+    right: qid and rank of the right hits; queries: qid."""
+    best = right.groupBy("qid").agg(F.min("rank").alias("r"))
+    d = queries.select("qid").distinct().join(best, "qid", "left")
     n, found = F.count("*"), F.count_if(F.col("r") <= k)
     return d.agg(n.alias("n_queries"), found.alias("n_found"), F.round(100.0 * found / F.greatest(n, F.lit(1)), 6).alias("recall"), F.round(F.coalesce(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), F.lit(0.0)), 6).alias("mrr"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from lodestead.functions import guards, text
 from lodestead.operators import index, retrieval, sessions
-from lodestead.streaming import sessions as streaming
 
 DENSE_FLOOR, LEXICAL_FLOOR = 0.62, 2.5
 
@@ -17,8 +16,14 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(d: DataFrame) -> DataFrame:
+    """d, dealt out over all cores where its files make too few partitions for them; texts cost much CPU a byte."""
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def _docs(s, d):
-    return _t(s, d, "documents").select("doc_id", "text", "lang")
+    return _spread(_t(s, d, "documents").select("doc_id", "text", "lang"))
 
 
 def _bm25(s, d, k=4, keep=None):
@@ -26,7 +31,7 @@ def _bm25(s, d, k=4, keep=None):
 
 
 def _vectors(s, d):
-    return _t(s, d, "embeddings").select("vec_id", "embedding", "label")
+    return _spread(_t(s, d, "embeddings").select("vec_id", "embedding", "label"))
 
 
 def _dense(s, d, k=4, floor=None):
@@ -47,7 +52,8 @@ def doc_freq(s, d):
 
 
 def idf_table(s, d):
-    df = doc_freq(s, d).join(F.broadcast(retrieval.corpus_stats(_docs(s, d))))
+    # the statistics' one row is a broadcast
+    df = doc_freq(s, d).join(F.broadcast(_docs(s, d).agg(F.count("*").alias("n_docs"))))
     return df.select("term", F.round(retrieval.idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
 
 
@@ -64,8 +70,9 @@ def bm25_topk_filtered(s, d):
 
 
 def bm25_stopwords_only(s, d):
-    q = s.createDataFrame([(1, "what is the"), (2, "")], "item_id long, text string")
-    return retrieval.bm25(_docs(s, d), q)
+    """Queries with stop words added find what they find without them, and stop words alone nothing."""
+    q = _t(s, d, "benchmark").select("item_id", F.concat(F.lit("What is the "), F.coalesce("text", F.lit("")), F.lit(" of an")).alias("text"))
+    return retrieval.bm25(_docs(s, d), q.unionByName(s.createDataFrame([(-1, "what is the"), (-2, "")], "item_id long, text string")))
 
 
 def dense_topk(s, d):
@@ -231,20 +238,17 @@ def sse_events(s, d):
 
 def eval_recall(s, d):
     v = _vectors(s, d).select("vec_id", "label")
-    q = v.where("vec_id % 20 = 0").selectExpr("vec_id qid", "label")
-    hits = _dense(s, d, 10)
-    truth = q.join(v.selectExpr("vec_id doc", "label"), "label").where("doc <> qid").select("qid", "doc")
-    return sessions.recall_at_k(hits, truth, 4)
-
-
-def stream_session_fold(s, d):
-    return streaming.run_once(s, d, "conversations*.parquet", "lodestead_session_fold").select("conv_id", "n_turns", "last_turn", "n_chars")
+    partners = v.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    q = v.where("vec_id % 20 = 0").join(partners, "label").selectExpr("vec_id qid", "label")
+    hits = _dense(s, d, 10).join(v.selectExpr("vec_id doc", "label"), "doc")
+    right = hits.join(q, ["qid", "label"]).select("qid", "doc", "rank")
+    return sessions.recall_at_k(right, q.select("qid"), 4)
 
 
 _NAMES = (
     tokenize_counts, term_freq, doc_freq, idf_table, corpus_stats, bm25_topk, bm25_topk_filtered, bm25_stopwords_only, dense_topk, dense_floor_filter, rrf_fusion, rrf_threshold,
     abstention_gate, calibrate_floors, line_sections, section_paths, section_ids, archive_flag, product_line_default, embedding_text, reconcile_status, reconcile_stats, keyed_upsert,
-    redaction, guard_flags, slots, dialogue_window, last_window, session_rollup, session_merge, session_cas, session_ttl, prompt_assembly, sse_events, eval_recall, stream_session_fold,
+    redaction, guard_flags, slots, dialogue_window, last_window, session_rollup, session_merge, session_cas, session_ttl, prompt_assembly, sse_events, eval_recall,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -306,7 +310,7 @@ ORACLES = {
     "corpus_stats": f"WITH {_TF} SELECT n_docs, total_tokens, round(avg_doc_len, 6) AS avg_doc_len FROM st",
     "bm25_topk": f"WITH {_TF}, {_bm_sql(4)} {_OUT} bm",
     "bm25_topk_filtered": f"""WITH {_TF}, {_bm_sql(4, "lang IN ('en', 'fr')")} {_OUT} bm""",
-    "bm25_stopwords_only": "SELECT 1::BIGINT AS qid, 1::BIGINT AS doc, 0.0::DOUBLE AS score, 1::INT AS rank WHERE false",
+    "bm25_stopwords_only": f"WITH {_TF}, {_bm_sql(4)} {_OUT} bm",
     "dense_topk": f"WITH {_dense_sql(4)} {_OUT} dn",
     "dense_floor_filter": f"WITH {_dense_sql(4, 'AND list_cosine_similarity(a.e, b.e) >= 0.3')} {_OUT} dn",
     "rrf_fusion": f"{_RRF} SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM f QUALIFY rank <= 4",
@@ -335,5 +339,4 @@ SELECT id AS session_id, CASE WHEN id % 3 = 0 THEN greatest(1, n - 1) WHEN id %
     "prompt_assembly": "SELECT conv_id, sha256(string_agg('<' || role || '>' || coalesce(text, ''), chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
     "sse_events": "WITH a AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, 0::BIGINT AS seq, 'start' AS event, '' AS data FROM a UNION ALL SELECT conv_id, turn, generate_subscripts(w, 1)::BIGINT, 'delta', unnest(w) FROM a UNION ALL SELECT conv_id, turn, len(w)::BIGINT + 1, 'done', '' FROM a",
     "eval_recall": f"WITH {_dense_sql(10)}, b AS (SELECT qid, min(rank) AS r FROM dn JOIN v x ON x.vec_id = qid JOIN v y ON y.vec_id = doc WHERE x.label = y.label GROUP BY qid), q AS (SELECT vec_id AS qid FROM v WHERE vec_id % 20 = 0 AND label IN (SELECT label FROM v GROUP BY label HAVING count(*) > 1)) SELECT count(*) AS n_queries, count(*) FILTER (WHERE r <= 4) AS n_found, round(100.0::DOUBLE * count(*) FILTER (WHERE r <= 4) / greatest(count(*), 1), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM q LEFT JOIN b USING (qid)",
-    "stream_session_fold": "SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn, coalesce(sum(length(text)), 0)::BIGINT AS n_chars FROM conversations GROUP BY conv_id",
 }

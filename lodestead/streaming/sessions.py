@@ -1,25 +1,52 @@
-"""Streaming session state: a running fold of turns per conversation."""
+"""Streamed session state: each batch is folded into a table of states, by the plan that also folds a whole table at once.
+
+A batch reads the states that its predecessor wrote and writes its own, under the batch's number, to the shared folder. A
+batch that is run again after a failure reads the same predecessor and writes the same states, so each turn counts once.
+"""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestead.operators import turns as machine
+from lodestead.sources.shared import shared_dir
 
-def fold(turns: DataFrame) -> DataFrame:
-    """Running state of each conversation from a stream (or a table) of turns: counts, last turn, characters."""
-    return turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n_chars"))
 
+def counts(turns: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Running state of each conversation: counts, last turn, characters; stored states are added."""
+    new = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n_chars"))
+    if stored is None:
+        return new
+    return new.unionByName(stored).groupBy("conv_id").agg(F.sum("n_turns").alias("n_turns"), F.max("last_turn").alias("last_turn"), F.sum("n_chars").alias("n_chars"))
 
-def run_once(spark: SparkSession, path: str, pattern: str, name: str) -> DataFrame:
-    """Read the matching files as a stream until all that is there is folded, and return the last state."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestead-")
-    import uuid
 
-    q = fold(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+def session_states(turns: DataFrame, stored: DataFrame | None, quotes: dict[str, str]) -> DataFrame:
+    """session_id and state of all sessions after these turns, untouched ones included."""
+    new = machine.fold(machine.prepare(turns, quotes), stored, quotes).select("session_id", "state")
+    return new if stored is None else new.unionByName(stored.join(new.select("session_id"), "session_id", "left_anti"))
+
+
+def run_once(stream: DataFrame, fold: Callable[[DataFrame, DataFrame | None], DataFrame], spark: SparkSession) -> DataFrame:
+    """Fold all that a stream has now, batch by batch, and return the last states. fold: (batch, stored states) -> states."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    last: list[str] = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        path = f"{root}/states/batch-{number}"
+        stored = spark.read.parquet(last[-1]) if last and last[-1] != path else None
+        fold(batch, stored).write.mode("overwrite").parquet(path)
+        last.append(path)
+
+    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(last[-1]) if last else fold(spark.createDataFrame([], stream.schema), None)
+
+
+def read_stream(spark: SparkSession, path: str, pattern: str, files: int = 1) -> DataFrame:
+    """The matching Parquet files of a folder as a stream, so many files a batch."""
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(path)

@@ -6,18 +6,21 @@ from pyspark.sql import functions as F
 
 from lodestead.functions import guards, text
 from lodestead.operators import index, retrieval, sessions
-from lodestead.plans import registry
+from lodestead.plans import dialogue, registry
 from lodestead.sources import corpus
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+QUERIES, ORACLES = registry.QUERIES | dialogue.QUERIES, registry.ORACLES | dialogue.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, data, name):
-    assert same(spark, registry.QUERIES[name], registry.ORACLES[name], data)
+    assert same(spark, QUERIES[name], ORACLES[name], data)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, data, name):
-    assert registry.QUERIES[name](spark, data).count() > 0
+    assert QUERIES[name](spark, data).count() > 0
 
 
 def _one(spark, column, value):
