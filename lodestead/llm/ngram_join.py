@@ -18,7 +18,7 @@ counts as shared. Their documents are compared with a hub: every document x with
 by the differences d(x) of the sets x and o. As x and y link exactly if d(x) and d(y) differ in no more than r =
 (1 - t) / (1 + t) (m + n) places, (1) documents with |d(x)| + |d(y)| <= r link, and all such are linked with the one
 closest to the hub; (2) others share a difference in prefixes of d(x) and d(y), which are short among near copies and
-begin with the rarer additions: those that a good share of the hub's documents have lie behind the others. Where the documents that share a difference would make more than FREQUENT pairs each,
+begin with the rarer additions: those that a good share of the hub's documents have lie behind the others. Where the documents that share a difference would make more than OWN_HUB pairs each,
 they are a group with a hub of its own, the one closest to the former hub, and so on; each such group is smaller than the
 one it comes from, as it lacks its hub. So every link is found, and no pairs are made that grow with the square of a group.
 
@@ -43,6 +43,8 @@ from lodestead.llm.common import anew, components, discard, hash_words, material
 
 LEVELS = (1, 2, 4)
 FREQUENT, HOT_MAX = 64, 100_000
+#: Pairs a row from which on the documents that share a difference are compared with a hub of their own rather than paired.
+OWN_HUB = 1_000
 #: Differences that one in so many of a hub's documents has, and so many documents at least, are common.
 COMMON, LEAST_COMMON = 64, 16
 #: Verifying a candidate costs as much as reading so many places.
@@ -132,20 +134,6 @@ def _differ(size: int, percent: int, hot=None):
     return run
 
 
-def _met_again(batches):
-    """Differences that several documents of a batch have, with their number; one that a batch holds once isn't counted there,
-    which matters to nothing but the order of differences."""
-    for b in batches:
-        toks, size = b.column("toks").flatten().to_numpy(), np.diff(b.column("toks").offsets.to_numpy())
-        path = np.repeat(b.column("path").to_numpy(), size)
-        order = np.lexsort((toks, path))
-        toks, path, docs = toks[order], path[order], np.repeat(b.column("docs").to_numpy(), size)[order]
-        first = np.flatnonzero(np.concatenate([[True], (toks[1:] != toks[:-1]) | (path[1:] != path[:-1])])) if len(toks) else np.zeros(0, int)
-        c = np.diff(first, append=len(toks))
-        first, c = first[c > 1], c[c > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(path[first]), pa.array(toks[first]), pa.array(docs[first]), pa.array(c)], ["path", "tok", "docs", "c"])
-
-
 def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts meet the threshold. texts: doc, text."""
     return _with_texts(pairs, texts).mapInArrow(_verify(size, percent), "a long, b long")
@@ -159,7 +147,7 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _beside(differ: DataFrame, cc: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """What is left to compare among the documents of each hub, from their differences to it.
 
-    Returns candidate pairs (a, b), and the rows (path, tok, doc, d) of groups that would make more than FREQUENT pairs a
+    Returns candidate pairs (a, b), and the rows (path, tok, doc, d) of groups that would make more than OWN_HUB pairs a
     row, for a hub of their own. Of a pair, the document with fewer differences meets the other in a short prefix (at most
     half the room that linked documents' differences have), the other in a long one. Documents of the hub's component ("own") only meet others.
     """
@@ -168,8 +156,8 @@ def _beside(differ: DataFrame, cc: DataFrame, percent: int) -> tuple[DataFrame,
     discard(differ)
     about = d.groupBy("path").agg(F.min(F.when(~F.col("own"), F.col("d"))).alias("least"), F.max("n").alias("top"), F.count("*").alias("docs")).where("least IS NOT NULL")
     d = d.join(anew(about, "path"), "path").withColumn("room", F.expr(f"{100 - percent} * (n + least(top, 100 * n div {percent})) div {100 + percent}"))
-    # differences that a good share of a hub's documents have go behind the others; their number is at most COMMON times the mean one
-    common = d.select("path", "docs", "toks").mapInArrow(_met_again, "path long, tok long, docs long, c long").groupBy("path", "tok").agg(F.sum("c").alias("c"), F.max("docs").alias("docs"))
+    # differences that a good share of a hub's documents have early go behind the others; their number is at most COMMON times the mean one
+    common = d.select("path", "docs", F.explode(F.expr("slice(toks, 1, int(2 * room) + 2)")).alias("tok")).groupBy("path", "tok").agg(F.count("*").alias("c"), F.max("docs").alias("docs"))
     common = common.where(f"c >= greatest({LEAST_COMMON}, docs / {COMMON})").groupBy("path").agg(F.collect_list("tok").alias("common"))
     d = d.join(anew(common, "path"), "path", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
     d = d.withColumn("toks", F.concat(F.array_except("toks", "common"), F.array_intersect("toks", "common")))
@@ -178,7 +166,7 @@ def _beside(differ: DataFrame, cc: DataFrame, percent: int) -> tuple[DataFrame,
     rows = materialize(d.withColumn("brief", F.expr("i <= room div 2")).drop("room"), "beside")
     n = lambda x: F.count_if(F.expr(x))
     sizes = rows.groupBy("path", "tok").agg(F.count("*").alias("all"), n("own").alias("near"), n("own AND brief").alias("s0"), n("NOT own AND brief").alias("s1"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    sizes = sizes.where("c0 < c1").withColumn("pairs", F.expr("s1 * all + s0 * (all - near)")).where("pairs > 0").select("path", "tok", F.expr(f"pairs > {FREQUENT} * all").alias("many"))
+    sizes = sizes.where("c0 < c1").withColumn("pairs", F.expr("s1 * all + s0 * (all - near)")).where("pairs > 0").select("path", "tok", F.expr(f"pairs > {OWN_HUB} * all").alias("many"))
     met = rows.join(anew(sizes, "path", "tok"), ["path", "tok"])
     more, few = met.where("many").select("path", "tok", "doc", "d"), met.where("NOT many")
     x, y = (few.selectExpr("path", "tok", f"doc {k}", f"n n{k}", f"d d{k}", f"i i{k}", f"component c{k}", f"own o{k}", f"brief s{k}") for k in "ab")
