@@ -124,6 +124,7 @@ def _components(rows, size, percent):
 @pytest.mark.parametrize(("size", "percent", "frequent"), [(4, 85, 64), (5, 80, 8)])
 def test_ngram_join_of_clusters_within_clusters(spark, monkeypatch, size, percent, frequent):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "OWN_HUB", frequent)
     rng = random.Random(frequent)
     base = [f"t{i}" for i in range(100)]
     kinds = [base]
