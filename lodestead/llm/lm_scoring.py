@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lodestead.llm.common import discard, hash_words, materialize, pieces, ragged, table, text_bytes
 
 HEAD, VOCABULARY, CLASSES, HIDDEN = 131_072, 2046, 32, 16
-WINDOW, LANES, UPDATES, RATE, ROUNDS = 32, 128, 200, 0.02, 2
+WINDOW, LANES, UPDATES, RATE, ROUNDS = 32, 256, 120, 0.02, 2
 #: Tokens of a shard, about; a shard with fewer than EPOCH_TOKENS a round is learned again, EPOCHS times at most.
 SHARD_TOKENS, EPOCH_TOKENS, EPOCHS = 2_000_000, 500_000, 4
 #: Tokens that are scored side by side, at most, unless a text alone has more.
