@@ -33,10 +33,16 @@ _GAP = bytes.maketrans(bytes(b for b in range(0x80) if not chr(b).isalpha()), b"
 
 
 def collapse(docs: DataFrame) -> DataFrame:
-    """lang, text, sources (source, n): each different text of a language once, with its copies in each source."""
+    """lang, text, sources (source, n): each different text of a language once, with its copies in each source.
+
+    Texts are told apart by their SHA-256, so that a text is shuffled once for each task that holds it, and its copies as counts.
+    """
     known = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "text", "source")])
-    copies = known.groupBy("lang", "text", "source").agg(F.count("*").alias("n"))
-    return copies.groupBy("lang", "text").agg(F.collect_list(F.struct("source", "n")).alias("sources"))
+    known = known.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    texts = known.groupBy("lang", "digest").agg(F.first("text").alias("text"))
+    copies = known.groupBy("lang", "digest", "source").agg(F.count("*").alias("n"))
+    copies = copies.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "n")).alias("sources"))
+    return texts.join(copies, ["lang", "digest"]).drop("digest")
 
 
 def _codes(column, known: dict) -> np.ndarray:
