@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import discard, materialize, pieces, small_batches, table
+from lodestead.llm.common import materialize, pieces, small_batches, table
 
 #: Documents of a language that a term must occur in, and the ranks that are reported of a group's terms.
 LEAST_DOCS, TOP_TERMS = 3, 200
 #: Parts that a share is counted in.
 PARTS = 1_000_000_000
-#: Bytes of text tokenized at once, and rows expanded or summed up at once.
-PIECE, ROWS = 1 << 22, 1 << 20
+#: Bytes of text tokenized at once, rows expanded or summed up at once, and terms that a task counts before it sends them on.
+PIECE, ROWS, TERMS = 1 << 22, 1 << 20, 1 << 20
 _GAP = bytes.maketrans(bytes(b for b in range(0x80) if not chr(b).isalpha()), b" " * (0x80 - 52))
 
 
@@ -60,46 +60,73 @@ def _add_up(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
 
 
 def _tokenize(batches):
-    """lang, source, term, n, docs of collapsed texts, added up within a piece."""
+    """lang, term, sources, n, docs of collapsed texts: a row a language and term, with its occurrences and documents by source,
+    added up over what a task reads until that are TERMS terms or 4 ROWS counts."""
+    terms, groups, parts, held = {}, {}, [], 0
     for whole in batches:
         for b in pieces(whole, "text", PIECE):
             found = [t.as_py().encode().lower().translate(_GAP).split() for t in b.column("text")]  # bytes: only A-Z become lower case
-            size = np.array([len(x) for x in found], np.int64)
-            terms = pa.array([w for x in found for w in x], pa.binary()).dictionary_encode()
-            v = len(terms.dictionary)
-            if not v:
+            words = pa.array([w for x in found for w in x], pa.binary()).dictionary_encode()
+            if not len(words):
                 continue
-            seen, tf = np.unique(np.repeat(np.arange(len(found)), size) * v + terms.indices.to_numpy().astype(np.int64), return_counts=True)
-            of, code = seen // v, seen % v
-            at = np.searchsorted(of, np.arange(len(found) + 1))
-            # each text's (source, n) pairs, as many at once as give ROWS rows
-            held = b.column("sources")
-            flat = held.flatten()
-            text = np.repeat(np.arange(len(found)), pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64))
-            langs, sources = {}, {}
-            lang, source = _codes(b.column("lang"), langs)[text], _codes(flat.field(0), sources)
-            n, rows = flat.field(1).to_numpy(zero_copy_only=False), np.cumsum(at[text + 1] - at[text])
-            lang_names, source_names = pa.array(list(langs), pa.string()), pa.array(list(sources), pa.string())
+            v, size = len(words.dictionary), np.array([len(x) for x in found], np.int64)
+            seen, tf = np.unique(np.repeat(np.arange(len(found)), size) * v + words.indices.to_numpy().astype(np.int64), return_counts=True)
+            at = np.searchsorted(seen // v, np.arange(len(found) + 1))
+            number = np.array([terms.setdefault(w, len(terms)) for w in words.dictionary.to_pylist()], np.int64)
+            # each text's (source, copies) pairs, as many at once as give ROWS rows
+            of = b.column("sources")
+            flat = of.flatten()
+            text = np.repeat(np.arange(len(found)), pc.list_value_length(of).to_numpy(zero_copy_only=False).astype(np.int64))
+            langs = b.column("lang").to_pylist()
+            group = np.array([groups.setdefault((langs[t], x), len(groups)) for t, x in zip(text.tolist(), flat.field(0).to_pylist())], np.int64)
+            copies, rows = flat.field(1).to_numpy(zero_copy_only=False), np.cumsum(at[text + 1] - at[text])
             lo = 0
             while lo < len(text):
                 hi = max(lo + 1, int(np.searchsorted(rows, (rows[lo - 1] if lo else 0) + ROWS, "right")))
                 k = at[text[lo:hi] + 1] - at[text[lo:hi]]
                 pair = np.repeat(np.arange(lo, hi), k)
                 row = np.arange(len(pair)) - np.repeat(np.cumsum(k) - k, k) + at[text[pair]]
-                key, count, docs = _add_up((lang[pair] * len(sources) + source[pair]) * v + code[row], tf[row] * n[pair], n[pair])
-                group = key // v
-                yield pa.RecordBatch.from_arrays(
-                    [lang_names.take(pa.array(group // len(sources))), source_names.take(pa.array(group % len(sources))), terms.dictionary.take(pa.array(key % v)).cast(pa.string()), pa.array(count), pa.array(docs)],
-                    ["lang", "source", "term", "n", "docs"],
-                )
+                parts.append(_add_up(number[seen[row] % v] << 31 | group[pair], tf[row] * copies[pair], copies[pair]))
+                held += len(parts[-1][0])
                 lo = hi
-
-
-def term_counts(texts: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: occurrences, and documents that hold the term, of collapsed texts."""
+                if held > 4 * ROWS or len(terms) > TERMS:
+                    parts = [_add_up(*map(np.concatenate, zip(*parts)))]
+                    held = len(parts[0][0])
+                    if held > 2 * ROWS or len(terms) > TERMS:
+                        yield from _packed(parts[0], list(terms), list(groups))
+                        parts, held = [], 0
+            if not parts:
+                terms, groups = {}, {}
+    if parts:
+        yield from _packed(_add_up(*map(np.concatenate, zip(*parts))), list(terms), list(groups))
+
+
+def _packed(rows: list[np.ndarray], terms: list[bytes], groups: list[tuple[str, str]]):
+    """Rows (term << 31 | group, occurrences, documents) as batches of lists by language and term."""
+    key, n, docs = rows
+    langs = sorted({x for x, _ in groups})
+    lang = np.array([langs.index(x) for x, _ in groups], np.int64)[key & (1 << 31) - 1]
+    order = np.lexsort((lang, key >> 31))
+    key, n, docs, lang = key[order], n[order], docs[order], lang[order]
+    term = key >> 31
+    first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])]))
+    names, words, tongues = pa.array([x for _, x in groups], pa.string()), pa.array(terms, pa.binary()), pa.array(langs, pa.string())
+    for lo in range(0, len(first), 20_000):
+        at = np.append(first[lo : lo + 20_000], len(key) if lo + 20_000 >= len(first) else first[lo + 20_000])
+        s = slice(at[0], at[-1])
+        lists = [pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), x) for x in (names.take(pa.array(key[s] & (1 << 31) - 1)), pa.array(n[s]), pa.array(docs[s]))]
+        yield pa.RecordBatch.from_arrays([tongues.take(pa.array(lang[at[:-1]])), words.take(pa.array(term[at[:-1]])).cast(pa.string()), *lists], ["lang", "term", "sources", "n", "docs"])
+
+
+def kept_terms(texts: DataFrame, least_docs: int) -> DataFrame:
+    """lang, term, lang_n, source, n of the terms that at least so many documents of their language hold. texts: collapsed."""
     small_batches(texts.sparkSession)
-    rows = texts.mapInArrow(_tokenize, "lang string, source string, term string, n long, docs long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = texts.mapInArrow(_tokenize, "lang string, term string, sources array<string>, n array<long>, docs array<long>")
+    # all that follows keeps a term's rows, some for each task, where this exchange puts them
+    rows = rows.repartition("lang", "term").select("lang", "term", F.inline(F.arrays_zip("sources", "n", "docs"))).toDF("lang", "term", "source", "n", "docs")
+    rows = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = rows.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("by"))
+    return whole.where(F.col("docs") >= least_docs).select("lang", "term", "lang_n", F.inline("by"))
 
 
 def _share(count: str | Column, total: str, terms: str) -> Column:
@@ -179,10 +206,7 @@ def _with_end(batches):
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
     """lang, source, part, item, value, rank of docs (text, lang, source)."""
-    counts = materialize(term_counts(collapse(docs)), "term-counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    held = materialize(counts.join(kept.drop("docs"), ["lang", "term"]).drop("docs"), "kept-terms")
-    discard(counts)
+    held = materialize(kept_terms(collapse(docs), least_docs), "kept-terms")
     per_group = held.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     once = held.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
     per_lang = once.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_n"))
