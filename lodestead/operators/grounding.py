@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestead.functions.policies import ENVELOPE
+from lodestead.functions.progressive import unescape
 from lodestead.functions.text import TOKEN, strip
 
 _CITES = "array<struct<source_id:string,locator:string>>"
-#: Characters of a name, at most, within which names of sources are looked for.
-NAME = 200
 
 
 def first_of(rows: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
@@ -49,9 +48,12 @@ def _known_source(cited: DataFrame, sources: DataFrame) -> DataFrame:
     known = sources.select(F.col("source_id").alias("known")).distinct()
     d = cited.join(known, cited["source_id"] == known["known"], "left")
     rest = d.where("known IS NULL").select(F.lower("source_id").alias("low")).distinct().where(F.length("low") > 0)
-    at = F.sequence(F.lit(1), F.least(F.length("low"), F.lit(NAME)))
-    parts = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(i, F.least(F.length("low"), F.lit(NAME))), lambda j: F.substr("low", i, j - i + 1))))
-    near = rest.select("low", F.explode(F.array_distinct(parts)).alias("part")).join(known.select(F.col("known").alias("near"), F.lower("known").alias("part")), "part")
+    # parts of the lengths that names have, and no others; what reaches the driver are these lengths
+    sizes = sorted(r[0] for r in known.select(F.length("known").alias("n")).where("n > 0").distinct().collect())
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("low") - (n - 1)), lambda i: F.substr("low", i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    parts = [F.when(F.length("low") >= n, cut(n)).otherwise(none) for n in sizes] or [none]
+    near = rest.select("low", F.explode(F.array_distinct(F.concat(*parts))).alias("part")).join(known.select(F.col("known").alias("near"), F.lower("known").alias("part")), "part")
     near = near.groupBy("low").agg(F.min("near").alias("near"))
     return d.withColumn("low", F.lower("source_id")).join(near, "low", "left").withColumn("known", F.coalesce("known", "near")).drop("low", "near")
 
@@ -177,7 +179,4 @@ def contract(answer: Column) -> Column:
 def streamed_response(text: Column) -> Column:
     """What a progressive reader has shown of a JSON text's response string so far: up to its closing quote or the text's end."""
     body = F.regexp_extract(text, r'(?s)"response"\s*:\s*"((?:[^"\\]|\\.)*)', 1)
-    body = F.replace(body, F.lit("\\\\"), F.lit("\u0000"))
-    for a, b in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
-        body = F.replace(body, F.lit(a), F.lit(b))
-    return F.replace(F.regexp_replace(body, r"(?s)\\(.)", "$1"), F.lit("\u0000"), F.lit("\\"))
+    return unescape(body)

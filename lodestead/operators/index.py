@@ -23,10 +23,13 @@ def sections(docs: DataFrame, key: str = "source_id", text: str = "text", title:
         F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("lines"), F.max(F.when(F.col("level") > 0, F.col("level"))).alias("level"), F.max(F.when(F.col("level") > 0, F.col("name"))).alias("name")
     )
     body = body.select("source_id", "section", F.coalesce("name", F.lit(title)).alias("locator"), F.coalesce("level", F.lit(0)).alias("level"), strip(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("body"))
-    stack = F.collect_list(F.struct("level", "locator")).over(Window.partitionBy("source_id").orderBy("section").rowsBetween(Window.unboundedPreceding, 0))
-    empty = F.array().cast("array<struct<level:int,locator:string>>")
-    path = F.aggregate(F.filter(stack, lambda x: x["level"] > 0), empty, lambda acc, x: F.concat(F.filter(acc, lambda y: y["level"] < x["level"]), F.array(x)))
-    d = body.withColumn("header_path", F.transform(path, lambda x: x["locator"])).where(F.length("body") > 0)
+    # of each level the last heading so far; it is on the path unless one of a higher level came after it
+    so_far = Window.partitionBy("source_id").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col("level") == n, F.struct("section", "locator")), ignorenulls=True).over(so_far) for n in range(1, 7)]
+    body = body.withColumns({f"_{n}": c for n, c in enumerate(last, 1)})
+    after = lambda n: F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"_{m}.section"), F.lit(-1)) for m in range(1, n)])
+    path = F.array_compact(F.array(*[F.when(F.col(f"_{n}.section") > after(n), F.col(f"_{n}.locator")) for n in range(1, 7)]))
+    d = body.withColumn("header_path", path).drop(*[f"_{n}" for n in range(1, 7)]).where(F.length("body") > 0)
     d = d.withColumn("sha256", section_hash(F.col("source_id"), F.col("locator"), F.col("body")))
     return d.withColumn("section_id", section_id(F.col("source_id"), F.col("sha256")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestead.functions.text import tokens
+from lodestead.functions.text import let, tokens
 
 K1, B, RRF = 1.5, 0.75, 60
 #: Rows of a query set that is broadcast at once; a larger one is worked off in blocks.
@@ -110,21 +110,26 @@ def hybrid(dense_hits: DataFrame, lexical_hits: DataFrame, queries: DataFrame, d
     return fused.join(docs, "doc")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(vector: Column) -> Column:
+    """The vector scaled to length 1, as doubles; one of length 0 stays."""
+    v = vector.cast("array<double>")
+    return let(F.sqrt(_dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 4, floor: float | None = None, key: str = "vec_id") -> DataFrame:
     """qid, doc, score, rank: exact cosine of a stated query set against all rows, in blocks of QUERY_BLOCK queries."""
     n = queries.count()
     blocks, out = max(1, -(-n // QUERY_BLOCK)), None
-    q = queries.select(F.col(key).alias("qid"), F.col("embedding").alias("q"))
+    # lengths are divided out once a vector, not once a pair
+    q = queries.select(F.col(key).alias("qid"), unit(F.col("embedding")).alias("q"))
+    rows = vectors.select(F.col(key).alias("doc"), unit(F.col("embedding")).alias("v"))
     for i in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        pairs = vectors.select(F.col(key).alias("doc"), "embedding").join(F.broadcast(part), F.col("doc") != F.col("qid"))
-        s = pairs.select("qid", "doc", cosine(F.col("q"), F.col("embedding")).alias("score"))
+        s = rows.join(F.broadcast(part), F.col("doc") != F.col("qid")).select("qid", "doc", _dot(F.col("q"), F.col("v")).alias("score"))
         s = s if floor is None else s.where(F.col("score") >= floor)
         s = top(s, ["qid"], "score", "doc", k)
         out = s if out is None else out.unionByName(s)

@@ -82,6 +82,14 @@ def save(stored: DataFrame, updates: DataFrame) -> DataFrame:
     return stored.join(updates.select("session_id"), "session_id", "left_anti").unionByName(new.select(*stored.columns))
 
 
+def save_columns(stored: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
+    """stored with these columns of the updates (a row per session) and their version up by one; other columns stay as stored,
+    so that writers of different columns undo nothing of each other's."""
+    new = updates.select("session_id", *[F.col(c).alias(f"_{c}") for c in columns], F.lit(1).alias("_hit"))
+    d = stored.join(new, "session_id", "left").withColumns({c: F.when(F.col("_hit") == 1, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns})
+    return d.withColumn("version", F.col("version") + F.coalesce("_hit", F.lit(0))).select(*stored.columns)
+
+
 def clear(stored: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """stored without the sessions of ids, or without any."""
     return stored.limit(0) if ids is None else stored.join(ids.select("session_id"), "session_id", "left_anti")
@@ -144,13 +152,18 @@ def replay(prompts: DataFrame, fixtures: DataFrame) -> DataFrame:
     return d.withColumn("envelope", F.when(F.col("_hit"), F.col("envelope")).otherwise(missing.cast(d.schema["envelope"].dataType))).drop("_hit")
 
 
-def answer(mode: str, prompts: DataFrame, fixtures: DataFrame | None = None, model=None) -> DataFrame:
-    """prompts (id, key, ...) with an envelope by the mode: mock (model is DataFrame -> DataFrame with an envelope), replay or record."""
+def answer(mode: str, prompts: DataFrame, fixtures: DataFrame | None = None, model=None) -> tuple[DataFrame, DataFrame | None]:
+    """(prompts with an envelope, fixtures after it) by the mode: mock asks model (DataFrame -> DataFrame with an envelope) and
+    replay the fixtures; record asks model and keeps what it answered to keys that weren't recorded yet, under its name if it
+    has one. prompts: id, key, ..."""
     if mode == "replay":
-        return replay(prompts, fixtures)
-    if mode in ("mock", "record"):
-        return model(prompts)
-    raise ValueError(f"unknown mode {mode!r}: mock, replay and record are known")
+        return replay(prompts, fixtures), fixtures
+    if mode not in ("mock", "record"):
+        raise ValueError(f"unknown mode {mode!r}: mock, replay and record are known")
+    answered = model(prompts)
+    if mode == "record":
+        fixtures = record(fixtures, answered.select("key", F.lit(getattr(model, "name", None)).cast("string").alias("model"), "envelope"))
+    return answered, fixtures
 
 
 def response_lines(answers: DataFrame) -> DataFrame:

@@ -39,24 +39,32 @@ def prepare(turns: DataFrame, quotes: dict[str, str]) -> DataFrame:
     return d.withColumns({"late": late, "warned": F.coalesce(policies.reset_envelope(kind, quotes), F.col("answer")), "as_is": policies.without_solicitation(F.col("answer"), quotes)}).withColumn("warned_safe", policies.without_solicitation(F.col("warned"), quotes))
 
 
+def fixed_answers(quotes: dict[str, str]) -> dict[str, Column]:
+    """The answers that don't depend on what was proposed."""
+    q, text, reset = {k: F.lit(v) for k, v in quotes.items()}, F.lit, [(policies.RESET_GUIDE, policies.RESTART)]
+    return {
+        "injection": policies.envelope(text("I can only assist with device troubleshooting and network configuration. How can I help?"), [], "ask"),
+        "cancelled": policies.envelope(F.concat_ws(" ", text("Understood, skipping factory reset. As a non-destructive alternative:"), policies.first_sentence(q["restart"]), text("Would you like to try this?")), reset, "ask"),
+        "other_way": policies.envelope(text("Before performing a factory reset, try power cycling the device: disconnect power for 10 seconds and reconnect."), reset, "ask"),
+        "confirmed": policies.envelope(q["hold"], [(policies.RESET_GUIDE, policies.ERASE)], "instruct"),
+        "confirmed_pro": policies.envelope(q["hold_pro"], [(policies.PRO_GUIDE, "Factory reset")], "instruct"),
+    }
+
+
 def fold(prepared: DataFrame, stored: DataFrame | None, quotes: dict[str, str]) -> DataFrame:
     """One row per session: session_id, state after its turns, and outputs (turn, answer, step, kind) of each turn.
 
     stored: session_id and state of sessions that were seen before. A session's turns are gathered in one row, as its state
     passes from one to the next; sessions are bounded by what one conversation holds.
     """
-    q = {k: F.lit(v) for k, v in quotes.items()}
     cols = ["turn", "said", "safe", "answer", "hazard", "model", "yes", "no", "other", "reset_words", "late", "warned", "as_is", "warned_safe"]
     d = prepared.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("all"))
     if stored is None:
         d = d.withColumn("state", new_session())
     else:
         d = d.join(stored.select("session_id", F.col("state").cast(STATE).alias("state")), "session_id", "left").withColumn("state", F.coalesce("state", new_session()))
-    none, text = F.lit(None).cast("string"), F.lit
-    outside = policies.envelope(text("I can only assist with device troubleshooting and network configuration. How can I help?"), [], "ask")
-    skipped = policies.envelope(F.concat_ws(" ", text("Understood, skipping factory reset. As a non-destructive alternative:"), policies.first_sentence(q["restart"]), text("Would you like to try this?")), [(policies.RESET_GUIDE, policies.RESTART)], "ask")
-    gentle = policies.envelope(text("Before performing a factory reset, try power cycling the device: disconnect power for 10 seconds and reconnect."), [(policies.RESET_GUIDE, policies.RESTART)], "ask")
-    do_it, do_pro = policies.envelope(q["hold"], [(policies.RESET_GUIDE, policies.ERASE)], "instruct"), policies.envelope(q["hold_pro"], [(policies.PRO_GUIDE, "Factory reset")], "instruct")
+    text = F.lit
+    outside, skipped, gentle, do_it, do_pro = fixed_answers(quotes).values()
     output = f"struct<turn:bigint,kind:string,answer:{policies.ENVELOPE},step:string>"
 
     def step(acc, x):

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.functions import guards, policies
+from lodestead.functions import guards, policies, progressive
 from lodestead.operators import evaluation, grounding, index, retrieval, sessions, turns
 from lodestead.plans import registry as core
+from lodestead.sources.shared import scratch
+from lodestead.streaming import keyed, requests
 from lodestead.streaming import sessions as streaming
 
 POLICY_MESSAGES = [
@@ -176,13 +178,13 @@ def turn_fold(s, d):
 
 
 def stream_turn_fold(s, d):
-    q = policies.read_policy(None)
-    path = f"{streaming.shared_dir(s)}/turns-{streaming.uuid.uuid4().hex}"
-    for part in ("turn < 1", "turn BETWEEN 1 AND 2", "turn > 2"):  # files come in the order of their making
-        _answered(s, d).where(part).coalesce(1).write.mode("append").parquet(path)
-    stream = streaming.read_stream(s, path, "*.parquet")
-    states = streaming.run_once(stream, lambda batch, stored: streaming.session_states(batch, stored, q), s)
-    return states.select("session_id", "state.pending", "state.confirmed", "state.turns", F.array_join("state.steps", ",").alias("steps"), "state.escalated", F.size("state.window").cast("long").alias("n_window"))
+    """The turns come in three parts; each run goes on from the checkpoint of the one before."""
+    q, root = policies.read_policy(None), scratch(s, "turns")
+    x = _answered(s, d).withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60))
+    for part in ("turn < 1", "turn BETWEEN 1 AND 2", "turn > 2"):
+        x.where(part).write.mode("append").parquet(f"{root}/in")
+        keyed.run(streaming.read_stream(s, f"{root}/in", "*.parquet", 1_000), q, s, root)
+    return keyed.states(s, root).select("session_id", "state.pending", "state.confirmed", "state.turns", F.array_join("state.steps", ",").alias("steps"), "state.escalated", F.size("state.window").cast("long").alias("n_window"))
 
 
 def batch_turn_fold(s, d):
@@ -192,7 +194,34 @@ def batch_turn_fold(s, d):
 
 
 def stream_session_fold(s, d):
-    return streaming.run_once(streaming.read_stream(s, d, "conversations*.parquet"), streaming.counts, s).select("conv_id", "n_turns", "last_turn", "n_chars")
+    return streaming.running_counts(streaming.read_stream(s, d, "conversations*.parquet"), s).select("conv_id", "n_turns", "last_turn", "n_chars")
+
+
+def _request_lines(s, d) -> DataFrame:
+    """A request line for each user turn: whole, without a session, cut in two, or no object."""
+    t = core._turns(s, d).where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("session_id"), F.coalesce("text", F.lit("")).alias("message"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7)).alias("n"))
+    whole = F.to_json(F.struct("session_id", "message"))
+    return t.select(F.when(F.col("n") == 1, F.to_json(F.struct("message"))).when(F.col("n") == 2, F.substring(whole, 1, 20)).when(F.col("n") == 3, "[1]").when(F.col("n") == 4, " ").otherwise(whole).alias("value"))
+
+
+def stream_requests(s, d):
+    """Request lines in two runs over a growing folder, each line answered once, those that can't be read by the fixed escalation."""
+    root = scratch(s, "requests")
+    echo = lambda x: x.withColumn("answer", policies.envelope(F.concat(F.lit("You said: "), "message"), [], "ask"))
+    for part in ("value LIKE '%message%'", "value NOT LIKE '%message%'"):
+        _request_lines(s, d).where(part).write.mode("append").text(f"{root}/in")
+        got = requests.run(requests.read(s, f"{root}/in"), echo, s, root)
+    return got.groupBy(F.coalesce("session_id", F.lit("-")).alias("session_id"), "answer.action", F.sha2(F.col("answer.response").cast("binary"), 256).alias("digest")).agg(F.count("*").alias("n"))
+
+
+def streamed_deltas(s, d):
+    """Answers as JSON, cut into chunks of seven characters, as a progressive reader shows them."""
+    t = core._turns(s, d).where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("response"))
+    t = t.select("id", F.concat(F.lit('{"citations": [], '), F.substr(F.to_json(F.struct("response")), F.lit(2))).alias("json"))
+    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("json") - 1) / 7).cast("int")), lambda i: F.substring("json", i * 7 + 1, 7)))
+    x = progressive.deltas(t.select("id", at.alias("seq", "chunk")))
+    x = x.groupBy("id").agg(F.count("*").alias("n_chunks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda r: r["delta"]), "").alias("text"))
+    return x.select("id", "n_chunks", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
 def _answers(s, d) -> DataFrame:
@@ -234,7 +263,7 @@ def eval_report(s, d):
 
 _NAMES = (
     first_terms, hazard_ladder, solicitation_terms, reset_check, section_lookup, citation_repair, headings, grounded_extract, hybrid_retrieval, ingest_index, ingest_stats, point_ids, effective_floors,
-    session_create, session_save, session_slots, session_rows, fixture_keys, turn_fold, batch_turn_fold, stream_turn_fold, stream_session_fold, turn_events, stream_reassembly, eval_turns, eval_report,
+    session_create, session_save, session_slots, session_rows, fixture_keys, turn_fold, batch_turn_fold, stream_turn_fold, stream_session_fold, stream_requests, streamed_deltas, turn_events, stream_reassembly, eval_turns, eval_report,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -297,6 +326,8 @@ ORACLES = {
     "session_rows": f"WITH {_STORED} SELECT id AS session_id, CASE WHEN id % 4 = 0 THEN 'R1' ELSE 'Unknown' END AS model, 'cable_checked' AS steps, id % 2 = 0 AS seen, n AS turns_count FROM st",
     "fixture_keys": "SELECT conv_id, sha256('[' || string_agg('{\"content\": ' || to_json(coalesce(text, ''))::VARCHAR || ', \"role\": ' || to_json(role)::VARCHAR || '}', ', ' ORDER BY turn, role, text) || ']') AS key FROM conversations GROUP BY conv_id",
     "stream_session_fold": "SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn, coalesce(sum(length(text)), 0)::BIGINT AS n_chars FROM conversations GROUP BY conv_id",
+    "stream_requests": "WITH t AS (SELECT conv_id || '-' || turn AS id, coalesce(text, '') AS m, (conv_id + turn) % 7 AS n FROM conversations WHERE role = 'user'), x AS (SELECT CASE WHEN n IN (2, 3) THEN '-' WHEN n = 1 THEN 'default-session' ELSE id END AS session_id, CASE WHEN n IN (2, 3) THEN 'escalate' ELSE 'ask' END AS action, sha256(CASE WHEN n IN (2, 3) THEN 'An error occurred while processing your request. Escalating to support.' ELSE 'You said: ' || m END) AS digest FROM t WHERE n <> 4) SELECT session_id, action, digest, count(*) AS n FROM x GROUP BY ALL",
+    "streamed_deltas": """WITH t AS (SELECT conv_id || '-' || turn AS id, coalesce(text, '') AS m FROM conversations WHERE role = 'assistant') SELECT id, ((length('{"citations": [], ' || substr(json_object('response', m)::VARCHAR, 2)) - 1) // 7 + 1)::BIGINT AS n_chunks, length(m)::BIGINT AS n_chars, sha256(m) AS digest FROM t""",
     "turn_events": f"WITH a AS ({_FOLDED}), b AS (SELECT session_id, turn, len(string_split(text, ' ')) AS w, (turn % 3 = 0)::INT AS r FROM a) SELECT session_id, turn, (w + 5 + r)::BIGINT AS n, w::BIGINT AS n_delta, r::BIGINT AS n_replace, (w + 4 + r)::BIGINT AS last FROM b",
     "stream_reassembly": f"WITH a AS ({_FOLDED}) SELECT session_id, turn, sha256(CASE WHEN turn % 3 = 0 THEN '* ' || text ELSE text END) AS digest FROM a",
     "eval_turns": f"WITH {_EVAL} SELECT case_id, turn, action_match, retrieved_match, raw_match, cited_match, reciprocal_rank, guarded, guard_match, passed FROM p",

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestead.functions import guards, text
-from lodestead.operators import index, retrieval, sessions
+from lodestead.operators import index, postings, retrieval, sessions
+from lodestead.sources.shared import scratch
+from lodestead.sources.snapshots import Snapshot
 
 DENSE_FLOOR, LEXICAL_FLOOR = 0.62, 2.5
 
@@ -26,8 +28,20 @@ def _docs(s, d):
     return _spread(_t(s, d, "documents").select("doc_id", "text", "lang"))
 
 
+_INDEXES: dict[tuple[str, str], Snapshot] = {}
+
+
+def _lexical(s, d) -> Snapshot:
+    """The stored index of documents: built by the first query that asks for it, read by all lexical ones."""
+    key = s.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.build(s, scratch(s, "lexical"), _docs(s, d))
+    return _INDEXES[key]
+
+
 def _bm25(s, d, k=4, keep=None):
-    return retrieval.bm25(_docs(s, d), _t(s, d, "benchmark"), k, keep)
+    allowed = None if keep is None else _t(s, d, "documents").where(keep).select(F.col("doc_id").alias("doc"))
+    return postings.search(_lexical(s, d), _t(s, d, "benchmark"), k, allowed)
 
 
 def _vectors(s, d):
@@ -40,25 +54,26 @@ def _dense(s, d, k=4, floor=None):
 
 
 def tokenize_counts(s, d):
-    return _docs(s, d).select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return _lexical(s, d).read("docs").select(F.col("doc").alias("doc_id"), F.col("doc_len").alias("n_tokens"))
 
 
 def term_freq(s, d):
-    return retrieval.term_freq(_docs(s, d)).select("doc", "term", "tf")
+    return _lexical(s, d).read("postings").select("doc", "term", "tf")
 
 
 def doc_freq(s, d):
-    return retrieval.doc_freq(retrieval.term_freq(_docs(s, d)))
+    return postings.doc_freq(_lexical(s, d))
 
 
 def idf_table(s, d):
-    # the statistics' one row is a broadcast
-    df = doc_freq(s, d).join(F.broadcast(_docs(s, d).agg(F.count("*").alias("n_docs"))))
+    snap = _lexical(s, d)
+    df = postings.doc_freq(snap).join(F.broadcast(postings.stats(snap)))  # one row of statistics
     return df.select("term", F.round(retrieval.idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
 
 
 def corpus_stats(s, d):
-    return retrieval.corpus_stats(_docs(s, d)).withColumn("avg_doc_len", F.round("avg_doc_len", 6))
+    x = postings.stats(_lexical(s, d))
+    return x.select("n_docs", "total_tokens", F.round(F.col("total_tokens") / F.greatest("n_docs", F.lit(1)), 6).alias("avg_doc_len"))
 
 
 def bm25_topk(s, d):
@@ -72,7 +87,7 @@ def bm25_topk_filtered(s, d):
 def bm25_stopwords_only(s, d):
     """Queries with stop words added find what they find without them, and stop words alone nothing."""
     q = _t(s, d, "benchmark").select("item_id", F.concat(F.lit("What is the "), F.coalesce("text", F.lit("")), F.lit(" of an")).alias("text"))
-    return retrieval.bm25(_docs(s, d), q.unionByName(s.createDataFrame([(-1, "what is the"), (-2, "")], "item_id long, text string")))
+    return postings.search(_lexical(s, d), q.unionByName(s.createDataFrame([(-1, "what is the"), (-2, "")], "item_id long, text string")))
 
 
 def dense_topk(s, d):
@@ -286,6 +301,10 @@ h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+') AS is_h, length(regexp_extr
 g AS (SELECT *, sum(is_h::INT) OVER (PARTITION BY source_id ORDER BY pos) AS section FROM h),
 sec AS (SELECT source_id, section::BIGINT AS section, coalesce(max(CASE WHEN is_h THEN nm END), 'Introduction') AS locator, coalesce(max(CASE WHEN is_h THEN lv END), 0)::BIGINT AS level
   FROM g GROUP BY source_id, section HAVING bool_or(regexp_matches(line, '\S')))"""
+_LEVELS = ", ".join(f"max(CASE WHEN level = {n} THEN section END) OVER w AS s{n}, last_value(CASE WHEN level = {n} THEN locator END IGNORE NULLS) OVER w AS n{n}" for n in range(1, 7))
+_ON = ", ".join(f"CASE WHEN s{n} > greatest(-1, {', '.join(['-1', *(f'coalesce(s{m}, -1)' for m in range(1, n))])}) THEN n{n} END" for n in range(1, 7))
+_PATH = f"""lvl AS (SELECT source_id, section, {_LEVELS} FROM sec WINDOW w AS (PARTITION BY source_id ORDER BY section)),
+pth AS (SELECT source_id, section, array_to_string(list_filter([{_ON}], lambda x: x IS NOT NULL), ' > ') AS path FROM lvl)"""
 _VALUES = ", ".join("({}, '{}')".format(i, m.replace("'", "''")) for i, m in MESSAGES)
 _MSG = f"msg AS (SELECT * FROM (VALUES {_VALUES}) t(id, text) UNION ALL SELECT conv_id * 1000 + turn + 1000, text FROM conversations)"
 
@@ -318,6 +337,7 @@ ORACLES = {
     "abstention_gate": f"{_BOTH}, a AS (SELECT qid, max(score) AS d FROM tr GROUP BY qid), b AS (SELECT qid, max(score) AS l FROM bm GROUP BY qid) SELECT qid, coalesce(d, 0.0) AS best_dense, coalesce(l, 0.0) AS best_lexical, coalesce(d, 0) < {DENSE_FLOOR} AND coalesce(l, 0) < 40 AS abstains FROM a FULL JOIN b USING (qid)",
     "calibrate_floors": f"WITH {_dense_sql(1)}, x AS (SELECT score, a.label = b.label AS ok FROM dn JOIN v a ON a.vec_id = qid JOIN v b ON b.vec_id = doc), m AS (SELECT min(score) FILTER (WHERE ok) AS low, max(score) FILTER (WHERE NOT ok) AS high FROM x) SELECT low, high, CASE WHEN low > high THEN round((low + high) / 2, 3) ELSE {DENSE_FLOOR}::DOUBLE END AS floor FROM m",
     "line_sections": f"WITH {_SEC} SELECT * FROM sec",
+    "section_paths": f"WITH {_SEC}, {_PATH} SELECT source_id, section, path FROM pth",
     "section_ids": "SELECT doc_id::VARCHAR AS source, sha256(doc_id || ':Introduction:' || coalesce(text, '')) AS sha256, doc_id || '_' || substr(sha256(doc_id || ':Introduction:' || coalesce(text, '')), 1, 12) AS section_id FROM documents",
     "archive_flag": "SELECT doc_id, contains(lower(source), 'archive') OR doc_id % 7 = 0 OR contains(lower(substr(coalesce(text, ''), 1, 100)), 'superseded') AS is_archived FROM documents",
     "product_line_default": "SELECT doc_id, CASE lang WHEN 'en' THEN 'Pro' WHEN 'fr' THEN 'Standard' ELSE 'All' END AS product_line FROM documents",

@@ -1,19 +1,19 @@
 """Streamed session state: each batch is folded into a table of states, by the plan that also folds a whole table at once.
 
-A batch reads the states that its predecessor wrote and writes its own, under the batch's number, to the shared folder. A
-batch that is run again after a failure reads the same predecessor and writes the same states, so each turn counts once.
+A batch reads the states of the highest number below its own and writes its own, under its number, to the shared folder. A batch
+that is run again, after a failure or a restart, reads the same states and writes the same, so each turn counts once. This
+suits any fold of whole tables; streaming.keyed and running_counts() hold their state in Spark's store instead.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestead.operators import turns as machine
-from lodestead.sources.shared import shared_dir
+from lodestead.sources.shared import scratch
 
 
 def counts(turns: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -30,20 +30,54 @@ def session_states(turns: DataFrame, stored: DataFrame | None, quotes: dict[str,
     return new if stored is None else new.unionByName(stored.join(new.select("session_id"), "session_id", "left_anti"))
 
 
-def run_once(stream: DataFrame, fold: Callable[[DataFrame, DataFrame | None], DataFrame], spark: SparkSession) -> DataFrame:
-    """Fold all that a stream has now, batch by batch, and return the last states. fold: (batch, stored states) -> states."""
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    last: list[str] = []
+def _states(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the batches whose states are written in full, ascending."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/states")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    done = [f.getPath() for f in fs.listStatus(at) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("batch-")) for p in done)
 
-    def step(batch: DataFrame, number: int) -> None:
-        path = f"{root}/states/batch-{number}"
-        stored = spark.read.parquet(last[-1]) if last and last[-1] != path else None
-        fold(batch, stored).write.mode("overwrite").parquet(path)
-        last.append(path)
 
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+def fold_batch(spark: SparkSession, root: str, batch: DataFrame, number: int, fold: Callable[[DataFrame, DataFrame | None], DataFrame]) -> None:
+    """Write the states after a batch under its number, from those of the highest number below it: running a batch again, also
+    after a restart, reads the same states and writes the same ones. States older than the last two are deleted."""
+    before = [n for n in _states(spark, root) if n < number]
+    stored = spark.read.parquet(f"{root}/states/batch-{before[-1]}") if before else None
+    fold(batch, stored).write.mode("overwrite").parquet(f"{root}/states/batch-{number}")
+    for n in before[:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/states/batch-{n}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def run_once(stream: DataFrame, fold: Callable[[DataFrame, DataFrame | None], DataFrame], spark: SparkSession, root: str | None = None) -> DataFrame:
+    """Fold all that a stream has now, batch by batch, and return the last states. fold: (batch, stored states) -> states.
+    root: where the states and the checkpoint lie, given again to go on after a restart."""
+    root = root or scratch(spark, "stream")
+    q = stream.writeStream.foreachBatch(lambda batch, number: fold_batch(spark, root, batch, number, fold)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(last[-1]) if last else fold(spark.createDataFrame([], stream.schema), None)
+    done = _states(spark, root)
+    return spark.read.parquet(f"{root}/states/batch-{done[-1]}") if done else fold(spark.createDataFrame([], stream.schema), None)
+
+
+def write_batches(out: DataFrame, root: str, mode: str = "update"):
+    """Start a stream whose batches are written under their numbers, so that one that runs again replaces what it wrote; ends
+    when all that there is now is worked off."""
+    step = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+    q = out.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def running_counts(stream: DataFrame, spark: SparkSession, root: str | None = None) -> DataFrame:
+    """counts() of a stream by Spark's own keyed state: a batch reads and writes only the conversations that it has turns of,
+    and the last row that any batch wrote of a conversation is its state."""
+    root = root or scratch(spark, "counts")
+    write_batches(counts(stream), root)
+    rows = spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out")
+    cols = ["n_turns", "last_turn", "n_chars"]
+    return rows.groupBy("conv_id").agg(F.max_by(F.struct(*cols), "batch").alias("s")).select("conv_id", *[F.col(f"s.{c}").alias(c) for c in cols])
 
 
 def read_stream(spark: SparkSession, path: str, pattern: str, files: int = 1) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from lodestead.functions import guards, text
 from lodestead.operators import index, retrieval, sessions
-from lodestead.plans import dialogue, registry
+from lodestead.plans import dialogue, indexes, registry
 from lodestead.sources import corpus
 
 
-QUERIES, ORACLES = registry.QUERIES | dialogue.QUERIES, registry.ORACLES | dialogue.ORACLES
+QUERIES, ORACLES = registry.QUERIES | dialogue.QUERIES | indexes.QUERIES, registry.ORACLES | dialogue.ORACLES | indexes.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -8,9 +8,10 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from lodestead.functions import guards, policies
+from lodestead.functions import guards, policies, progressive
 from lodestead.operators import grounding, index, retrieval, sessions, turns
 from lodestead.plans import dialogue, registry
+from lodestead.streaming import keyed, requests
 from lodestead.streaming import sessions as streaming
 
 CITES = "array<struct<source_id:string,locator:string>>"
@@ -123,10 +124,65 @@ def test_turn_fold_equals_plain_python_in_batch_and_stream(spark, data):
 
 def test_a_batch_that_is_run_again_counts_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, "ab"), (1, 1, "c"), (2, 0, None)], "conv_id long, turn long, text string")
-    rows.where("turn = 0").coalesce(1).write.parquet(str(tmp_path / "t"))
-    rows.where("turn = 1").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
-    got = streaming.run_once(streaming.read_stream(spark, str(tmp_path / "t"), "*.parquet"), streaming.counts, spark)
-    assert sorted(map(tuple, got.collect())) == [(1, 2, 1, 3), (2, 1, 0, 0)]
+    root = str(tmp_path / "root")
+    for n, part in ((0, "turn = 0"), (1, "turn = 1"), (1, "turn = 1")):
+        streaming.fold_batch(spark, root, rows.where(part), n, streaming.counts)
+    assert sorted(map(tuple, spark.read.parquet(f"{root}/states/batch-1").collect())) == [(1, 2, 1, 3), (2, 1, 0, 0)]
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "ab"), (1, 1, "c"), (2, 0, None)], "conv_id long, turn long, text string")
+    want = {1: [(1, 1, 0, 2), (2, 1, 0, 0)], 2: [(1, 2, 1, 3), (2, 1, 0, 0)]}
+    for n, part in ((1, "turn = 0"), (2, "turn = 1"), (2, "turn = 9")):
+        rows.where(part).write.mode("append").parquet(str(tmp_path / "t"))
+        read = lambda: streaming.read_stream(spark, str(tmp_path / "t"), "*.parquet", 100)
+        assert sorted(map(tuple, streaming.run_once(read(), streaming.counts, spark, str(tmp_path / "a")).collect())) == want[n]
+        assert sorted(map(tuple, streaming.running_counts(read(), spark, str(tmp_path / "b")).select("conv_id", "n_turns", "last_turn", "n_chars").collect())) == want[n]
+
+
+def test_keyed_sessions_begin_with_stored_ones_and_expire(spark, tmp_path):
+    q, none = policies.read_policy(None), F.array().cast(CITES)
+    rows = [("a", 0, "yes, go ahead", 0), ("b", 0, "hello", 0), ("b", 1, "my R1 router", 50), ("c", 0, "hello", 9_000)]
+    said = spark.createDataFrame(rows, "session_id string, turn long, message string, at long").withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("at")))
+    said = said.withColumn("answer", F.struct(F.lit("ok").alias("response"), none.alias("citations"), F.lit("ask").alias("action")))
+    state = turns.new_session().withField("pending", F.lit("factory_reset")).withField("turns", F.lit(4))
+    stored = spark.createDataFrame([("a",)], "session_id string").withColumn("state", state)
+    got, root = {}, str(tmp_path / "root")
+    for part in ("session_id <> 'c'", "session_id = 'c'"):
+        said.where(part).write.mode("append").parquet(str(tmp_path / "t"))
+        stream = streaming.read_stream(spark, str(tmp_path / "t"), "*.parquet", 100)
+        out = keyed.run(stream, q, spark, root, stored, ttl_days=1 / 24, late="1 minute")
+        got[part] = {r.session_id: r.state.asDict(True) for r in keyed.states(spark, root).collect()}
+    first, second = got.values()
+    assert first["a"]["confirmed"] and first["a"]["turns"] == 5 and first["b"]["model"] == "R1" and [m["content"] for m in first["b"]["window"]] == ["hello", "ok", "my R1 router", "ok"]
+    assert set(second) == {"c"} and sorted((r.session_id, r.kind) for r in out.collect()) == [("a", "confirmed"), ("a", "expired"), ("b", "answered"), ("b", "answered"), ("b", "expired"), ("c", "answered")]
+
+
+def test_requests_that_fail_are_answered_once(spark, tmp_path):
+    root, echo = str(tmp_path / "root"), lambda x: x.withColumn("answer", F.when(F.col("message") != "die", policies.envelope(F.upper("message"), [], "ask")))
+    got = []
+    for lines in (['{"session_id": "s", "message": "hi"}', "", "{broken", "[1]"], ['{"message": "die"}', '{"session_id": "s"}']):
+        spark.createDataFrame([(x,) for x in lines], "value string").write.mode("append").text(str(tmp_path / "in"))
+        got = requests.run(requests.read(spark, str(tmp_path / "in")), echo, spark, root)
+    rows = sorted(((r.session_id or "-", r.answer.response, r.answer.action) for r in got.collect()), key=repr)
+    assert rows == sorted([("s", "HI", "ask"), ("-", requests.FAILED, "escalate"), ("-", requests.FAILED, "escalate"), ("default-session", requests.FAILED, "escalate"), ("s", "", "ask")], key=repr)
+    again = requests.run(requests.read(spark, str(tmp_path / "in")), echo, spark, root)
+    assert again.count() == 5 and sum("HI" in r.value for r in requests.response_lines(again).collect()) == 1
+    text = {r.value for r in requests.event_text(again.where("message = 'hi'")).collect()}
+    assert text == {"event: start\ndata: s\n\nevent: status\ndata: retrieving\n\nevent: status\ndata: answering\n\nevent: delta\ndata: HI\n\nevent: citations\ndata: []\n\nevent: done\ndata: ask\n\n"}
+
+
+def test_every_chunking_shows_the_same_string(spark):
+    full = '{"x": 1, "response" : "a \\"b\\" \\\\\\\\ \\n c\\t\\/é", "action": "ask"}'
+    want = 'a "b" \\\\ \n c\t/é'
+    rows = [(f"{i}-{j}", k, full[a:b]) for i in range(len(full) + 1) for j in range(i, len(full) + 1, 3) for k, (a, b) in enumerate([(0, i), (i, j), (j, len(full))])]
+    rows += [("each", k, c) for k, c in enumerate(full)] + [("cut", 0, full[:20]), ("cut", 1, None), ("none", 0, None)]
+    d = progressive.deltas(spark.createDataFrame(rows, "id string, seq int, chunk string"))
+    got = {}
+    for r in d.orderBy("id", "seq").collect():
+        got.setdefault(r.id, []).append(r.delta)
+    assert {i for i, x in got.items() if "".join(x) != want} == {"cut", "none"} and got["none"] == [""] and want.startswith("".join(got["cut"]))
+    assert len(got["each"]) == len(full) and max(map(len, got["each"])) == 1
 
 
 def test_sections_and_their_paths_equal_a_stack(spark, data):
@@ -186,6 +242,14 @@ def test_extraction_equals_plain_python(spark, data):
         assert (action, digest) == (a, sha256(text.encode()).hexdigest())
 
 
+def test_names_of_any_length_and_place_are_found(spark):
+    long = "Guide to " + "very " * 60 + "long names"
+    some = spark.createDataFrame([(long, "Setup", "x", 1), ("Kit", "Setup", "y", 2)], "source_id string, locator string, body string, pos long")
+    cited = spark.createDataFrame([(1, 1, "see " + "x" * 500 + " the KIT", "setup"), (2, 1, "the " + long.upper(), "setup"), (3, 1, "K", "setup")], "id long, pos long, source_id string, locator string")
+    shown = spark.createDataFrame([], "id long, rank long, source_id string, locator string")
+    assert sorted(map(tuple, grounding.repair_citations(cited, some, shown).collect())) == [(1, 1, "Kit", "Setup"), (2, 1, long, "Setup")]
+
+
 def test_citations_of_an_empty_index_and_answer(spark):
     none = spark.createDataFrame([], "source_id string, locator string, body string, pos long")
     cited = spark.createDataFrame([(1, 1, "a", "b"), (2, 1, None, None)], "id long, pos long, source_id string, locator string")
@@ -227,9 +291,13 @@ def test_fixtures_and_keys(spark):
     assert d.select(sessions.fixture_key(F.col("m")).alias("k")).first().k == key
     fx = spark.createDataFrame([(key, "x", ("hi", [], "ask"))], f"key string, model string, envelope {policies.ENVELOPE}")
     known, lost = spark.createDataFrame([(1, key)], "id long, key string"), spark.createDataFrame([(1, "nokey")], "id long, key string")
-    assert sessions.answer("replay", known, fx).first().envelope.response == "hi"
+    assert sessions.answer("replay", known, fx)[0].first().envelope.response == "hi"
     with pytest.raises(Exception, match="nokey"):
-        sessions.answer("replay", lost, fx).collect()
+        sessions.answer("replay", lost, fx)[0].collect()
+    model = lambda p: p.withColumn("envelope", policies.envelope(F.concat(F.lit("to "), "key"), [], "ask"))
+    answered, after = sessions.answer("record", known.unionByName(lost), fx, model)
+    assert answered.count() == 2 and {r.key: r.envelope.response for r in after.collect()} == {key: "hi", "nokey": "to nokey"}
+    assert sessions.answer("replay", lost, after)[0].first().envelope.response == "to nokey" and sessions.answer("mock", known, fx, model)[1] is fx
     with pytest.raises(ValueError, match="unknown mode"):
         sessions.answer("dream", known)
     assert sessions.record(fx, fx.unionByName(fx.withColumn("key", F.lit("new")))).count() == 2
