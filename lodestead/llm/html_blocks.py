@@ -42,7 +42,7 @@ def names() -> list[str]:
     """All features, by number."""
     out = [f"in <{t}>" for t in TAGS] + [f"in {s}" for s in STEMS] + ["hidden", "in link"]
     out += [f"own <{t}>" for t in TAGS] + [f"own {s}" for s in STEMS]
-    out += ["beside <article>", "beside <main>", "beside content"]
+    out += ["beside <article>", "beside <main>", "beside content", "unmarked", "unmarked in content"]
     out += [f"words over {n}" for n in WORDS] + [f"links over {n}" for n in LINKS]
     return out + ["sentence", "comma", "starts low", "hint", "short hint", "digits", "bar", "first", "last", "bias"]
 
@@ -55,6 +55,9 @@ _ABOVE = (1 << _AT["own <nav>"]) - 1
 _BY_LENGTH = sorted(STEMS, key=len, reverse=True)
 _EXACT = {"ad", "ads", "adv", "col", "row", "top", "pag", "tag", "more"}
 _CONTENT = sum(_BIT[f"in {s}"] for s in ("article", "content", "post", "entry", "story"))
+#: What marks an ancestor as something else than main text or a part of the page's layout.
+_LAYOUT = "article content post entry story text body main page blog news wrap contain layout col row".split()
+_MARKS = sum(_BIT[f"in <{t}>"] for t in ("nav", "header", "footer", "aside", "form", "fieldset", "button", "label", "dialog")) + sum(_BIT[f"in {s}"] for s in STEMS if s not in _LAYOUT) + _BIT["hidden"]
 
 
 _STEMS: dict[str, tuple[int, int]] = {}
@@ -220,6 +223,8 @@ def read(html: str | None) -> tuple[list[str], list[int]]:
         for what, mask in (("<article>", _BIT["in <article>"]), ("<main>", _BIT["in <main>"]), ("content", _CONTENT)):
             if marked & mask and not x & mask:
                 x |= _BIT[f"beside {what}"]
+        if not x & _MARKS:
+            x |= _BIT["unmarked in content" if x & (_CONTENT | _BIT["in <article>"] | _BIT["in <main>"]) else "unmarked"]
         n = text.count(" ") + 1
         for limit in WORDS:
             x |= _BIT[f"words over {limit}"] if n > limit else 0

@@ -84,7 +84,7 @@ class _Maker:
     def tag(self, label: int | None, name: str, inner, attrs: str = "") -> None:
         self.parts.append((f"<{name}{' ' + attrs.strip() if attrs.strip() else ''}>", None))
         inner() if callable(inner) else self.parts.append((inner, label))
-        if self.r.random() < (0.9 if name == "p" else 0.995):
+        if self.r.random() < (0.9 if name == "p" else 0.999):
             self.parts.append((f"</{name}>", None))
 
     def inline(self, t: str) -> str:
@@ -94,7 +94,7 @@ class _Maker:
             i, k = r.randrange(len(w)), r.choice(["b", "i", "em", "a", "strong", "span", "code"])
             w[i] = f"<{k}{' href=/x' if k == 'a' else ''}>{w[i]}</{k}>"
             t = " ".join(w)
-        return t.replace(" ", "<br>", 1) if r.random() < 0.08 else t
+        return t + "<br>" + self.word() if r.random() < 0.08 else t
 
     def links(self, label: int, n: int) -> None:
         def rows():
@@ -106,11 +106,11 @@ class _Maker:
         else:
             self.parts.append((self.r.choice([" ", " | ", " » "]).join(f'<a href="/{self.word()}">{self.words(self.r.randint(1, 3))}</a>' for _ in range(n)), label))
 
-    def bad(self, kind: str) -> None:
-        """A part that is no main text."""
+    def bad(self, kind: str, inside: bool = False) -> None:
+        """A part that is no main text. inside: whether it stands in the main text's element."""
         r = self.r
         name, attrs = r.choice(_BAD[kind])
-        if r.random() < 0.02:
+        if r.random() < 0.02 and not inside:
             attrs = ""
 
         def inner():
@@ -154,7 +154,7 @@ class _Maker:
             style = r.random()
             for k in range(r.choice([1, 2, 3, 5, 8, 12, 20])):
                 x = r.random()
-                t = self.odd() if r.random() < 0.08 else self.inline(self.sentence(1, 3) if x < 0.12 else self.prose())
+                t = self.odd() if r.random() < 0.14 else self.inline(self.sentence(1, 3) if x < 0.12 else self.prose())
                 if style < 0.06:  # text without blocks of its own
                     self.parts.append((t + "<br><br>", 1))
                 elif x < 0.85:
@@ -171,10 +171,10 @@ class _Maker:
                     self.tag(1, "pre", t)
                 else:
                     self.tag(1, "div", lambda: self.tag(1, "p", t), r.choice(['class="section"', 'class="text"', "", 'class="paragraph"']))
-                if r.random() < 0.06:
-                    self.bad(r.choice(["ad", "side", "form", "notice"]))
+                if r.random() < 0.12:
+                    self.bad(r.choice(["ad", "side", "form", "notice"]), True)
             if r.random() < 0.15:
-                self.bad("comments")
+                self.bad("comments", True)
 
         if name == "article" and r.random() < 0.2:
             return self.tag(None, "main", lambda: self.tag(None, name, inner, attrs))
@@ -185,13 +185,14 @@ class _Maker:
         self.parts.append((f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{self.words(4)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>', None))
         wraps = [r.choice(_WRAP) for _ in range(r.choice([0, 0, 1, 1, 2]))]
         self.parts += [(f"<div{w}>", None) for w in wraps]
-        for kind, share in (("notice", 0.3), ("header", 0.5), ("nav", 0.7), ("ad", 0.4), ("form", 0.15), ("side", 0.25)):
+        bare = r.random() < 0.1  # nothing but the main text
+        for kind, share in () if bare else (("notice", 0.3), ("header", 0.5), ("nav", 0.7), ("ad", 0.4), ("form", 0.15), ("side", 0.25)):
             for _ in range((r.random() < share) + (r.random() < share / 5)):
                 self.bad(kind)
                 if r.random() < 0.2:
                     self.parts.append((r.choice(["<!-- ad -->", "<hr>", "\n", '<script>track("<p>")</script>']), None))
         self.main()
-        for kind, share in (("comments", 0.3), ("side", 0.35), ("ad", 0.3), ("form", 0.2), ("nav", 0.15), ("notice", 0.1), ("footer", 0.7)):
+        for kind, share in () if bare else (("comments", 0.3), ("side", 0.35), ("ad", 0.3), ("form", 0.2), ("nav", 0.15), ("notice", 0.1), ("footer", 0.7)):
             if r.random() < share:
                 self.bad(kind)
         if r.random() < 0.9:
