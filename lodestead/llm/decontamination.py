@@ -11,6 +11,10 @@ asked for: 1 - (1 - (1 - far) ** SAMPLED) ** REPEATS >= RECALL, where `far` is t
 embeddings of a window and an item at the largest allowed distance differ. Candidates are verified by the exact edit
 distance between the item and the best stretch around the window.
 
+An item of more than PART words is sought by its parts, of PART words at most, side by side: edits within the item's share leave at
+least one of them within its own share, whatever they are and wherever they fall (else all parts together would have more). A
+candidate of a part is verified against the whole item, aligned by the part's place in it.
+
 Windows are embedded where they can lie within the distance at all: one edit breaks at most two of an item's word
 pairs, so a window with too few word pairs of any item can be left out without loss.
 
@@ -30,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import hash_words, materialize, mix, named, pieces, table, text_bytes
+from lodestead.llm.common import hash_words, materialize, mix, named, pieces, small_batches, table, text_bytes
 
-MAX_EDITS, MIN_WORDS = 0.2, 5
+MAX_EDITS, MIN_WORDS, PART = 0.2, 5, 64
 #: Characters of items that are broadcast at once, at most, unless one item alone has more.
 MAX_CHARS = 4_000_000
 SAMPLED, FAR, RECALL = 2, 0.5, 0.995
@@ -82,12 +86,18 @@ def embed(h: np.ndarray, at: np.ndarray, steps: int, seed: int, wanted: np.ndarr
 
 
 class Items:
-    """The benchmark's items by length class, with their sampled embeddings."""
+    """The benchmark's items, and by length class their parts, with the parts' sampled embeddings."""
 
     def __init__(self, ids: list[int], texts: list[str], share: float) -> None:
         buf, at = text_bytes(pa.array(texts, pa.string()))
         h, first = hash_words(buf, at)
-        items = sorted(((int(z - a), i, h[a:z]) for i, a, z in zip(ids, first[:-1], first[1:], strict=True) if z - a >= MIN_WORDS), key=lambda x: x[:2])
+        self.items = [(int(z - a), i, h[a:z]) for i, a, z in zip(ids, first[:-1], first[1:], strict=True) if z - a >= MIN_WORDS]
+        # parts: words, item number, hashes, place in the item
+        items = []
+        for k, (n, _, words) in enumerate(self.items):
+            cut = np.linspace(0, n, -(-n // PART) + 1).astype(int)
+            items += [(int(z - a), k, words[a:z], int(a)) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        items.sort(key=lambda x: (x[0], x[1], x[3]))
         self.share, self.classes = share, []
         pairs = np.unique(np.concatenate([_pairs(x[2]) for x in items])) if items else np.zeros(0, _U)
         self.bits = max(16, 4 + int(len(pairs) + 1).bit_length())
@@ -97,13 +107,13 @@ class Items:
             some = [x for x in items if x[0] <= items[0][0] * 1.25]
             items = items[len(some) :]
             lo, hi = some[0][0], some[-1][0]
-            need = max(1, min(n - 1 - 2 * edits_allowed(n, share) for n, _, _ in some))
+            need = max(1, min(n - 1 - 2 * edits_allowed(n, share) for n, *_ in some))
             reach = hi + edits_allowed(hi, share)
             draws = []
             flat = np.concatenate([np.concatenate([x[2], np.zeros(2 * hi, _U)]) for x in some])
             starts = np.cumsum([0, *[x[0] + 2 * hi for x in some]])[:-1]
             for rep in range(REPEATS):
-                wanted = np.random.Generator(np.random.PCG64([lo, rep])).choice(min(lo, 64) * 2 - 2, SAMPLED, replace=False)
+                wanted = np.random.Generator(np.random.PCG64([lo, rep])).choice(lo * 2 - 2, SAMPLED, replace=False)
                 keys = embed(flat, starts, int(wanted.max()) + 1, rep + 1, wanted)
                 order = np.argsort(keys, kind="stable")
                 draws.append((rep + 1, wanted, keys[order], order))
@@ -130,8 +140,8 @@ def find(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         if not len(start):
             continue
         # only what the walks can read is embedded: the stretches behind the starts, one behind another
-        where, own_at = _stretches(start, 2 * min(lo, 64))
-        some_h = np.concatenate([h, np.zeros(2 * min(lo, 64), _U)])[where]
+        where, own_at = _stretches(start, 2 * lo)
+        some_h = np.concatenate([h, np.zeros(2 * lo, _U)])[where]
         cand = []
         for seed, wanted, keys, order in draws:
             own = embed(some_h, own_at, int(wanted.max()) + 1, seed, wanted)
@@ -144,11 +154,12 @@ def find(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         if not len(cand):
             continue
         doc = np.searchsorted(first, cand[:, 1], "right") - 1
-        span = np.array([x[0] for x in some])[cand[:, 0]]
+        whole, place = np.array([x[1] for x in some])[cand[:, 0]], np.array([x[3] for x in some])[cand[:, 0]]
+        span = np.array([x[0] for x in items.items])[whole]
         # a verification covers the starts near it: one for each half item
-        lead = np.unique(np.stack([cand[:, 0], doc, (cand[:, 1] - first[doc]) // np.maximum(1, span // 2)], 1), axis=0)
+        lead = np.unique(np.stack([whole, doc, (cand[:, 1] - place - first[doc]) // np.maximum(1, span // 2)], 1), axis=0)
         for k in np.unique(lead[:, 0]):
-            n, item_id, words = some[k]
+            n, item_id, words = items.items[k]
             d, half = lead[lead[:, 0] == k, 1], max(1, n // 2)
             at_ = first[d] + lead[lead[:, 0] == k, 2] * half
             slack = edits_allowed(n, items.share)
@@ -177,6 +188,7 @@ def _stretches(at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
 
 def matches(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """One row (key, item_id, first_word, n_words, n_edits) for each document and item that it holds, its best stretch."""
+    small_batches(docs.sparkSession)
     rows = benchmark.select(F.col(item).cast("long").alias("i"), normal("text").alias("t")).where("i IS NOT NULL AND length(t) > 0").distinct()
     chars = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = -(-chars // MAX_CHARS) or 1
