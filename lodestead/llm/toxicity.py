@@ -4,9 +4,10 @@
    in toxic documents (and occur in LEAST_TOXIC and one in a hundred of them at least) become the lexicon (at most LEXICON terms), weighted by their log odds.
 2. The terms' Levenshtein automata and their trie are one automaton: a state is a set of (trie node, edits). It is made
    deterministic state by state as words ask for it; a word is read once, whatever the lexicon's size. Terms of five
-   letters may differ by one edit, of twelve by two, shorter ones not at all. Words that occur in several clean
-   documents of the sample aren't taken for misspellings, and terms that have more than NOISE clean documents with such
-   near words aren't sought misspelled.
+   letters may differ by one edit, of twelve by two, shorter ones not at all. Near words that are more at home in clean
+   documents than in toxic ones (log odds of their counts under CLEAN_ODDS, whatever the sample's size) aren't taken for
+   misspellings, and terms with such near words, seen once, in a share of the clean documents over NOISE by more than chance
+   aren't sought misspelled.
 3. Around each hit, a window of words is scored for quotation (quotation marks, words of reporting) against address
    (second person); a logistic regression over sums of hits in abuse and in quotation gives the score; a misspelled hit
    counts as MISSPELLED of an exact one. Only the text is an input of it.
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import pieces, table
+from lodestead.llm.common import pieces, small_batches, table
 
 LEARN_FROM, LEXICON, LEAST_TOXIC, LEAST_ODDS, CONTEXT = 20_000, 1_000, 6, 3.0, 8
-NOISE, MISSPELLED = 3, 0.7
+CLEAN_ODDS, NOISE, MISSPELLED = -0.5, 0.001, 0.7
 #: Words whose verdict a Python worker remembers; beyond it, it starts anew. States of the automaton, likewise.
 REMEMBERED, STATES = 400_000, 200_000
 _WORD = re.compile(r"[^\W_]+")
@@ -195,6 +196,7 @@ def _misspellings(shared):
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_FROM) -> tuple[tuple, np.ndarray]:
     """(terms, their log odds, clean words near them, terms not to be sought misspelled) and the regression's weights, from at most `rows` labelled documents."""
+    small_batches(docs.sparkSession)
     y = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     d = docs.join(F.broadcast(y), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).persist()
@@ -210,10 +212,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_FROM) -> tuple[t
         terms = [r.w for r in top]
         shared = docs.sparkSession.sparkContext.broadcast(terms)
         near = w.where(odds < LEAST_ODDS).mapInArrow(_misspellings(shared), "w string, p long, n long, term string").collect()
-        noise: dict[str, int] = {}
-        for r in near:
-            noise[r.term] = noise.get(r.term, 0) + (r.n if r.n < 2 else 0)
-        lexicon = (terms, [float(r.o) for r in top], sorted(r.w for r in near if r.n >= 2), sorted(t for t, n in noise.items() if n > NOISE))
+        clean, noise = [r.w for r in near if np.log((r.p + 1) / (r.n + 1)) < CLEAN_ODDS], dict.fromkeys(terms, 0)
+        for r in near:  # words that were seen once tell how many there are that weren't
+            noise[r.term] += r.n == 1 and not r.p
+        lexicon = (terms, [float(r.o) for r in top], sorted(clean), sorted(t for t, n in noise.items() if n - np.sqrt(n) > NOISE * neg))
         x = measure(d, lexicon, ["toxic", "doc_id"]).orderBy("doc_id").toPandas()
     finally:
         d.unpersist()
