@@ -44,8 +44,8 @@ def document_text(title: Column, locator: Column, body: Column) -> Column:
 
 
 def lexical_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, doc_len and its tokens: what BM25 needs of the texts, which are read once. Written as a table (write_version), any
-    number of query sets can be answered from it."""
+    """doc, doc_len and its tokens: what BM25 needs of the texts, which are read once. The stored index (operators.postings)
+    answers any number of query sets from a table."""
     return docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
 
 
@@ -158,3 +158,29 @@ def calibrate(scores: DataFrame, default: float, places: int) -> DataFrame:
     """One row: the floor halfway between the least in-domain and the greatest out-of-domain best score, if they part."""
     d = scores.agg(F.min(F.when(F.col("in_domain"), F.col("score"))).alias("low"), F.max(F.when(~F.col("in_domain"), F.col("score"))).alias("high"))
     return d.withColumn("floor", F.when(F.col("low") > F.col("high"), F.round((F.col("low") + F.col("high")) / 2, places)).otherwise(F.lit(default)))
+
+
+# Fixed values of a calibration by probes, for each track: the least in-domain and the greatest out-of-domain best score where
+# no probe found anything, the floor where the classes overlap, its decimal places; and how many titles are probes.
+TRACKS = {"dense": (0.68, 0.57, 0.62, 3), "sparse": (2.0, 0.0, 1.0, 2)}
+TITLES = 5
+
+
+def probes(inside: DataFrame, titles: DataFrame, outside: DataFrame) -> DataFrame:
+    """qid, text, in_domain: the texts of both domains, and for the first TITLES titles (by pos), which may repeat and needn't all
+    be named, one that asks for help with it."""
+    t = titles.orderBy("pos").limit(TITLES).where(F.length("title") > 0).select(F.concat("title", F.lit(" troubleshooting")).alias("text"))
+    t = inside.select("text").unionByName(t).distinct().withColumn("in_domain", F.lit(True))
+    return t.unionByName(outside.select("text").withColumn("in_domain", F.lit(False))).select(F.xxhash64("text", "in_domain").alias("qid"), "text", "in_domain")
+
+
+def calibrate_tracks(dense_best: DataFrame, sparse_best: DataFrame) -> DataFrame:
+    """One row (dense_floor, sparse_floor) from the best scores (score, in_domain) of the probes in both tracks, each probe of
+    a track once; probes that found nothing have no row."""
+    out = None
+    for name, best in (("dense", dense_best), ("sparse", sparse_best)):
+        low, high, default, places = TRACKS[name]
+        d = best.agg(F.coalesce(F.min(F.when(F.col("in_domain"), F.col("score"))), F.lit(low)).alias("low"), F.coalesce(F.max(F.when(~F.col("in_domain"), F.col("score"))), F.lit(high)).alias("high"))
+        d = d.select(F.when(F.col("low") > F.col("high"), F.round((F.col("low") + F.col("high")) / 2, places)).otherwise(F.lit(default)).alias(f"{name}_floor"))
+        out = d if out is None else out.join(F.broadcast(d))  # one row each
+    return out

@@ -10,12 +10,22 @@ MANIFEST = "corpus string, version string, documents array<struct<id:string,titl
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """file_name, stem and text of each Markdown file of a folder."""
-    d = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("ignoreMissingFiles", True).text(folder)
+    d = spark.read.option("pathGlobFilter", "*.md").option("ignoreMissingFiles", True).text(folder, wholetext=True)
     return d.select(F.col("_metadata.file_name").alias("file_name"), F.regexp_replace("_metadata.file_name", r"\.md$", "").alias("stem"), F.col("value").alias("text"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(path, multiLine=True).select(F.inline("documents"))
+    """The documents of a manifest; none where the file is missing or isn't what a manifest is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], MANIFEST).select(F.inline("documents"))
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", MANIFEST).alias("m")).select(F.inline("m.documents"))
+
+
+def title_of(stem: Column) -> Column:
+    """A file's name as a title: dashes are blanks, and each run of letters begins with a capital, also behind digits."""
+    runs = F.regexp_extract_all(F.replace(stem, F.lit("-"), F.lit(" ")), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def with_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -26,7 +36,7 @@ def with_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     d = files.join(by_id, "stem", "left").join(by_path, "file_name", "left").withColumn("m", F.coalesce("a", "b"))
     line = F.col("m.product_line")
     return d.select(
-        F.coalesce("m.id", "stem").alias("source_id"), F.coalesce("m.title", F.initcap(F.replace("stem", F.lit("-"), F.lit(" ")))).alias("title"),
+        F.coalesce("m.id", "stem").alias("source_id"), F.coalesce("m.title", title_of(F.col("stem"))).alias("title"),
         F.coalesce("m.version", F.lit("")).alias("version"), F.coalesce("m.effective_date", F.lit("")).alias("effective_date"),
         F.when(line.isin("Standard", "Pro", "All"), line).otherwise("All").alias("product_line"), "text",
     )
@@ -48,10 +58,3 @@ def read_cases(lines: DataFrame) -> DataFrame:
 
 def event_line(event: Column, data: Column) -> Column:
     return F.format_string("event: %s\ndata: %s\n\n", event, data)
-
-
-def write_version(rows: DataFrame, root: str, version: str, by: str | None = None) -> str:
-    """Write a version of an index table into a directory of its own; readers go on with the old one until they switch."""
-    w = rows.write.mode("overwrite")
-    (w.partitionBy(by) if by else w).parquet(path := f"{root}/version={version}")
-    return path

@@ -1,11 +1,12 @@
 import json
+import re
 
 import pytest
 from conftest import same
 from pyspark.sql import functions as F
 
-from lodestead.functions import guards, text
-from lodestead.operators import index, retrieval, sessions
+from lodestead.functions import guards, policies, text
+from lodestead.operators import evaluation, index, retrieval, sessions
 from lodestead.plans import dialogue, indexes, registry
 from lodestead.sources import corpus
 
@@ -89,7 +90,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "other.md").write_text("y")
     (tmp_path / "manifest.json").write_text(json.dumps({"corpus": "c", "version": "1", "documents": [{"id": "quick", "title": "Quick", "path": "quick-start.md", "product_line": "Pro"}]}))
     d = corpus.with_manifest(corpus.read_markdown(spark, str(tmp_path)), corpus.read_manifest(spark, str(tmp_path / "manifest.json")))
-    assert {(r.source_id, r.title, r.product_line) for r in d.collect()} == {("quick", "Quick", "Pro"), ("other", "Other", "All")}
+    assert sorted((r.source_id, r.title, r.product_line, r.text) for r in d.collect()) == [("other", "Other", "All", "y"), ("quick", "Quick", "Pro", "# A\nx")]
     lines = spark.createDataFrame([('{"message": "hi"}',), ("",), ('{"session_id": "s"}',)], "value string")
     assert {tuple(r) for r in corpus.read_requests(lines).collect()} == {("default-session", "hi"), ("s", "")}
     case = spark.createDataFrame([('{"id": "c", "turns": [{"input": "a", "expected_action": ["ask", "instruct"], "expected_source": "doc"}]}',)], "value string")
@@ -97,5 +98,72 @@ def test_sources(spark, tmp_path):
     assert corpus.read_cases(case).first().expected_source == ["doc"]
 
 
+def test_a_missing_or_broken_manifest_has_no_documents(spark, tmp_path):
+    (tmp_path / "a-3.2x-guide.md").write_text("# A\nx")
+    files = corpus.read_markdown(spark, str(tmp_path))
+    for n, text in enumerate((None, "", "{not json", "[]", '{"documents": 7}', '{"version": "1"}')):
+        path = tmp_path / f"manifest{n}.json"
+        if text is not None:
+            path.write_text(text)
+        m = corpus.read_manifest(spark, str(path))
+        assert m.count() == 0 and [(r.source_id, r.title, r.product_line) for r in corpus.with_manifest(files, m).collect()] == [("a-3.2x-guide", "A 3.2X Guide", "All")]
+    (tmp_path / "one.md").write_text("y")
+    only = corpus.read_markdown(spark, str(tmp_path / "one.md"))
+    assert [(r.stem, r.text) for r in only.collect()] == [("one", "y")]
+
+
+@pytest.mark.parametrize("stem", ["quick-start", "led-3.2x", "r5pro-guide", "été-ÉTÉ", "a--b", "x"])
+def test_titles_begin_words_behind_digits_with_capitals_too(spark, stem):
+    assert _one(spark, corpus.title_of, stem) == stem.replace("-", " ").title()
+
+
+def test_redaction_over_the_table_equals_plain_python(spark, data):
+    secret = guards._SECRET
+    password = rf"(?i)\b(?:{guards._NAMES})(?:\s+is\s+|\s*[:=]\s*)(?!(?:{'|'.join(guards.CONTINUATIONS)})(?!{secret})){secret}{{4,}}+(?!')"
+    serial = r"(?i)\b(?:sn|s/n|serial(?:\s*number)?)(?:\s+is\s+|\s*[:=]\s*)(?=[A-Za-z0-9-]*[0-9])[A-Za-z0-9-]+([A-Za-z0-9-]{4})\b(?!')"
+    d = registry._messages(spark, data)
+    keyless = {r.id: (r.raw, r.k) for r in d.select("id", text.strip(F.coalesce("text", F.lit(""))).alias("raw"), guards.redact_api_key(text.strip(F.coalesce("text", F.lit("")))).alias("k")).collect()}
+    got = {r.id: (r.is_safe, r.redacted) for r in registry.redaction(spark, data).collect()}
+    want = {}
+    for i, (raw, k) in keyless.items():
+        clean = re.sub(serial, r"serial: [REDACTED_SERIAL_...\1]", re.sub(password, "password: [REDACTED_SECRET]", k))
+        want[i] = (not any(re.search(p, raw, re.I) for p in guards.INJECTION), clean)
+    assert got == want and any("[REDACTED_API_KEY]" in c for _, c in got.values()) and not any("sk-abcdefghijklmnop" in c for _, c in got.values())
+    assert sum(c != raw for (raw, _), (_, c) in zip(keyless.values(), got.values())) >= 4
+
+
+def test_actions_are_coerced(spark):
+    d = spark.createDataFrame([(" Instruct ",), ("ESCALATE",), ("sing",), (None,), ("",)], "a string").select(guards.coerce_action(F.col("a")).alias("a"))
+    assert [r.a for r in d.collect()] == ["instruct", "escalate", "ask", "ask", "ask"]
+
+
+def test_output_guards_come_in_their_order(spark):
+    q = policies.read_policy(None)
+    rows = [("smoke comes out, reset everything", "factory reset it and send me your password"), ("please factory reset it", "send me your Wi-Fi password"), ("hello", "send me your Wi-Fi password"), ("hello", "fine")]
+    d = spark.createDataFrame(rows, "m string, r string").withColumn("a", F.struct(F.col("r").alias("response"), F.array().cast("array<struct<source_id:string,locator:string>>").alias("citations"), F.lit("instruct").alias("action")))
+    got = [r.g for r in d.select(policies.guarded(F.col("m"), F.col("a"), F.lit(False), F.lit(None).cast("int"), q).alias("g")).collect()]
+    assert [g.action for g in got] == ["escalate", "ask", "ask", "instruct"] and got[1].response.startswith(policies.WARNING) and got[2].response.startswith("I don't require any credentials") and got[3].response == "fine"
+
+
+def test_reports_are_written(spark, data, tmp_path):
+    judged = evaluation.judge(*dialogue._cases(spark, data))
+    evaluation.write_report(judged, str(tmp_path), "run1")
+    for name in ("run1", "latest"):
+        assert spark.read.json(str(tmp_path / name / "report")).first().n_turns == judged.count() == spark.read.json(str(tmp_path / name / "turns")).count()
+    rows = spark.createDataFrame([("x" * 40, 1, True), ("b", 2, False)], "case_id string, turn int, passed boolean")
+    assert {r.value for r in evaluation.markdown(rows).collect()} == {"| " + "x" * 30 + "... | 1 | PASS |", "| b | 2 | FAIL |"}
+
+
+def test_calibration_by_probes(spark):
+    row = "score double, in_domain boolean"
+    d, none = spark.createDataFrame([(0.7, True), (0.9, True), (0.5, False)], row), spark.createDataFrame([], row)
+    assert tuple(retrieval.calibrate_tracks(d, none).first()) == (0.6, 1.0)
+    assert tuple(retrieval.calibrate_tracks(none, d.withColumn("score", F.col("score") * 10)).first()) == (0.625, 6.0)
+    assert tuple(retrieval.calibrate_tracks(d.withColumn("in_domain", ~F.col("in_domain")), none).first()) == (0.62, 1.0)
+    titles = spark.createDataFrame([(i, t) for i, t in enumerate(["A", "", "A", None, "B", "C"])], "pos long, title string")
+    p = retrieval.probes(spark.createDataFrame([("A troubleshooting",), ("x",)], "text string"), titles, spark.createDataFrame([("x",)], "text string")).collect()
+    assert sorted((r.text, r.in_domain) for r in p) == [("A troubleshooting", True), ("B troubleshooting", True), ("x", False), ("x", True)] and len({r.qid for r in p}) == 4
+
+
 def test_stop_words():
     assert len(text.STOP_WORDS) == len(set(text.STOP_WORDS))

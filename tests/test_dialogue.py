@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestead.functions import guards, policies, progressive
 from lodestead.operators import grounding, index, retrieval, sessions, turns
-from lodestead.plans import dialogue, registry
+from lodestead.plans import dialogue, indexes, registry
 from lodestead.streaming import keyed, requests
 from lodestead.streaming import sessions as streaming
 
@@ -122,6 +122,15 @@ def test_turn_fold_equals_plain_python_in_batch_and_stream(spark, data):
     assert sorted(map(tuple, rows.values()), key=repr) == sorted(map(tuple, dialogue.stream_turn_fold(spark, data).collect()), key=repr)
 
 
+def test_the_fold_judges_its_own_answers(spark, data):
+    q, machines, kept, turns_ = policies.read_policy(None), {}, 0, 0
+    for r in dialogue._answered(spark, data).withColumn("m", guards.inspect(F.col("message"))).orderBy("session_id", "turn").collect():
+        _, action, _ = machines.setdefault(r.session_id, Machine(q)).turn(r.m.asDict(), r.answer.asDict())
+        kept, turns_ = kept + (action == r.answer.action), turns_ + 1
+    got = indexes.eval_fold(spark, data).first()
+    assert got.n_turns == turns_ and got.actions == round(100 * kept / turns_, 6) and 0 < kept < turns_
+
+
 def test_a_batch_that_is_run_again_counts_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, "ab"), (1, 1, "c"), (2, 0, None)], "conv_id long, turn long, text string")
     root = str(tmp_path / "root")
