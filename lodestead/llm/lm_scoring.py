@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import discard, hash_words, materialize, pieces, ragged, table, text_bytes
+from lodestead.llm.common import discard, hash_words, materialize, pieces, ragged, small_batches, table, text_bytes
 
 HEAD, VOCABULARY, CLASSES, HIDDEN = 131_072, 2046, 32, 16
 WINDOW, LANES, UPDATES, RATE, ROUNDS = 32, 256, 120, 0.02, 2
@@ -381,6 +381,7 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
 
 def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", learn_from: Column | None = None) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10)."""
+    small_batches(docs.sparkSession)
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     out = held_out(key) if learn_from is None else ~learn_from
     d = docs.select(F.col(key).alias("key"), out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import anew, components, discard, hash_words, materialize, mix, named, pieces, ragged, table, text_bytes
+from lodestead.llm.common import anew, components, discard, hash_words, materialize, mix, named, pieces, ragged, small_batches, table, text_bytes
 
 LEVELS = (1, 2, 4)
 FREQUENT, HOT_MAX = 64, 100_000
@@ -183,6 +183,7 @@ def _named(d: DataFrame, cc: DataFrame) -> DataFrame:
 def links(docs: DataFrame, size: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(sets, classes): sets has doc, n (set size), rep (smallest document with an equal set);
     classes has node, component for each representative that links with another."""
+    small_batches(docs.sparkSession)
     t = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     form = "doc long, n long, s1 long, s2 long, prefix array<long>"
     sets = materialize(t.mapInArrow(_measure(size, percent), form), "sets")

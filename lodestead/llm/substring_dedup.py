@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import anew, discard, hash_words, materialize, mix, pieces, spans, table, text_bytes
+from lodestead.llm.common import anew, discard, hash_words, materialize, mix, pieces, small_batches, spans, table, text_bytes
 
 LENGTH, SEED = 20, 6
 _U = np.uint64
@@ -130,6 +130,7 @@ def _first(rows: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document with repeats: doc and its extents (lo, hi: words from 0, hi excluded), which may overlap."""
+    small_batches(docs.sparkSession)
     t = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     all_ = materialize(t.mapInArrow(_anchors(length, seed), _ROW), "anchors")
     often = all_.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
@@ -165,6 +166,7 @@ def _cut(batches):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept, the words that stay joined by one space."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ext = repeats(docs, length, seed, text, key).withColumnRenamed("doc", "doc_id")
     return d.join(ext, "doc_id", "left").select("doc_id", "text", "extents").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
