@@ -205,6 +205,26 @@ def test_decontamination_recall_at_the_largest_distance(n):
     assert found >= 0.993 * 1200
 
 
+@pytest.mark.parametrize("n", [65, 100, 200, 300])
+def test_decontamination_finds_long_items_wherever_the_edits_are(n):
+    rng, e = random.Random(n), decontamination.edits_allowed(n, decontamination.MAX_EDITS)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(20_000)}"
+    items = [[word() for _ in range(n)] for _ in range(60)]
+    x = decontamination.Items(list(range(60)), [" ".join(w) for w in items], decontamination.MAX_EDITS)
+
+    def at(places, words):
+        return [word() if i in places else w for i, w in enumerate(words)]
+
+    forms = [
+        lambda w: at(set(rng.sample(range(n), e)), w), lambda w: at(set(rng.sample(range(64), min(e, 64))), w), lambda w: [word() for _ in range(e)] + w[e:], lambda w: w[:-e] + [word() for _ in range(e)],
+        lambda w: w[e:], lambda w: w[:-e], lambda w: w[: n // 2] + w[n // 2 + e :], lambda w: w[: n // 2] + [word() for _ in range(e)] + w[n // 2 :],
+    ]
+    for f in forms:
+        texts = [" ".join([*(word() for _ in range(rng.randrange(150))), *f(w), *(word() for _ in range(20))]) for w in items]
+        got = decontamination.find(x, pa.array(texts))
+        assert len({d for d, i, *_ in got if d == i}) >= 0.99 * 60 and all(d == i and edits <= e for d, i, _, _, edits in got)
+
+
 def test_bpe_equals_tiktoken(spark, data, odd, none):
     import public_tokenizers as P
     import tiktoken
