@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import pieces, small_batches, table
+from lodestead.llm.common import discard, materialize, pieces, small_batches, table
 
 LEARN_FROM, LEXICON, LEAST_TOXIC, LEAST_ODDS, CONTEXT = 20_000, 1_000, 6, 3.0, 8
 CLEAN_ODDS, NOISE, MISSPELLED = -0.5, 0.001, 0.7
@@ -199,7 +199,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_FROM) -> tuple[t
     small_batches(docs.sparkSession)
     y = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    d = docs.join(F.broadcast(y), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).persist()
+    d = docs.join(F.broadcast(y), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    d = materialize(d, "labelled")
     try:
         total = {r.toxic: r.n for r in d.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         pos, neg = total.get(1, 0), total.get(0, 0)
@@ -218,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_FROM) -> tuple[t
         lexicon = (terms, [float(r.o) for r in top], sorted(clean), sorted(t for t, n in noise.items() if n - np.sqrt(n) > NOISE * neg))
         x = measure(d, lexicon, ["toxic", "doc_id"]).orderBy("doc_id").toPandas()
     finally:
-        d.unpersist()
+        discard(d)
     a = np.column_stack([np.ones(len(x)), x[list(FEATURES)].to_numpy()])
     t, beta, ridge = x["toxic"].to_numpy(float), np.zeros(a.shape[1]), 0.5 * np.eye(a.shape[1])
     ridge[0, 0] = 1e-3
