@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lodestead.functions import guards
 from lodestead.functions.text import any_match, let, strip
 
+# Surfaces of software, and patterns whose matches decide the results.
 _SURFACE = r"(?:app|apps|application|settings?|console|dashboard|software|portal|page|interface|ui|admin)"
-# Patterns whose matches decide the results.
 DANGER = (
     r"\bopen(?:ing|ed)?\s+(?:up\s+)?(?:the\s+|my\s+|your\s+|a\s+|an\s+|this\s+|that\s+)?(?:router|gateway|node|unit|device|adapter)\b(?!(?:'s)?\s+" + _SURFACE + r"\b)",
     r"\bopen(?:ing|ed)?\s+(?:up\s+)?(?:the|its|my|your|this|that)\s+(?:(?!support\b|ticket\b)\w+\s+){0,2}?(?:case|casing|cover|enclosure|housing|shell|chassis)\b",
@@ -27,12 +27,12 @@ DANGER = (
     r"\b(?:pry|crack)\s+(?:it\s+)?open\b",
     r"\bremove\s+(?:the\s+)?(?:cover|casing|housing|back\s*plate)\b",
 )
+# Names of secrets, requests for one, and the negations before them that make them advice.
 _SECRETS = (
     r"(?:passwords?\b|passcodes?\b|passphrases?\b|(?:wi[-\s]?fi|network|wpa2?|security|api|secret|private|admin|account|login|encryption|recovery)\s+keys?\b|"
     r"credit\s+cards?(?:\s+numbers?)?\b|payment\s+(?:info(?:rmation)?|details?)\b|(?:full|entire|complete|whole)\s+serial(?:\s+numbers?)?\b)"
 )
 _FILLER = r"(?:\w+[-']?\w*\s+)"
-# Requests for a secret, and the negations before them that make them advice.
 SOLICITATION = (
     r"\b(?:enter|provide|type|give|send|share|tell|paste|input|supply|confirm|text|email)\s+(?:me\s+|us\s+)?" + _FILLER + r"{0,4}?" + _SECRETS
     + r"(?!\s+(?:in|into|on)\s+(?:the|your)\s+(?:app|application|router|device|phone|laptop|browser|portal|settings))",
@@ -42,8 +42,8 @@ SOLICITATION = (
 )
 NEGATION = r"\b(?:never|don'?t|do\s+not|won'?t|will\s+not|shouldn'?t|should\s+not|no\s+need\s+to|not|without|avoid)\b"
 LOOK_BACK = 40
+# Names of a reset, requests for one, proposals of one, and insistence on it.
 _RESET = r"(?:factory[-\s]+reset|factory\s+restore|full[-\s]+reset|hard[-\s]+reset)"
-# Requests for a reset, proposals of one, and insistence on it.
 RESET_REQUEST = (
     r"\b(?:how\s+do\s+i|how\s+can\s+i|how\s+to|i\s+(?:want|need|would\s+like)\s+(?:you\s+to|to)|i'?d\s+like\s+to|should\s+i|can\s+i|could\s+i|may\s+i|going\s+to|about\s+to|let'?s|please)\s+"
     r"(?:just\s+|go\s+ahead\s+and\s+)?(?:do\s+(?:a|the)\s+|perform\s+(?:a|the)\s+|run\s+(?:a|the)\s+|try\s+(?:a|the)\s+|start\s+(?:a|the)\s+)?(?:" + _RESET + r"|reset)\b",

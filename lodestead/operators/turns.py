@@ -17,7 +17,7 @@ from lodestead.functions.text import any_match, let
 WINDOW = 8
 MESSAGE = "struct<role:string,content:string>"
 STATE = f"struct<pending:string,confirmed:boolean,model:string,steps:array<string>,turns:int,resolved:boolean,escalated:boolean,window:array<{MESSAGE}>,version:int>"
-#: What points to another way while a reset waits for its confirmation.
+# What points to another way while a reset waits for its confirmation, and what names a reset.
 OTHER_WAYS = ("anything else", "try before", "alternative", "before wiping", "before resetting")
 _RESET_WORDS = ("factory reset", "full reset", "reset everything")
 
