@@ -194,7 +194,7 @@ def batch_turn_fold(s, d):
 
 
 def stream_session_fold(s, d):
-    return streaming.running_counts(streaming.read_stream(s, d, "conversations*.parquet"), s).select("conv_id", "n_turns", "last_turn", "n_chars")
+    return streaming.running_counts(streaming.read_stream(s, d, "conversations*.parquet", 16), s).select("conv_id", "n_turns", "last_turn", "n_chars")
 
 
 def _request_lines(s, d) -> DataFrame:

@@ -81,6 +81,8 @@ def running_counts(stream: DataFrame, spark: SparkSession, root: str | None = No
 
 
 def read_stream(spark: SparkSession, path: str, pattern: str, files: int = 1) -> DataFrame:
-    """The matching Parquet files of a folder as a stream, so many files a batch."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(path)
+    """The matching Parquet files of a folder as a stream, so many files a batch; a matching folder counts with the files in it,
+    as a table is one file or a folder of parts."""
+    matching = f"{path}/{pattern}"
+    schema = spark.read.parquet(matching).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(matching)

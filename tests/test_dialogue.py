@@ -360,3 +360,10 @@ def test_requests_and_lifecycle(spark):
     old = spark.createDataFrame([("s", 1.0), ("t", 2.0)], "session_id string, created_at double")
     assert [r.session_id for r in sessions.newest_first(old).collect()] == ["t", "s"]
     assert sessions.clear(old).count() == 0 and sessions.clear(old, old.limit(1)).count() == 1
+
+
+def test_a_stream_reads_a_table_that_is_a_folder_of_parts(spark, tmp_path):
+    turns = spark.createDataFrame([(i % 3, i, "user", "x" * i) for i in range(9)], "conv_id long, turn long, role string, text string")
+    turns.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {tuple(r) for r in dialogue.stream_session_fold(spark, str(tmp_path)).collect()}
+    assert got == {(0, 3, 6, 9), (1, 3, 7, 12), (2, 3, 8, 15)}
