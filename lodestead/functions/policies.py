@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestead.functions import guards
-from lodestead.functions.text import any_match, let, strip
+from lodestead.functions.text import any_case, any_match, let, strip
 
 # Surfaces of software, and patterns whose matches decide the results.
 _SURFACE = r"(?:app|apps|application|settings?|console|dashboard|software|portal|page|interface|ui|admin)"
@@ -89,7 +89,7 @@ QUOTES = {
 
 def first_match(text: Column, patterns: tuple[str, ...] | list[str]) -> Column:
     """What the first of the patterns that occurs matches first, case-insensitive; null if none occurs."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), f"(?i){p}", 0), F.lit("")) for p in patterns])
+    return F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), any_case(p), 0), F.lit("")) for p in patterns])
 
 
 def unless_negated(text: Column, pattern: str) -> Column:

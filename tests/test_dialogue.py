@@ -367,3 +367,14 @@ def test_a_stream_reads_a_table_that_is_a_folder_of_parts(spark, tmp_path):
     turns.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
     got = {tuple(r) for r in dialogue.stream_session_fold(spark, str(tmp_path)).collect()}
     assert got == {(0, 3, 6, 9), (1, 3, 7, 12), (2, 3, 8, 15)}
+
+
+def test_words_end_where_sql_lets_them_end(spark, tmp_path):
+    from conftest import same
+    from lodestead.plans import registry
+
+    said = ["Yesó a", "ñno", "pro gatewayé", "étan r1", "a yes b", "yesterday", "go\x0bahead", "is smokeñ", "elñwarranty claim", "you are now", "éon fire"]
+    rows = [(i, 0, "assistant", x) for i, x in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for name, plans in (("slots", registry), ("guard_flags", registry), ("first_terms", dialogue), ("reset_check", dialogue)):
+        assert same(spark, plans.QUERIES[name], plans.ORACLES[name], tmp_path)
