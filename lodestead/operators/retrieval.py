@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestead.functions.text import let, tokens
+from lodestead.functions.text import tokens
+from lodestead.operators import nearest
 
 K1, B, RRF = 1.5, 0.75, 60
-#: Rows of a query set that is broadcast at once; a larger one is worked off in blocks.
-QUERY_BLOCK = 2_000
 
 
 def term_freq(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,30 +109,15 @@ def hybrid(dense_hits: DataFrame, lexical_hits: DataFrame, queries: DataFrame, d
     return fused.join(docs, "doc")
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-
-def unit(vector: Column) -> Column:
-    """The vector scaled to length 1, as doubles; one of length 0 stays."""
-    v = vector.cast("array<double>")
-    return let(F.sqrt(_dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 4, floor: float | None = None, key: str = "vec_id") -> DataFrame:
-    """qid, doc, score, rank: exact cosine of a stated query set against all rows, in blocks of QUERY_BLOCK queries."""
-    n = queries.count()
-    blocks, out = max(1, -(-n // QUERY_BLOCK)), None
-    # lengths are divided out once a vector, not once a pair
-    q = queries.select(F.col(key).alias("qid"), unit(F.col("embedding")).alias("q"))
-    rows = vectors.select(F.col(key).alias("doc"), unit(F.col("embedding")).alias("v"))
-    for i in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        s = rows.join(F.broadcast(part), F.col("doc") != F.col("qid")).select("qid", "doc", _dot(F.col("q"), F.col("v")).alias("score"))
-        s = s if floor is None else s.where(F.col("score") >= floor)
-        s = top(s, ["qid"], "score", "doc", k)
-        out = s if out is None else out.unionByName(s)
-    return out.select("qid", "doc", F.round("score", 6).alias("score"), "rank")
+    """qid, doc, score, rank: exact cosine of a stated query set against all rows. Rows with a null key, vector or element find
+    nothing and aren't found."""
+    rows = lambda d: d.select(F.col(key).cast("long").alias("key"), F.col("embedding").alias("v")).where("key IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)").withColumn("size", F.size("v"))
+    n_groups, n_chunks = nearest.groups(vectors.sparkSession, vectors.count(), queries.count())
+    held = rows(vectors).withColumns({"group": F.pmod(F.xxhash64("key"), F.lit(n_groups)).cast("int"), "cell": F.lit(0)})
+    asked = rows(queries).withColumns({"group": F.lit(None).cast("int"), "cells": F.lit(None).cast("array<int>")})
+    met = nearest.meet(held, asked, n_groups, n_chunks, k, floor)
+    return top(met, ["qid"], "score", "doc", k).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 def rrf(tracks: list[DataFrame], k: int = 4, threshold: float | None = None, constant: int = RRF) -> DataFrame:

@@ -142,3 +142,26 @@ def test_old_tables_open_under_new_schemas(spark, tmp_path):
     assert {(r.name, r.columns, r.n_rows) for r in snapshots.listing(snap).collect()} == {("t", "k,v,n", 2), ("u", "x", 0)}
     assert snapshots.ensure(spark, root, {"t": schema("k string")}) == {"t": "remade"} and snapshots.snapshot(spark, root).read("t").count() == 0
     assert snapshots.listing(snapshots.snapshot(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_exact_search_in_groups_and_chunks_is_that_of_all_pairs(spark, monkeypatch):
+    from lodestead.operators import nearest
+
+    monkeypatch.setattr(nearest, "CHUNK", 7)
+    monkeypatch.setattr(nearest, "GROUP", 40)
+    monkeypatch.setattr(nearest, "BATCH", 16)
+    monkeypatch.setattr(nearest, "STRIP", 3)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 8)).round(1)
+    x[100:180] = x[0]  # copies: equal scores go by the smaller id
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [None] * 8), (902, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    for k, floor in ((5, None), (3, 0.5)):
+        want = set()
+        for i in range(0, 400, 20):
+            s = u @ u[i]
+            best = sorted((-round(s[j], 6), j) for j in range(400) if j != i and (floor is None or s[j] >= floor))[:k]
+            want |= {(i, j, -r, n + 1) for n, (r, j) in enumerate(best)}
+        d = retrieval.dense(rows, rows.where("vec_id % 20 = 0"), k, floor)
+        assert {(r.qid, r.doc, round(r.score, 6), r["rank"]) for r in d.collect()} == want
+    assert "NestedLoop" not in d._jdf.queryExecution().executedPlan().toString()
