@@ -1,9 +1,9 @@
 """Approximate dense search: vectors in cells around fitted centroids, searched by a join on the cells next to each query.
 
-The centroids come from a bounded sample (LEARN_FROM vectors, those of least hash), every vector is in the index. Vectors lie in
-blocks of one cell; a query meets, in an equi-join on the cell, the blocks of the `probes` cells closest to it, and the exact
-cosine of both is computed block against block, so no pair of vectors is ever a row. Blocks bound what a task holds at once; a
-cell that many vectors share has many blocks, in several files, and a join that Spark can split. How many cells a query must look
+The centroids come from a bounded sample (LEARN_FROM vectors, about, those of least hash), every vector is in the index. Vectors
+lie in blocks of one cell; a query meets the vectors of the `probes` cells closest to it, matrix against matrix
+(operators.nearest), so no pair of vectors is ever a row. Cells are dealt out to groups, a query goes once to each group that has
+some of its cells, and a cell's vectors are dealt to SPREAD tasks, as many may share it. How many cells a query must look
 into is measured on the sample, by where its own nearest neighbours lie: directions without clusters need many, others few.
 """
 
@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestead.operators import nearest
+from lodestead.operators.nearest import matrix as _matrix
+from lodestead.operators.nearest import unit as _unit
 from lodestead.operators.retrieval import top
 from lodestead.sources import snapshots
 from lodestead.sources.snapshots import Snapshot
@@ -22,11 +25,8 @@ from lodestead.sources.snapshots import Snapshot
 LEARN_FROM, CELLS, ROUNDS, BLOCK = 20_000, 1_024, 12, 256
 #: How many of the sample's vectors ask for how many neighbours each, and the share to find, when the number of probes is chosen.
 ASKED, NEIGHBOURS, TARGET = 500, 10, 0.95
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.sqrt((x * x).sum(1, keepdims=True))
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+#: Tasks that the vectors of one cell are dealt to in a search.
+SPREAD = 4
 
 
 def fit(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -47,18 +47,15 @@ def probes_for(sample: np.ndarray, centroids: np.ndarray, target: float = TARGET
     """The fewest closest cells that hold this share of the sample's nearest neighbours, asked from ASKED of its vectors."""
     x = _unit(sample)
     asked = x[:: max(1, len(x) // ASKED)][:ASKED]
-    near = np.argsort(-(asked @ x.T), 1, kind="stable")[:, 1 : NEIGHBOURS + 1]
+    near = np.concatenate([np.argsort(-(asked[i : i + 20] @ x.T), 1, kind="stable")[:, 1 : NEIGHBOURS + 1] for i in range(0, len(asked), 20)])
     order = np.argsort(-(asked @ centroids.T), 1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
-    needed = np.take_along_axis(place, (x @ centroids.T).argmax(1)[near], 1) + 1
+    own = np.concatenate([(x[i : i + 1_000] @ centroids.T).argmax(1) for i in range(0, len(x), 1_000)])
+    needed = np.take_along_axis(place, own[near], 1) + 1
     return int(np.quantile(needed, target, method="higher")) if needed.size else 1
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-
-
 def _blocks(keys: str):
     """Rows (cell, key, v) that come by cell as blocks (cell, keys, data) of BLOCK vectors, the data as float64."""
 
@@ -85,22 +82,39 @@ def _blocks(keys: str):
     return run
 
 
-def _placed(rows: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
-    """key, v, cell: each vector once for each of its `probes` closest cells."""
+def _placed(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """key, v, cell: each vector with its closest cell."""
 
     def run(batches):
         for b in batches:
-            x = _unit(_matrix(b.column("v")))
-            if not len(x):
-                continue
-            near = x @ centroids.T
-            cells = np.argsort(-near, 1, kind="stable")[:, :probes] if probes > 1 else near.argmax(1)[:, None]
-            again = pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))
-            yield pa.RecordBatch.from_arrays([b.column("key").take(again), b.column("v").take(again), pa.array(cells.ravel().astype(np.int32))], ["key", "v", "cell"])
+            if b.num_rows:
+                cell = (_unit(_matrix(b.column("v"))) @ centroids.T).argmax(1)
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("v"), pa.array(cell.astype(np.int32))], ["key", "v", "cell"])
 
     return rows.mapInArrow(run, "key long, v array<double>, cell int")
 
 
+def _asked(rows: DataFrame, centroids: np.ndarray, probes: int, parts: int) -> DataFrame:
+    """key, v (its doubles' bytes), part, cells: each vector once for each part of the cells (the cell's number modulo parts) that
+    has some of its `probes` closest ones, and these."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column("v"))
+            cells = np.argsort(-(_unit(x) @ centroids.T), 1, kind="stable")[:, :probes].astype(np.int32)
+            data = pa.array([v.tobytes() for v in x], pa.binary())
+            for part in range(parts):
+                mine = cells % parts == part
+                size = mine.sum(1)
+                at = pa.array(np.flatnonzero(size))
+                ends = pa.array(np.concatenate([[0], np.cumsum(size[size > 0])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("key").take(at), data.take(at), pa.array(np.full(len(at), part, np.int32)), pa.ListArray.from_arrays(ends, pa.array(cells[mine]))], ["key", "v", "part", "cells"])
+
+    return rows.mapInArrow(run, "key long, v binary, part int, cells array<int>")
+
+
 def _rows(vectors: DataFrame, key: str, dimension: int | None = None) -> DataFrame:
     """key and v; rows with a null key or vector, or with another dimension than the index has, are left out."""
     d = vectors.select(F.col(key).cast("long").alias("key"), F.col("embedding").cast("array<double>").alias("v")).where("key IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
@@ -109,7 +123,7 @@ def _rows(vectors: DataFrame, key: str, dimension: int | None = None) -> DataFra
 
 def _table(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    d = _placed(rows, centroids, 1).repartition("cell", F.pmod(F.xxhash64("key"), F.lit(parts))).sortWithinPartitions("cell")
+    d = _placed(rows, centroids).repartition("cell", F.pmod(F.xxhash64("key"), F.lit(parts))).sortWithinPartitions("cell")
     return d.mapInArrow(_blocks("docs"), "cell int, docs array<long>, data binary")
 
 
@@ -119,9 +133,12 @@ def build(spark: SparkSession, root: str, vectors: DataFrame, key: str = "vec_id
     if size is None:
         return snapshots.update(spark, root, lambda base: {"note": {"centroids": [], "dimension": 0, "probes": 0}})
     rows = _rows(vectors, key, size.d)
-    sample = rows.orderBy(F.xxhash64("key"), "key").limit(LEARN_FROM).select("v").toPandas()["v"]
+    # the least hashes by a bound on them, so that no more than the sample reaches the driver
+    bound = int(min(1.0, LEARN_FROM / size["count"]) * 2.0**64) - 2**63
+    few = rows.withColumn("h", F.xxhash64("key")).where(F.col("h") <= min(bound, 2**63 - 1)).select("h", "key", "v").toArrow()
+    few = few.sort_by([("h", "ascending"), ("key", "ascending")]).column("v").combine_chunks()
+    sample = _matrix(few)
     n = cells or min(CELLS, len(sample), max(1, round(size["count"] ** 0.5)))
-    sample = np.array(sample.tolist(), np.float64)
     c = fit(sample, n)
     return snapshots.update(spark, root, lambda base: {"replace": {"blocks": _table(rows, c)}, "partitions": {"blocks": ["cell"]}, "note": {"centroids": c.tolist(), "dimension": size.d, "probes": probes_for(sample, c)}})
 
@@ -141,30 +158,17 @@ def search(snap: Snapshot, queries: DataFrame, k: int = 4, probes: int | None =
     c, d = np.array(snap.note["centroids"]), snap.note["dimension"]
     if not d:
         return snap.spark.createDataFrame([], "qid long, doc long, score double, rank int")
-    asked = _placed(_rows(queries, key, d), c, probes or snap.note["probes"]).repartition("cell").sortWithinPartitions("cell").mapInArrow(_blocks("qids"), "cell int, qids array<long>, data binary")
-
-    def meet(batches):
-        for b in batches:
-            ids, docs, scores = [], [], []
-            for qids, q, keys, v in zip(*(b.column(i) for i in range(4))):
-                q, v = (_unit(np.frombuffer(x.as_py(), np.float64).reshape(-1, d)) for x in (q, v))
-                qids, keys = np.array(qids.as_py()), np.array(keys.as_py())
-                s = q @ v.T
-                rank = np.round(s, 6)
-                if not itself:
-                    rank[qids[:, None] == keys[None, :]] = -2
-                best = np.lexsort((np.broadcast_to(keys, s.shape), -rank), axis=1)[:, :k]
-                of = np.repeat(np.arange(len(qids)), best.shape[1])
-                at = best.ravel()
-                ok = rank[of, at] > -2
-                ids.append(qids[of[ok]])
-                docs.append(keys[at[ok]])
-                scores.append(s[of[ok], at[ok]])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, docs, scores)], ["qid", "doc", "score"])
-
-    blocks = snap.read("blocks").select("cell", "docs", F.col("data").alias("held"))
-    met = asked.join(blocks, "cell").select("qids", "data", "docs", "held").mapInArrow(meet, "qid long, doc long, score double")
+    blocks = snap.read("blocks").select("cell", "docs", "data")
+    held = blocks.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0]
+    wanted = _rows(queries, key, d)
+    n_groups, n_chunks = nearest.groups(snap.spark, held, wanted.count())
+    parts = max(1, min(n_groups // SPREAD, len(c)))
+    group = lambda part, share: (part * SPREAD + share).cast("int").alias("group")
+    rows = blocks.select("cell", "data", F.posexplode("docs").alias("i", "key"))
+    rows = rows.select(group(F.col("cell") % parts, F.pmod(F.xxhash64("key"), F.lit(SPREAD))), "cell", "key", F.lit(d).alias("size"), F.substring("data", F.col("i") * (8 * d) + 1, F.lit(8 * d)).alias("v"))
+    asked = _asked(wanted, c, probes or snap.note["probes"], parts).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    asked = asked.select(group(F.col("part"), F.col("share")), "cells", "key", F.lit(d).alias("size"), "v")
+    met = nearest.meet(rows, asked, parts * SPREAD, n_chunks, k, itself=itself)
     return top(met, ["qid"], "score", "doc", k).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
 
 

@@ -165,3 +165,21 @@ def test_exact_search_in_groups_and_chunks_is_that_of_all_pairs(spark, monkeypat
         d = retrieval.dense(rows, rows.where("vec_id % 20 = 0"), k, floor)
         assert {(r.qid, r.doc, round(r.score, 6), r["rank"]) for r in d.collect()} == want
     assert "NestedLoop" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_query_goes_to_a_part_of_the_cells_once(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(300, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, v array<double>")
+    sent = vectors._asked(rows, vectors._unit(x[:40]), 30, 2).collect()
+    assert len(sent) <= 600 and {len(set(r.cells)) for r in sent} != {1}
+    assert all(len({c for r in sent if r.key == i for c in r.cells}) == 30 for i in range(5)) and all(c % 2 == r.part for r in sent for c in r.cells)
+
+
+def test_the_sample_of_centroids_is_bounded_before_it_is_gathered(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "LEARN_FROM", 300)
+    x, seen = np.random.default_rng(4).normal(size=(2_000, 4)), []
+    fit = vectors.fit
+    monkeypatch.setattr(vectors, "fit", lambda sample, n: seen.append(len(sample)) or fit(sample, n))
+    spark.sparkContext.setJobGroup("sample", "sample")
+    vectors.build(spark, str(tmp_path / "v"), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert seen and 200 < seen[0] < 400 and seen[0] != 300  # a bound on the hashes, not an ordered limit in the driver
