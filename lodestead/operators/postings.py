@@ -16,33 +16,38 @@ from pyspark.sql import functions as F
 from lodestead.functions.text import tokens
 from lodestead.operators.retrieval import B, K1, idf, top
 from lodestead.sources import snapshots
-from lodestead.sources.shared import scratch
 from lodestead.sources.snapshots import Snapshot
 
 #: Documents to a partition of docs and of postings, and how many partitions there are at most: so many numbers are gathered
 #: to say which ones a query reads. The number is chosen when an index is built, and noted in its versions.
 DOCS, MOST = 50_000, 4_096
+#: Terms of queries that are sent to all partitions of the postings, at most.
+SMALL = 100_000
 
 
 def bucket(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 
-def _documents(texts: DataFrame, seg: int, key: str, text: str, buckets: int) -> DataFrame:
-    """doc, seg, doc_len, terms (term, tf) and bucket of texts. Of rows that repeat a key one is taken."""
-    d = texts.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).where("doc IS NOT NULL").dropDuplicates(["doc"])
-    d = d.select("doc", F.size("t").cast("long").alias("doc_len"), F.sort_array("t").alias("s"))
+def _documents(texts: DataFrame, seg: int, key: str, text: str, buckets: int, repeats: bool = True) -> DataFrame:
+    """doc, seg, doc_len, terms (term, tf) and bucket of texts, dealt by bucket: the texts are shuffled, as they take less than
+    their terms. Of rows that repeat a key one is taken; repeats: whether there may be any."""
+    d = texts.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
+    d = d.dropDuplicates(["doc"]) if repeats else d
+    # sorted as texts, so that the terms needn't be sorted when they are written by bucket
+    d = _dealt(d.withColumn("bucket", bucket("doc", buckets)), "doc", buckets).sortWithinPartitions("bucket")
+    d = d.select("doc", "bucket", F.sort_array(tokens(F.col("text"))).alias("s")).withColumn("doc_len", F.size("s").cast("long"))
     # a sorted array's runs are the counts: each one ends where the next term differs
     ends = F.filter(F.transform("s", lambda w, i: F.struct(w.alias("term"), (i + 1).alias("at"), F.coalesce(F.get("s", i + 1) != w, F.lit(True)).alias("last"))), lambda x: x["last"])
     d = d.withColumn("e", ends)
     terms = F.transform("e", lambda x, i: F.struct(x["term"].alias("term"), (x["at"] - F.coalesce(F.get("e", i - 1)["at"], F.lit(0))).cast("long").alias("tf")))
-    return d.select("doc", F.lit(seg).alias("seg"), "doc_len", terms.alias("terms"), bucket("doc", buckets).alias("bucket"))
+    return d.select("doc", F.lit(seg).alias("seg"), "doc_len", terms.alias("terms"), "bucket")
 
 
 def _dealt(d: DataFrame, key: str, buckets: int) -> DataFrame:
-    """By bucket, each one in as many parts as fill the session's partitions."""
-    parts = max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
-    return d.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(parts)))
+    """By bucket, each one in as many parts as fill the session's partitions; parts are numbered, so no two share a partition."""
+    parts = max(1, -(-int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets))
+    return d.repartitionById(buckets * parts, (F.col("bucket") * parts + F.pmod(F.xxhash64(key), F.lit(parts))).cast("int"))
 
 
 def _postings(docs: DataFrame, buckets: int) -> DataFrame:
@@ -59,23 +64,15 @@ def _sums(docs: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
 _PARTS = {"postings": ["bucket"], "docs": ["bucket"]}
 
 
-def _made(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs, written once and read again, as several tables are derived from them."""
-    path = scratch(spark, "indexing")
-    docs.write.parquet(path)
-    return spark.read.schema(docs.schema).parquet(path)
-
-
 def build(spark: SparkSession, root: str, texts: DataFrame, key: str = "doc_id", text: str = "text") -> Snapshot:
     """The index of texts as the next version under root, in place of what there was."""
-
-    buckets = min(MOST, 1 + texts.count() // DOCS)
+    n = texts.agg(F.count(key).alias("all"), F.count_distinct(key).alias("some")).first()
+    buckets = min(MOST, 1 + n["all"] // DOCS)
 
     def change(base: Snapshot) -> dict:
-        docs = _made(spark, _documents(texts, base.version, key, text, buckets))
-        terms, stats = _sums(docs, 1)
-        dead = docs.select("doc", "seg").limit(0)
-        return {"replace": {"docs": _dealt(docs, "doc", buckets), "postings": _postings(docs, buckets), "terms": terms, "stats": stats, "dead": dead}, "partitions": _PARTS, "note": {"buckets": buckets}}
+        docs = _documents(texts, base.version, key, text, buckets, n["all"] > n["some"])
+        sums = lambda at: lambda made: _sums(made("docs"), 1)[at]
+        return {"replace": {"docs": docs, "postings": lambda made: _postings(made("docs"), buckets), "terms": sums(0), "stats": sums(1), "dead": docs.select("doc", "seg").limit(0)}, "partitions": _PARTS, "note": {"buckets": buckets}}
 
     return snapshots.update(spark, root, change)
 
@@ -96,13 +93,14 @@ def delta(spark: SparkSession, root: str, texts: DataFrame | None = None, remove
         old = live(base).where(F.col("bucket").isin(touched)).join(ids, "doc", "left_semi")
         terms, stats = _sums(old, -1)
         append = {"dead": old.select("doc", "seg")}
-        if texts is not None:
-            new = texts if removed is None else texts.join(removed.select(key), key, "left_anti")
-            docs = _made(spark, _documents(new, base.version, key, text, buckets))
-            more, counts = _sums(docs, 1)
-            terms, stats = terms.unionByName(more).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), stats.unionByName(counts)
-            append |= {"docs": _dealt(docs, "doc", buckets), "postings": _postings(docs, buckets)}
-        return {"append": append | {"terms": terms, "stats": stats}, "partitions": _PARTS}
+        if texts is None:
+            return {"append": append | {"terms": terms, "stats": stats}, "partitions": _PARTS}
+        new = texts if removed is None else texts.join(removed.select(key), key, "left_anti")
+        more = lambda made: _sums(made("docs"), 1)
+        append |= {"docs": _documents(new, base.version, key, text, buckets), "postings": lambda made: _postings(made("docs"), buckets)}
+        append["terms"] = lambda made: terms.unionByName(more(made)[0]).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        append["stats"] = lambda made: stats.unionByName(more(made)[1])
+        return {"append": append, "partitions": _PARTS}
 
     return snapshots.update(spark, root, change)
 
@@ -112,7 +110,8 @@ def compact(spark: SparkSession, root: str) -> Snapshot:
 
     def change(base: Snapshot) -> dict:
         docs, buckets = live(base).withColumn("seg", F.lit(base.version)), base.note["buckets"]
-        return {"replace": {"docs": _dealt(docs, "doc", buckets), "postings": _postings(docs, buckets), "terms": doc_freq(base), "stats": stats(base), "dead": docs.select("doc", "seg").limit(0)}, "partitions": _PARTS}
+        docs = _dealt(docs, "doc", buckets)
+        return {"replace": {"docs": docs, "postings": lambda made: _postings(made("docs"), buckets), "terms": doc_freq(base), "stats": stats(base), "dead": docs.select("doc", "seg").limit(0)}, "partitions": _PARTS}
 
     return snapshots.update(spark, root, change)
 
@@ -132,12 +131,17 @@ def search(snap: Snapshot, queries: DataFrame, k: int = 4, allowed: DataFrame |
     """qid, doc, score, rank by BM25 of queries (query_key, text) over the stored index; allowed (doc) limits what is found,
     not the statistics. Only the queries are tokenized, and only the partitions of their terms are read."""
     q = queries.select(F.col(query_key).alias("qid"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    read = [r[0] for r in q.select(bucket("term", snap.note["buckets"]).alias("b")).distinct().collect()]
+    counted = q.groupBy(bucket("term", snap.note["buckets"]).alias("b")).count().collect()
+    read, asked = [r[0] for r in counted], sum(r[1] for r in counted)
     wanted = q.select("term").distinct()
     n = stats(snap).select("n_docs", (F.col("total_tokens") / F.greatest("n_docs", F.lit(1))).alias("mean"))
     df = snap.read("terms").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     weights = df.where("df > 0").join(F.broadcast(n)).select("term", idf(F.col("df"), F.col("n_docs")).alias("idf"), "mean")  # one row of statistics
-    found = snap.read("postings").where(F.col("bucket").isin(read)).join(q.join(weights, "term"), "term").join(snap.read("dead"), ["doc", "seg"], "left_anti")
+    q = q.join(weights, "term")
+    # few terms go to the postings, which so needn't move; many are joined as they come
+    found = snap.read("postings").where(F.col("bucket").isin(read)).join(F.broadcast(q) if asked <= SMALL else q, "term")
+    if not snap.read("dead").isEmpty():
+        found = found.join(snap.read("dead"), ["doc", "seg"], "left_anti")
     if allowed is not None:
         found = found.join(allowed, "doc", "left_semi")
     s = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.greatest("mean", F.lit(1e-5))))

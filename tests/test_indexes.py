@@ -183,3 +183,16 @@ def test_the_sample_of_centroids_is_bounded_before_it_is_gathered(spark, tmp_pat
     spark.sparkContext.setJobGroup("sample", "sample")
     vectors.build(spark, str(tmp_path / "v"), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
     assert seen and 200 < seen[0] < 400 and seen[0] != 300  # a bound on the hashes, not an ordered limit in the driver
+
+
+def test_an_index_moves_texts_once_and_no_postings_for_few_query_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 7} v{i % 5} w{i % 7}") for i in range(60)], DOCS)
+    made = postings._documents(docs, 0, "doc_id", "text", 3, False)
+    made.write.format("noop").mode("overwrite").save()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    assert sorted((r.doc, r.doc_len, tuple(map(tuple, r.terms))) for r in made.collect())[3] == (3, 3, (("v3", 1), ("w3", 2)))
+    snap = postings.build(spark, str(tmp_path / "a"), docs)
+    plan = postings.search(snap, docs.limit(3), query_key="doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [term" in plan.replace("term#", "term") and "LeftAnti" not in plan
+    assert sorted(snapshots.snapshot(spark, str(tmp_path / "a")).tables) == ["dead", "docs", "postings", "stats", "terms"]
