@@ -45,9 +45,18 @@ def reset_check(s, d):
     return _said(s, d).select("id", kind.alias("kind"), F.coalesce(policies.reset_envelope(kind, policies.read_policy(None))["action"], F.lit("-")).alias("action"))
 
 
+_SECTIONS: dict[tuple[str, str], str] = {}
+
+
 def _sections(s, d) -> DataFrame:
-    x = index.sections(core._markdown(s, d).withColumn("source_id", F.concat(F.lit("page-"), F.col("source_id"))))
-    return x.select("source_id", F.col("section").cast("long").alias("pos"), "locator", "body")
+    """The sections of pages: parsed and stored by the first query that asks for them, read by all, as often as they need."""
+    key = s.sparkContext.applicationId, d
+    if key not in _SECTIONS:
+        x = index.sections(core._markdown(s, d).withColumn("source_id", F.concat(F.lit("page-"), F.col("source_id"))))
+        path = scratch(s, "sections")
+        x.select("source_id", F.col("section").cast("long").alias("pos"), "locator", "body").write.parquet(path)
+        _SECTIONS[key] = path
+    return s.read.schema("source_id string, pos long, locator string, body string").parquet(_SECTIONS[key])
 
 
 def _cited(s, d) -> DataFrame:

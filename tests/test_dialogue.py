@@ -378,3 +378,9 @@ def test_words_end_where_sql_lets_them_end(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     for name, plans in (("slots", registry), ("guard_flags", registry), ("first_terms", dialogue), ("reset_check", dialogue)):
         assert same(spark, plans.QUERIES[name], plans.ORACLES[name], tmp_path)
+
+
+def test_pages_are_parsed_once_for_all_that_read_their_sections(spark, data):
+    plan = dialogue.citation_repair(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "html" not in plan and "regexp_replace" not in plan.split("locator")[-1]
+    assert dialogue._sections(spark, data).inputFiles() == dialogue._sections(spark, data).inputFiles()
