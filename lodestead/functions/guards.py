@@ -5,41 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestead.functions.text import any_match, strip
+from lodestead.functions.text import Pattern, any_match, let, may_match, strip
 
-# Patterns whose matches decide the results.
+# Patterns whose matches decide the results, with their needles.
 INJECTION = [
-    r"\b(?:ignore|disregard|forget|override|bypass|skip)\s+(?:(?:all|any|your|the|these|those|previous|prior|above|earlier|original|initial|system|safety|current)\s+){0,3}(?:instructions?|prompts?|rules?|guidelines?|directives?|policies|programming|training|constraints?)\b",
-    r"\byou\s+are\s+now\b",
-    r"\bsystem\s+prompt\b",
-    r"\bjailbreak\b",
-    r"\bpretend\s+(?:to\s+be|you\s+are)\b",
+    Pattern(r"\b(?:ignore|disregard|forget|override|bypass|skip)\s+(?:(?:all|any|your|the|these|those|previous|prior|above|earlier|original|initial|system|safety|current)\s+){0,3}(?:instructions?|prompts?|rules?|guidelines?|directives?|policies|programming|training|constraints?)\b", "ignore", "disregard", "forget", "override", "bypass", "skip"),
+    Pattern(r"\byou\s+are\s+now\b", "now"),
+    Pattern(r"\bsystem\s+prompt\b", "prompt"),
+    Pattern(r"\bjailbreak\b", "jailbreak"),
+    Pattern(r"\bpretend\s+(?:to\s+be|you\s+are)\b", "pretend"),
 ]
 DAMAGE = [
-    r"\bsmoke\b|\bsmoking\b",
-    r"\bsparks?\b|\bsparking\b",
-    r"\bburn(?:ing|t)\s+smell\b|\bsmells?\s+(?:like\s+)?(?:burning|burnt|smoke)\b",
-    r"\bmelt(?:ed|ing)\b",
-    r"\bwater\s+damage\b|\bliquid\s+(?:spill\w*|exposure|damage)\b",
-    r"\bcracked\s+(?:housing|casing|case)\b",
-    r"\bcaught\s+fire\b|\bon\s+fire\b",
+    Pattern(r"\bsmoke\b|\bsmoking\b", "smok"),
+    Pattern(r"\bsparks?\b|\bsparking\b", "spark"),
+    Pattern(r"\bburn(?:ing|t)\s+smell\b|\bsmells?\s+(?:like\s+)?(?:burning|burnt|smoke)\b", "smell"),
+    Pattern(r"\bmelt(?:ed|ing)\b", "melt"),
+    Pattern(r"\bwater\s+damage\b|\bliquid\s+(?:spill\w*|exposure|damage)\b", "water", "liquid"),
+    Pattern(r"\bcracked\s+(?:housing|casing|case)\b", "cracked"),
+    Pattern(r"\bcaught\s+fire\b|\bon\s+fire\b", "fire"),
 ]
 FIRMWARE = [
-    r"\bopenwrt\b|\bdd-?wrt\b",
-    r"\b(?:custom|third[-\s]?party|unofficial)\s+firmware\b",
-    r"\bfirmware\s+(?:rollback|downgrade)\b",
-    r"\b(?:roll(?:\s|-)?back|downgrade)\s+(?:the\s+|my\s+)?firmware\b",
-    r"\b(?:re)?flash\s+(?:the\s+|my\s+|a\s+|new\s+|different\s+)?firmware\b",
+    Pattern(r"\bopenwrt\b|\bdd-?wrt\b", "wrt"),
+    Pattern(r"\b(?:custom|third[-\s]?party|unofficial)\s+firmware\b", "firmware"),
+    Pattern(r"\bfirmware\s+(?:rollback|downgrade)\b", "firmware"),
+    Pattern(r"\b(?:roll(?:\s|-)?back|downgrade)\s+(?:the\s+|my\s+)?firmware\b", "firmware"),
+    Pattern(r"\b(?:re)?flash\s+(?:the\s+|my\s+|a\s+|new\s+|different\s+)?firmware\b", "firmware"),
 ]
 WARRANTY = [
-    r"\bwarranty\s+(?:replacement|claim)\b",
-    r"\bclaim\s+(?:\w+\s+){0,2}?under\s+(?:the\s+)?warranty\b",
-    r"\breplace\s+(?:it|this|my\s+\w+)\s+under\s+warranty\b",
+    Pattern(r"\bwarranty\s+(?:replacement|claim)\b", "warranty"),
+    Pattern(r"\bclaim\s+(?:\w+\s+){0,2}?under\s+(?:the\s+)?warranty\b", "warranty"),
+    Pattern(r"\breplace\s+(?:it|this|my\s+\w+)\s+under\s+warranty\b", "warranty"),
 ]
 # Assent, refusal, and the names of models.
 YES = [r"\b(yes|yep|yeah|proceed|confirm|confirmed|sure|ok|okay|go\s+ahead|do\s+it)\b"]
 NO = [r"\b(no|cancel|stop|abort|don'?t|do\s+not|nevermind|never\s+mind|skip)\b"]
-MODELS = [("Pro", [r"\b(r5\s*pro|n5\s*pro|pro\s+gateway|pro\s+node)\b"]), ("R1", [r"\b(r1|r1\s*router|main\s*router)\b"]), ("N1", [r"\b(n1|n1\s*node|satellite\s*node|satellite)\b"])]
+MODELS = [("Pro", [Pattern(r"\b(r5\s*pro|n5\s*pro|pro\s+gateway|pro\s+node)\b", "pro")]), ("R1", [Pattern(r"\b(r1|r1\s*router|main\s*router)\b", "r1", "router")]), ("N1", [Pattern(r"\b(n1|n1\s*node|satellite\s*node|satellite)\b", "n1", "satellite")])]
 # Words that are no secret.
 CONTINUATIONS = (
     "wrong", "incorrect", "invalid", "correct", "working", "changed", "missing", "different", "still", "also", "already", "probably", "definitely", "there",
@@ -48,25 +48,29 @@ CONTINUATIONS = (
     "don", "won", "shouldn", "couldn", "wouldn", "really", "very", "actually", "always", "never", "sometimes",
 )
 # Forms of keys and what names a secret.
-API_KEY = r"(?i)(?:sk-[A-Za-z0-9]{20,}|Bearer\s+[A-Za-z0-9._-]{20,})"
+API_KEY = Pattern(r"(?i)(?:sk-[A-Za-z0-9]{20,}|Bearer\s+[A-Za-z0-9._-]{20,})", "sk-", "bearer")
 _NAMES = r"password|passcode|passphrase|wifi\s*key|network\s+key|wpa2?(?:\s+(?:key|passphrase))?|pwd|secret"
 _SECRET = "[A-Za-z0-9!@#$%^&*()_+=\\-]"
 
 
+def _redact(text: Column, pattern: Pattern, by: str) -> Column:
+    return let(text, lambda t: F.when(may_match(F.lower(t), pattern), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
 def redact_api_key(text: Column) -> Column:
-    return F.regexp_replace(text, API_KEY, "[REDACTED_API_KEY]")
+    return _redact(text, API_KEY, "[REDACTED_API_KEY]")
 
 
 def redact_password(text: Column) -> Column:
     """A secret of four characters or more after its name and a separator, unless it's an ordinary word or a contraction."""
     ordinary = "|".join(CONTINUATIONS)
     p = rf"(?i)\b(?:{_NAMES})(?:\s+is\s+|\s*[:=]\s*)(?!(?:{ordinary})(?!{_SECRET})){_SECRET}{{4,}}+(?!')"
-    return F.regexp_replace(text, p, "password: [REDACTED_SECRET]")
+    return _redact(text, Pattern(p, "passw", "passc", "passp", "key", "wpa", "pwd", "secret"), "password: [REDACTED_SECRET]")
 
 
 def redact_serial(text: Column) -> Column:
     p = r"(?i)\b(?:sn|s/n|serial(?:\s*number)?)(?:\s+is\s+|\s*[:=]\s*)(?=[A-Za-z0-9-]*[0-9])[A-Za-z0-9-]+([A-Za-z0-9-]{4})\b(?!')"
-    return F.regexp_replace(text, p, r"serial: [REDACTED_SERIAL_...$1]")
+    return _redact(text, Pattern(p, "sn", "s/n", "serial"), r"serial: [REDACTED_SERIAL_...$1]")
 
 
 def inspect(text: Column) -> Column:

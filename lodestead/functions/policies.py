@@ -10,22 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestead.functions import guards
-from lodestead.functions.text import any_case, any_match, let, strip
+from lodestead.functions.text import Pattern, any_case, any_match, let, may_match, strip
 
-# Surfaces of software, and patterns whose matches decide the results.
+# Surfaces of software, and patterns whose matches decide the results, with their needles.
 _SURFACE = r"(?:app|apps|application|settings?|console|dashboard|software|portal|page|interface|ui|admin)"
 DANGER = (
-    r"\bopen(?:ing|ed)?\s+(?:up\s+)?(?:the\s+|my\s+|your\s+|a\s+|an\s+|this\s+|that\s+)?(?:router|gateway|node|unit|device|adapter)\b(?!(?:'s)?\s+" + _SURFACE + r"\b)",
-    r"\bopen(?:ing|ed)?\s+(?:up\s+)?(?:the|its|my|your|this|that)\s+(?:(?!support\b|ticket\b)\w+\s+){0,2}?(?:case|casing|cover|enclosure|housing|shell|chassis)\b",
-    r"\bunscrew\w*\b",
-    r"\bdisassembl\w+\b",
-    r"\btake\s+(?:it\s+|(?:the|my|your)\s+\w+\s+)?apart\b",
-    r"\bsolder\w*\b",
-    r"\brepair\s+(?:the\s+)?circuit\w*\b",
-    r"\bexposed?\s+wir\w+\b",
-    r"\binternal\s+capacitor\w*\b",
-    r"\b(?:pry|crack)\s+(?:it\s+)?open\b",
-    r"\bremove\s+(?:the\s+)?(?:cover|casing|housing|back\s*plate)\b",
+    Pattern(r"\bopen(?:ing|ed)?\s+(?:up\s+)?(?:the\s+|my\s+|your\s+|a\s+|an\s+|this\s+|that\s+)?(?:router|gateway|node|unit|device|adapter)\b(?!(?:'s)?\s+" + _SURFACE + r"\b)", "open"),
+    Pattern(r"\bopen(?:ing|ed)?\s+(?:up\s+)?(?:the|its|my|your|this|that)\s+(?:(?!support\b|ticket\b)\w+\s+){0,2}?(?:case|casing|cover|enclosure|housing|shell|chassis)\b", "open"),
+    Pattern(r"\bunscrew\w*\b", "unscrew"),
+    Pattern(r"\bdisassembl\w+\b", "disassembl"),
+    Pattern(r"\btake\s+(?:it\s+|(?:the|my|your)\s+\w+\s+)?apart\b", "apart"),
+    Pattern(r"\bsolder\w*\b", "solder"),
+    Pattern(r"\brepair\s+(?:the\s+)?circuit\w*\b", "circuit"),
+    Pattern(r"\bexposed?\s+wir\w+\b", "expose"),
+    Pattern(r"\binternal\s+capacitor\w*\b", "capacitor"),
+    Pattern(r"\b(?:pry|crack)\s+(?:it\s+)?open\b", "open"),
+    Pattern(r"\bremove\s+(?:the\s+)?(?:cover|casing|housing|back\s*plate)\b", "remove"),
 )
 # Names of secrets, requests for one, and the negations before them that make them advice.
 _SECRETS = (
@@ -33,36 +33,37 @@ _SECRETS = (
     r"credit\s+cards?(?:\s+numbers?)?\b|payment\s+(?:info(?:rmation)?|details?)\b|(?:full|entire|complete|whole)\s+serial(?:\s+numbers?)?\b)"
 )
 _FILLER = r"(?:\w+[-']?\w*\s+)"
+_KINDS = ("passw", "passc", "passp", "key", "credit", "payment", "serial")
 SOLICITATION = (
-    r"\b(?:enter|provide|type|give|send|share|tell|paste|input|supply|confirm|text|email)\s+(?:me\s+|us\s+)?" + _FILLER + r"{0,4}?" + _SECRETS
-    + r"(?!\s+(?:in|into|on)\s+(?:the|your)\s+(?:app|application|router|device|phone|laptop|browser|portal|settings))",
-    r"\bwhat(?:\s+is|'s)\s+(?:your|the)\s+" + _FILLER + r"{0,3}?" + _SECRETS,
-    r"\b(?:i|we)(?:'ll|\s+will)?\s+(?:also\s+|just\s+)?need\s+(?:your|the)\s+" + _FILLER + r"{0,3}?" + _SECRETS,
-    r"\b(?:may|can|could)\s+i\s+(?:please\s+)?(?:have|get)\s+(?:your|the)\s+" + _FILLER + r"{0,3}?" + _SECRETS,
+    Pattern(r"\b(?:enter|provide|type|give|send|share|tell|paste|input|supply|confirm|text|email)\s+(?:me\s+|us\s+)?" + _FILLER + r"{0,4}?" + _SECRETS
+        + r"(?!\s+(?:in|into|on)\s+(?:the|your)\s+(?:app|application|router|device|phone|laptop|browser|portal|settings))", *_KINDS),
+    Pattern(r"\bwhat(?:\s+is|'s)\s+(?:your|the)\s+" + _FILLER + r"{0,3}?" + _SECRETS, *_KINDS),
+    Pattern(r"\b(?:i|we)(?:'ll|\s+will)?\s+(?:also\s+|just\s+)?need\s+(?:your|the)\s+" + _FILLER + r"{0,3}?" + _SECRETS, *_KINDS),
+    Pattern(r"\b(?:may|can|could)\s+i\s+(?:please\s+)?(?:have|get)\s+(?:your|the)\s+" + _FILLER + r"{0,3}?" + _SECRETS, *_KINDS),
 )
 NEGATION = r"\b(?:never|don'?t|do\s+not|won'?t|will\s+not|shouldn'?t|should\s+not|no\s+need\s+to|not|without|avoid)\b"
 LOOK_BACK = 40
 # Names of a reset, requests for one, proposals of one, and insistence on it.
 _RESET = r"(?:factory[-\s]+reset|factory\s+restore|full[-\s]+reset|hard[-\s]+reset)"
 RESET_REQUEST = (
-    r"\b(?:how\s+do\s+i|how\s+can\s+i|how\s+to|i\s+(?:want|need|would\s+like)\s+(?:you\s+to|to)|i'?d\s+like\s+to|should\s+i|can\s+i|could\s+i|may\s+i|going\s+to|about\s+to|let'?s|please)\s+"
-    r"(?:just\s+|go\s+ahead\s+and\s+)?(?:do\s+(?:a|the)\s+|perform\s+(?:a|the)\s+|run\s+(?:a|the)\s+|try\s+(?:a|the)\s+|start\s+(?:a|the)\s+)?(?:" + _RESET + r"|reset)\b",
-    r"\b(?:do|perform|run|start|initiate|trigger)\s+(?:a|the)\s+(?:full\s+)?" + _RESET + r"\b",
-    r"(?:^|[.!?]\s+)(?:please\s+|just\s+)?(?:factory[-\s]+)?reset\s+(?:it|everything|(?:the|my|this|that)\s+(?:whole\s+)?(?:router|gateway|node|unit|device|network|system|mesh))\b",
-    r"\breset\s+(?:it\s+)?to\s+factory(?:\s+(?:defaults?|settings))?\b",
-    r"\bfull\s+wipe\b|\bwipe\s+everything\b|\berase\s+all\s+configuration\b",
+    Pattern(r"\b(?:how\s+do\s+i|how\s+can\s+i|how\s+to|i\s+(?:want|need|would\s+like)\s+(?:you\s+to|to)|i'?d\s+like\s+to|should\s+i|can\s+i|could\s+i|may\s+i|going\s+to|about\s+to|let'?s|please)\s+"
+        r"(?:just\s+|go\s+ahead\s+and\s+)?(?:do\s+(?:a|the)\s+|perform\s+(?:a|the)\s+|run\s+(?:a|the)\s+|try\s+(?:a|the)\s+|start\s+(?:a|the)\s+)?(?:" + _RESET + r"|reset)\b", "reset", "restore"),
+    Pattern(r"\b(?:do|perform|run|start|initiate|trigger)\s+(?:a|the)\s+(?:full\s+)?" + _RESET + r"\b", "reset", "restore"),
+    Pattern(r"(?:^|[.!?]\s+)(?:please\s+|just\s+)?(?:factory[-\s]+)?reset\s+(?:it|everything|(?:the|my|this|that)\s+(?:whole\s+)?(?:router|gateway|node|unit|device|network|system|mesh))\b", "reset"),
+    Pattern(r"\breset\s+(?:it\s+)?to\s+factory(?:\s+(?:defaults?|settings))?\b", "reset"),
+    Pattern(r"\bfull\s+wipe\b|\bwipe\s+everything\b|\berase\s+all\s+configuration\b", "wipe", "erase"),
 )
 RESET_PROPOSAL = (
-    r"\b(?:do|perform|run|start|initiate|trigger)\s+(?:a|the)\s+(?:full\s+)?" + _RESET + r"\b",
-    r"\b(?:recommend|suggest)\s+(?:a\s+|the\s+)?" + _RESET + r"\b",
-    r"\b" + _RESET + r"\s+(?:the|your|it|everything|all)\b",
-    r"\bnext\s+step\s+is\s+(?:a\s+|the\s+)?" + _RESET + r"\b",
-    r"\bwe(?:'ll|\s+will)\s+(?:need\s+to\s+)?" + _RESET + r"\b",
-    r"\breset\s+to\s+factory(?:\s+(?:defaults?|settings))?\b",
-    r"\bpinhole\s+reset\b",
-    r"\bhold(?:ing)?\s+(?:the\s+)?reset(?:\s+button)?\s+for\s+(?:at\s+least\s+)?1[0-9]\b",
-    r"\berase\s+all\s+(?:local\s+)?configuration\b",
-    r"\bfull\s+wipe\b",
+    Pattern(r"\b(?:do|perform|run|start|initiate|trigger)\s+(?:a|the)\s+(?:full\s+)?" + _RESET + r"\b", "reset", "restore"),
+    Pattern(r"\b(?:recommend|suggest)\s+(?:a\s+|the\s+)?" + _RESET + r"\b", "reset", "restore"),
+    Pattern(r"\b" + _RESET + r"\s+(?:the|your|it|everything|all)\b", "reset", "restore"),
+    Pattern(r"\bnext\s+step\s+is\s+(?:a\s+|the\s+)?" + _RESET + r"\b", "reset", "restore"),
+    Pattern(r"\bwe(?:'ll|\s+will)\s+(?:need\s+to\s+)?" + _RESET + r"\b", "reset", "restore"),
+    Pattern(r"\breset\s+to\s+factory(?:\s+(?:defaults?|settings))?\b", "reset"),
+    Pattern(r"\bpinhole\s+reset\b", "pinhole"),
+    Pattern(r"\bhold(?:ing)?\s+(?:the\s+)?reset(?:\s+button)?\s+for\s+(?:at\s+least\s+)?1[0-9]\b", "reset"),
+    Pattern(r"\berase\s+all\s+(?:local\s+)?configuration\b", "erase"),
+    Pattern(r"\bfull\s+wipe\b", "wipe"),
 )
 RESET_INSISTENCE = (
     r"\b(?:anyway|regardless|i\s+insist|i\s+understand\s+the\s+risks?|just\s+(?:do\s+(?:it|the\s+reset)|reset\s+it)|still\s+want\s+(?:to\s+|the\s+)?(?:factory[-\s]+)?reset|"
@@ -89,7 +90,8 @@ QUOTES = {
 
 def first_match(text: Column, patterns: tuple[str, ...] | list[str]) -> Column:
     """What the first of the patterns that occurs matches first, case-insensitive; null if none occurs."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), any_case(p), 0), F.lit("")) for p in patterns])
+    t = F.coalesce(text, F.lit(""))
+    return let(F.lower(t), lambda low: F.coalesce(*[F.when(may_match(low, p), F.nullif(F.regexp_extract(t, any_case(p), 0), F.lit(""))) for p in patterns]))
 
 
 def unless_negated(text: Column, pattern: str) -> Column:
@@ -107,7 +109,7 @@ def unless_negated(text: Column, pattern: str) -> Column:
         hit = F.when(acc["found"].isNull() & x["hit"].isNotNull() & ~before.rlike(f"(?i){NEGATION}"), x["hit"]).otherwise(acc["found"])
         return F.struct(F.right(F.concat(before, F.coalesce(x["hit"], F.lit(""))), F.lit(LOOK_BACK)).alias("before"), hit.alias("found"))
 
-    return F.aggregate(steps, start, step)["found"]
+    return F.when(may_match(F.lower(t), pattern), F.aggregate(steps, start, step)["found"])
 
 
 def solicitation(text: Column) -> Column:

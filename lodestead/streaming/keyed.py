@@ -2,8 +2,11 @@
 
 A batch touches only the sessions that it has turns of. What a turn says is computed in columns before (turns.prepare); the
 processor carries the state from turn to turn. Sessions that were stored before come in as the initial state, and an
-event-time timer lets a session go when the watermark has passed its last turn by the time to live. A restart goes on from the
+event-time timer lets a session go when the watermark has passed its last turn by the time to live. A session has one timer: one
+that ends before the session is due is set anew, which costs less than to move it with each turn. A restart goes on from the
 checkpoint, and a batch that runs again finds the state as it was before it.
+
+Turns are dealt out by their sessions before they are prepared: what a turn takes then doesn't depend on how many files it came in.
 """
 
 from __future__ import annotations
@@ -18,9 +21,15 @@ from lodestead.functions import guards, policies
 from lodestead.operators import turns as machine
 from lodestead.streaming.sessions import write_batches
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A session's state as it is stored: the window as JSON, as the store takes no lists of structures; due: when its timer ends, in milliseconds.
+PARTITIONS = "spark.sql.shuffle.partitions"
+#: A batch writes its changes to the checkpoint, not the store's files.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+#: A batch opens and commits the store of each partition, also of those without turns: so many for each core suffice, or in all where there are few cores.
+PER_CORE, AT_LEAST = 4, 32
+#: A session's state as it is stored: the window as JSON, as the store takes no lists of structures; due: when it may go, in milliseconds.
 STATE = "pending string, confirmed boolean, model string, steps array<string>, turns int, resolved boolean, escalated boolean, window string, version int, due long"
 OUTPUT = f"session_id string, turn long, kind string, answer {policies.ENVELOPE}, step string"
 NEW = (None, False, None, [], 0, False, False, "[]", 0, 0)
@@ -48,20 +57,22 @@ class Turns(StatefulProcessor):
         self.state.update(tuple(getattr(initialState, c.split(" ")[0]) for c in STATE.split(", ") if c != "due long") + (0,))
 
     def handleInputRows(self, key, rows, timerValues):
-        s = list(self.state.get()) if self.state.exists() else list(NEW)
+        s = list(self.state.get() or NEW)
         last = 0
         for x in sorted(rows, key=lambda r: r.turn):
             s, kind, answer, step = self.turn(s, x)
             last = max(last, int(x.at.timestamp() * 1000))
             yield Row(session_id=key[0], turn=x.turn, kind=kind, answer=answer, step=step)
         due = max(s[9], last + self.ttl)
-        if due != s[9]:
-            if s[9]:
-                self.handle.deleteTimer(s[9])
+        if not s[9]:
             self.handle.registerTimer(due)
         self.state.update((*s[:9], due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = self.state.get()[9]
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            return
         self.state.clear()
         yield Row(session_id=key[0], turn=None, kind="expired", answer=None, step=None)
 
@@ -101,14 +112,18 @@ def run(turns: DataFrame, quotes: dict[str, str], spark: SparkSession, root: str
     """Work off what a stream of turns (session_id, turn, message, answer, at) has now; what every turn of this and earlier
     runs under root was answered: session_id, turn, kind, answer, step, batch. stored: sessions to begin with (session_id, state)."""
     fixed = spark.range(1).select(*[c.alias(k) for k, c in machine.fixed_answers(quotes).items()]).first().asDict(True)
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    most = max(PER_CORE * spark.sparkContext.defaultParallelism, AT_LEAST)
+    conf = STORE | {PARTITIONS: str(min(int(spark.conf.get(PARTITIONS)), most))}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         begin = None if stored is None else stored.select("session_id", F.col("state").cast(machine.STATE).alias("state")).select("session_id", "state.*").withColumn("window", F.to_json("window")).groupBy("session_id")
-        out = prepare(turns, quotes).withWatermark("at", late).groupBy("session_id").transformWithState(Turns(fixed, ttl_days), OUTPUT, "update", "eventTime", begin)
+        out = prepare(turns.repartition("session_id"), quotes).withWatermark("at", late).groupBy("session_id").transformWithState(Turns(fixed, ttl_days), OUTPUT, "update", "eventTime", begin)
         write_batches(out, root)
     finally:
-        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     return spark.read.schema(f"{OUTPUT}, batch long").option("basePath", f"{root}/out").parquet(f"{root}/out")
 
 

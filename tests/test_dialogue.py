@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestead.functions import guards, policies, progressive
+from lodestead.functions.text import Pattern, any_match
 from lodestead.operators import grounding, index, retrieval, sessions, turns
 from lodestead.plans import dialogue, indexes, registry
 from lodestead.streaming import keyed, requests
@@ -122,6 +123,22 @@ def test_turn_fold_equals_plain_python_in_batch_and_stream(spark, data):
     assert sorted(map(tuple, rows.values()), key=repr) == sorted(map(tuple, dialogue.stream_turn_fold(spark, data).collect()), key=repr)
 
 
+def test_needles_lose_no_match(spark, data):
+    groups = [guards.INJECTION, guards.DAMAGE, guards.FIRMWARE, guards.WARRANTY, policies.DANGER, policies.SOLICITATION, policies.RESET_REQUEST, policies.RESET_PROPOSAL, *[p for _, p in guards.MODELS]]
+    more = ["IGNORE all the rules", "you are NOW", "system prompt", "jailbreak", "Pretend to be", "sparking", "a burnt smell", "smells like burning", "it melted", "water damage", "liquid spilled", "cracked case", "on fire", "OpenWRT", "dd-wrt", "third-party firmware", "firmware rollback", "roll back my firmware", "reflash the firmware",
+        "claim it under warranty", "replace my node under warranty", "disassembly", "soldering", "repair the circuits", "expose wires", "internal capacitors", "pry it open", "remove back plate", "What's your passcode", "enter WPA2 key", "type your login  keys", "give me payment details", "we need your passphrases", "can i get the full serial",
+        "how to factory restore", "run a hard reset", "Reset my mesh", "erase all configuration", "wipe everything", "suggest a full reset", "factory-reset it", "we'll factory reset", "pinhole reset", "holding reset for 10", "r5pro", "pro node", "main router", "n1 node", "\u212aey \u0130 smo\u212ae REMOVE THE COVER"]
+    texts = more + [m for _, m in dialogue.POLICY_MESSAGES] + [x for r in dialogue.SCRIPT for x in r[2:4]]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    d = d.unionByName(registry._messages(spark, data).select("id", F.col("text").alias("t")))
+    ps = [p for g in groups for p in g]
+    assert all(isinstance(p, Pattern) and p.needles and all(n == n.lower() and n.isascii() for n in p.needles) for p in ps)
+    with_, without = [any_match(F.col("t"), [p]) for p in ps], [any_match(F.col("t"), [str(p)]) for p in ps]
+    rows = d.select(F.array(*with_).alias("a"), F.array(*without).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+    assert [p for i, p in enumerate(ps) if not any(r.b[i] for r in rows)] == []
+
+
 def test_the_fold_judges_its_own_answers(spark, data):
     q, machines, kept, turns_ = policies.read_policy(None), {}, 0, 0
     for r in dialogue._answered(spark, data).withColumn("m", guards.inspect(F.col("message"))).orderBy("session_id", "turn").collect():
@@ -167,6 +184,24 @@ def test_keyed_sessions_begin_with_stored_ones_and_expire(spark, tmp_path):
     assert set(second) == {"c"} and sorted((r.session_id, r.kind) for r in out.collect()) == [("a", "confirmed"), ("a", "expired"), ("b", "answered"), ("b", "answered"), ("b", "expired"), ("c", "answered")]
 
 
+def test_sessions_outlive_their_first_timer_and_few_stores_hold_them(spark, tmp_path):
+    q, none, got, root = policies.read_policy(None), F.array().cast(CITES), [], str(tmp_path / "root")
+    before = spark.conf.get(keyed.PARTITIONS)
+    spark.conf.set(keyed.PARTITIONS, "40")
+    try:
+        for turn, at, other in ((0, 0, 0), (1, 3_000, 4_000), (2, 6_000, 6_500), (3, 6_600, 20_000)):
+            said = spark.createDataFrame([("a", turn, "hi", at), (f"late{turn}", 0, "hi", other)], "session_id string, turn long, message string, at long").withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("at")))
+            said.withColumn("answer", F.struct(F.lit("ok").alias("response"), none.alias("citations"), F.lit("ask").alias("action"))).write.mode("append").parquet(str(tmp_path / "t"))
+            out = keyed.run(streaming.read_stream(spark, str(tmp_path / "t"), "*.parquet", 100), q, spark, root, ttl_days=1 / 24, late="1 minute")
+            got.append({r.session_id: r.state.turns for r in keyed.states(spark, root).collect()})
+        assert spark.conf.get(keyed.PARTITIONS) == "40"
+    finally:
+        spark.conf.set(keyed.PARTITIONS, before)
+    assert [x.get("a") for x in got] == [1, 2, 3, None] and set(got[-1]) == {"late3"}
+    assert out.where("kind = 'expired'").groupBy("session_id").count().where("count > 1").count() == 0
+    assert sum(p.name.isdigit() for p in (tmp_path / "root/checkpoint/state/0").iterdir()) == max(4 * spark.sparkContext.defaultParallelism, 32)
+
+
 def test_requests_that_fail_are_answered_once(spark, tmp_path):
     root, echo = str(tmp_path / "root"), lambda x: x.withColumn("answer", F.when(F.col("message") != "die", policies.envelope(F.upper("message"), [], "ask")))
     got = []
